@@ -5,9 +5,12 @@ the set; bands of consecutive minima put similar sets into common buckets; the s
 chance meetings; the full sets decide. Links are closed into groups by large-star / small-star.
 
 Exact copies share one node, so a group of any number of copies costs one row. In a bucket, each set is first compared
-with one centre; after closing those links, only sets of a bucket that still lie in different groups are compared
-with each other, so a bucket full of near copies is never expanded into all its pairs, yet every link between groups is
-tried.
+with one centre; those links are closed, and a bucket whose sets then lie in one group is done. Of the others, those of up to
+CROWD sets compare their sets across groups pair by pair. In larger ones the sets are joined on their rarest shingles
+instead: of two similar sets, the first common shingle in an order by frequency stands near the front of both, near enough
+to leave room for the overlap that the threshold asks for. A set that differs from its kin in more than the threshold
+allows has rarer shingles of its own there and meets nobody, so the join stays small where a bucket's pairs would be
+many, and misses no link.
 """
 
 from __future__ import annotations
@@ -16,13 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietwire.llm import wordhash
 from quietwire.llm.components import connected_components
 from quietwire.llm.scratch import stage
 
+#: Sets in a bucket of several groups above which they are joined on their rarest shingles.
+CROWD = 32
 #: Share below the threshold, in equal minima, at which a pair is rejected unread: about five standard deviations.
 MARGIN = 0.18
 
@@ -106,6 +111,31 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int)
     return with_both(likely, sets, "shingles").mapInArrow(similar, "a binary, b binary")
 
 
+def _rare_shingle_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of different groups of (node, n, grp) that can be similar, by prefix and position filters."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                sizes = np.asarray(part.column(1))
+                index = pa.array(np.repeat(np.arange(part.num_rows), sizes))
+                values = np.frombuffer(b"".join(part.column(3).to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(index) for k in range(3)), pa.array(values)], ["node", "n", "grp", "shingle"])
+
+    rows = crowd.join(sets, "node").select("node", "n", "grp", "shingles").mapInArrow(spread, "node binary, n long, grp binary, shingle long")
+    frequency = rows.groupBy("shingle").agg(F.count("*").alias("df"))
+    ranked = rows.join(frequency, "shingle").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")))
+    prefix = ranked.filter((F.col("df") > 1) & (F.col("at") * 100 <= F.col("n") * (100 - percent) + 100)).drop("df")
+    # a shingle's largest group is only compared with the others, never with itself
+    largest = prefix.groupBy("shingle", "grp").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("grp", F.struct("k", "grp")).alias("main"), F.count("*").alias("groups")).filter("groups > 1")
+    x, y = prefix.join(largest, "shingle").filter("grp <> main").alias("x"), prefix.join(largest.select("shingle"), "shingle").alias("y")
+    rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) + 1
+    enough = (rest * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.grp") != F.col("y.grp")) & enough)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 30, rows: int = 5) -> DataFrame:
     """Group documents whose shingle sets have a Jaccard similarity of at least ``percent`` / 100.
 
@@ -136,11 +166,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = connected_components(first)
 
     labelled = met.join(groups, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("grp"))
-    mixed = labelled.groupBy("band").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low <> high").select("band")
-    apart = labelled.join(mixed, "band", "left_semi")
-    x, y = apart.alias("x"), apart.alias("y")
+    mixed = labelled.groupBy("band").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count("*").alias("members")).filter("low <> high")
+    apart = stage(labelled.join(mixed.select("band", "members"), "band"))
+    few = apart.filter(F.col("members") <= CROWD)
+    x, y = few.alias("x"), few.alias("y")
     may_reach = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (F.col("x.node") < F.col("y.node")) & (F.col("x.grp") != F.col("y.grp"))
-    across = x.join(y, (F.col("x.band") == F.col("y.band")) & may_reach).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    across = x.join(y, (F.col("x.band") == F.col("y.band")) & may_reach).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    crowded = apart.filter(F.col("members") > CROWD).select("node", "n", "grp").distinct()
+    across = across.unionByName(_rare_shingle_pairs(crowded, sets, percent)).distinct()
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = _verified(across.join(tried, ["a", "b"], "left_anti"), nodes, sets, percent)
     groups = connected_components(first.unionByName(second))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietwire.llm import bpe, embeddings, minhash, secrets, substring
+from quietwire.llm import bpe, chat, embeddings, licenses, minhash, quality, secrets, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,20 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rotated = chat.rotate_perspectives(_table(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["length"].cast("string"), m["learn"].cast("string"))), ",")
+    return rotated.select("conv_id", "speaker", "n_turns", "n_own_turns", "rendered", mask.alias("mask"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,6 +62,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op2_license_scan": op2_license_scan,
+        "op3_chat_perspectives": op3_chat_perspectives,
+        "op4_quality_rules": op4_quality_rules,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op7_secret_scan": op7_secret_scan,
@@ -55,5 +72,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+OP3_SQL = """
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM said),
+parts AS (
+  SELECT s.conv_id, p.speaker, s.turn, s.role, s.text, s.role = p.speaker AS own,
+         CASE WHEN s.role = p.speaker THEN '<|assistant|>' ELSE '<|user name=' || s.role || '|>' END || chr(10) AS header,
+         s.text || '<|end|>' || chr(10) AS body
+  FROM said s JOIN speakers p USING (conv_id)
+)
+SELECT conv_id, speaker, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_own_turns,
+       string_agg(header || body, '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
+       string_agg(length(header) || ':0,' || length(body) || ':' || CAST(own AS INTEGER), ',' ORDER BY turn NULLS FIRST, role, text) AS mask
+FROM parts GROUP BY conv_id, speaker
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_perspectives": OP3_SQL}
