@@ -18,7 +18,7 @@ BUCKETS = 8192
 #: At most so many labelled documents make the trusted multinomial; which ones is decided by a hash of their ids.
 MAX_TRUSTED = 20_000
 #: Mean log-likelihood ratio under which a document is rejected.
-THRESHOLD = -0.35
+THRESHOLD = -0.1
 #: Added to each bucket's count.
 SMOOTHING = 1.0
 
