@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietwire.llm import bpe, chat, embeddings, licenses, minhash, quality, secrets, substring
+from quietwire.llm import bpe, chat, embeddings, licenses, linedup, minhash, mixing, quality, secrets, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_guess", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = linedup.drop_recurring_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), dropped_col="n_dropped")
+    return left.select("doc_id", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.char_length("text").cast("long").alias("n_chars_left"))
+
+
+def op9_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select("doc_id", mixing.label_domain().alias("domain"))
+    rates = mixing.mixing_rates(_table(spark, sf_dir, "documents"), labels)
+    shares = [F.round(F.get("posterior", F.lit(i)), 6).alias(f"p_{domain}") for i, domain in enumerate(mixing.TARGETS)]
+    return rates.select("doc_id", "n_tokens", *shares, "domain", F.round("rate", 6).alias("rate"), "copies")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeated_windows(_table(spark, sf_dir, "documents"), window=50)
 
@@ -68,6 +80,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_byte_bpe": op5_byte_bpe,
         "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op7_secret_scan": op7_secret_scan,
+        "op8_line_dedup": op8_line_dedup,
+        "op9_mixing_rates": op9_mixing_rates,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
