@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -23,7 +24,9 @@ from pyspark.sql import types as T
 #: Vocabularies are broadcast, so their size is checked.
 MAX_VOCABULARY = 1_000_000
 #: Texts and pieces that a Python worker remembers.
-CACHED = 400_000
+CACHED = 200_000
+#: Rows go through Python in runs of about so many bytes, whole rows each.
+RUN_BYTES = 2_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -175,6 +178,8 @@ def _merge_together(group: list[bytes], size: int, vocabulary: Vocabulary) -> It
 #: A space between two characters that are no white space starts a piece whatever surrounds them, so that texts can be cut
 #: there, and what stands between two cuts has the same ids wherever it stands.
 _CUT = re.compile(r" (?=\S)(?<=\S )")
+#: Not white space, so that a cut after it is no different; taken off before anything is encoded.
+_FIRST = "\x00"
 
 
 class Encoder:
@@ -183,53 +188,43 @@ class Encoder:
     def __init__(self, pattern: str, ranks: dict[bytes, int]):
         self.split = regex.compile(pattern).findall
         self.vocabulary = Vocabulary(ranks)
+        #: By run as it follows a space; the run at the start of a text, which follows none, has _FIRST before it.
         self.runs: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        done, i = [], 0
-        while i < len(texts):  # some MB of text at a time, whole texts each
-            j, size = i, 0
-            while j < len(texts) and (j == i or size < 4_000_000):
-                size += len(texts[j] or "")
-                j += 1
-            done += self._encode(texts[i:j])
-            i = j
-        return done
-
-    def _encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = []
-        for text in texts:
-            first, *rest = _CUT.split(text or "")
-            cut.append([first, *[" " + run for run in rest]])
-        new = {run: self.split(run) for run in {run for runs in cut for run in runs} - self.runs.keys()}
-        unknown = {piece for pieces in new.values() for piece in pieces} - self.pieces.keys()
-        ranks, found, merging = self.vocabulary.ranks, {}, {}
-        for piece in unknown:
+        cut = [_CUT.split(_FIRST + text) if text else [] for text in texts]
+        split = self.split
+        new = {run: split(run[1:] if run[0] == _FIRST else " " + run) for run in set().union(*cut).difference(self.runs)}
+        added = self._add_pieces(set().union(*new.values()).difference(self.pieces))
+        piece = self.pieces.__getitem__
+        runs = self.runs
+        runs.update([(run, b"".join(map(piece, pieces))) for run, pieces in new.items()])
+        packed = [b"".join(map(runs.__getitem__, each)) for each in cut]
+        _forget(runs, new)
+        _forget(self.pieces, added)
+        return packed
+
+    def _add_pieces(self, pieces: set[str]) -> list[str]:
+        ranks, merging = self.vocabulary.ranks, {}
+        for piece in pieces:
             raw = piece.encode()
             if raw in ranks:
-                found[piece] = ranks[raw].to_bytes(4, "little")
+                self.pieces[piece] = ranks[raw].to_bytes(4, "little")
             else:
                 merging[piece] = raw
         merged = merge_many(list(merging.values()), self.vocabulary)
-        found |= {piece: merged[raw] for piece, raw in merging.items()}
-        packed_runs = {}
-        known = self.pieces
-        for run, pieces in new.items():
-            packed_runs[run] = b"".join([known[x] if x in known else found[x] for x in pieces])
-        runs = self.runs
-        out = [b"".join([runs[x] if x in runs else packed_runs[x] for x in each]) for each in cut]
-        _remember(known, found)
-        _remember(runs, packed_runs)
-        return out
+        self.pieces.update([(piece, merged[raw]) for piece, raw in merging.items()])
+        return list(pieces)
 
 
-def _remember(cache: dict[str, bytes], more: dict[str, bytes]) -> None:
-    for text, packed in more.items():
-        if len(cache) >= CACHED:
-            return
-        if len(text) <= TOGETHER:
-            cache[text] = packed
+def _forget(cache: dict[str, bytes], added: Iterable[str]) -> None:
+    """Take out of what was added all long texts, and so many others that ``CACHED`` are left."""
+    spare = len(cache) - CACHED
+    for text in added:
+        if spare > 0 or len(text) > TOGETHER:
+            del cache[text]
+            spare -= 1
 
 
 _workers: dict[tuple[str, str], Encoder] = {}
@@ -241,22 +236,33 @@ def _encoder(key: tuple[str, str], ranks: dict[bytes, int]) -> Encoder:
     return _workers[key]
 
 
-def _with_column(df: DataFrame, source: str, target: str, convert: Callable[[], Callable[[pa.Array], pa.Array]]) -> DataFrame:
+def _runs(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + RUN_BYTES, side="right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
+def _with_column(df: DataFrame, source: str, target: str, keep_source: bool, convert: Callable[[], Callable[[pa.Array], pa.Array]]) -> DataFrame:
     at = df.columns.index(source)
+    kept = [i for i in range(len(df.columns)) if keep_source or i != at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = convert()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, each(batch.column(at))], [*batch.schema.names, target])
+            for part in _runs(batch, at):
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), each(part.column(at))], [*(part.schema.names[i] for i in kept), target])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(target, T.BinaryType())]))
+    return df.mapInArrow(run, T.StructType([*(df.schema.fields[i] for i in kept), T.StructField(target, T.BinaryType())]))
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", keep_text: bool = True) -> DataFrame:
     """Add ``ids_col``: the packed token ids of each whole text, special tokens being ordinary text.
 
     ``pattern`` splits a text into pieces; as in all byte-level tokenizers' patterns, a single space goes to the piece that
-    follows it. Null and empty texts have no tokens (an empty value). Every row and every other column is passed on. ``ids_col`` must be
+    follows it. ``keep_text=False`` leaves the texts out of the result. Null and empty texts have no tokens (an empty value). Every row and every other column is passed on. ``ids_col`` must be
     a new name.
     """
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
@@ -266,10 +272,10 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
         one = _encoder(key, ranks.value)
         return lambda texts: pa.array(one(texts.to_pylist()), pa.binary())
 
-    return _with_column(df, text_col, ids_col, convert)
+    return _with_column(df, text_col, ids_col, keep_text, convert)
 
 
-def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded", keep_ids: bool = True) -> DataFrame:
     """Add ``bytes_col``: the bytes that packed ids stand for. Null ids give null; an id outside the vocabulary is an error."""
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
@@ -277,4 +283,4 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str
         tokens = {rank: token for token, rank in ranks.value.items()}
         return lambda ids: pa.array([None if x is None else b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids.to_pylist()], pa.binary())
 
-    return _with_column(df, ids_col, bytes_col, convert)
+    return _with_column(df, ids_col, bytes_col, keep_ids, convert)

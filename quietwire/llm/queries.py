@@ -32,12 +32,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def token_digests(documents: DataFrame) -> DataFrame:
+    """Token counts, and digests of the ids and of what they decode to, of every document."""
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    decoded = bpe.decode(encoded.select("doc_id", "ids"), ranks)
+    encoded = bpe.encode(documents.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, keep_text=False)
+    decoded = bpe.decode(encoded, ranks)
     return decoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -46,6 +47,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(_table(spark, sf_dir, "documents"))
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
