@@ -61,7 +61,7 @@ def outcome(known: Column, opened: Column, replied: Column, dismissed: Column, m
 
 def parse_ids(c: Column) -> Column:
     """``a;b`` or ``none``."""
-    ids = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), F.trim), lambda x: x != "")
+    ids = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.trim(F.coalesce(c, F.lit(""))) == "none", F.array().cast("array<string>")).otherwise(ids)
 
 

@@ -111,7 +111,7 @@ def term_pattern(term: str) -> str:
     """Whole words: a boundary only beside a letter or digit, with usual endings after the last one."""
     left = r"\b" if term[0].isalnum() else ""
     right = r"(?:s|es|ed|ing)?\b" if term[-1].isalnum() else ""
-    return left + re.sub(r"([^\w\s])", r"\\\1", term) + right
+    return left + re.sub(r"([!-/:-@\[-`{-~])", r"\\\1", term) + right
 
 
 def term_hits(text: Column, terms: tuple[str, ...]) -> Column:
