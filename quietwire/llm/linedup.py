@@ -33,17 +33,31 @@ AGREEMENT = 0.8
 CONSTANT = 0.6
 
 
-def _parsed(texts: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line_no, tokens, leaf, context) of every line of (doc_id, text)."""
-    lines = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split(F.regexp_replace("text", FIELD, "<*>"), "\n").alias("lines"))
-    tokens = lines.select("doc_id", "text_hash", F.transform("lines", lambda x: F.array_remove(F.split(x, SPACES), "")).alias("lines"))
-    leaves = tokens.select("doc_id", "text_hash", "lines", F.transform("lines", lambda t: F.xxhash64(F.size(t), *[F.get(t, i) for i in range(DEPTH)])).alias("leaves"))
+def _normal(text: Column) -> Column:
+    """Fields masked, one space between tokens, none at the ends of lines. Texts that need neither are passed as they are."""
+    masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, FIELD, "<*>")).otherwise(text)
+    odd = F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
+    for spaces in ("  ", "\t", "\r", "\x0b", "\x0c", "\n ", " \n"):
+        odd = odd | F.contains(text, F.lit(spaces))
+    return F.when(odd, F.regexp_replace(F.regexp_replace(masked, SPACES, " "), "(?md)^ | $", "")).otherwise(masked)
 
-    def row(tokens: Column, i: Column) -> Column:
-        around = F.xxhash64(F.get("leaves", i - 1), F.get("leaves", i + 1))
-        return F.struct(i.alias("line_no"), tokens.alias("tokens"), F.get("leaves", i).alias("leaf"), around.alias("context"))
 
-    return leaves.select("doc_id", "text_hash", F.explode(F.transform("lines", row)).alias("x")).select("doc_id", "text_hash", "x.*").filter(F.size("tokens") >= MIN_TOKENS)
+def _parsed(texts: DataFrame, with_line: bool = False) -> DataFrame:
+    """(doc_id, text_hash, line_no, n_tokens, leaf, template, context) of every line of (doc_id, text), and the line."""
+    lines = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split(_normal(F.col("text")), "\n").alias("lines"))
+
+    def place(line: Column) -> Column:
+        n = F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+        return F.struct(n.alias("n_tokens"), F.xxhash64(n, F.substring_index(line, " ", DEPTH)).alias("leaf"), F.xxhash64(line).alias("template"))
+
+    placed = lines.select("doc_id", "text_hash", *(["lines"] if with_line else []), F.transform("lines", place).alias("places"))
+
+    def row(x: Column, i: Column) -> Column:
+        around = F.xxhash64(F.get("places", i - 1)["leaf"], F.get("places", i + 1)["leaf"])
+        own = [F.get("lines", i).alias("line")] if with_line else []
+        return F.struct(i.alias("line_no"), x["n_tokens"].alias("n_tokens"), x["leaf"].alias("leaf"), x["template"].alias("template"), around.alias("context"), *own)
+
+    return placed.select("doc_id", "text_hash", F.explode(F.filter(F.transform("places", row), lambda x: x["n_tokens"] >= MIN_TOKENS)).alias("x")).select("doc_id", "text_hash", "x.*")
 
 
 def _recurring(lines: DataFrame, key: str, min_documents: int) -> DataFrame:
@@ -56,7 +70,7 @@ def _recurring(lines: DataFrame, key: str, min_documents: int) -> DataFrame:
 
 def _generalised(texts: DataFrame, leaves: DataFrame, min_documents: int) -> DataFrame:
     """(doc_id, text_hash, line_no) of lines whose leaf generalises to a recurring template."""
-    lines = _parsed(texts).join(leaves, "leaf")
+    lines = stage(_parsed(texts, with_line=True).join(leaves, "leaf").select("doc_id", "text_hash", "line_no", "leaf", "context", F.split("line", " ").alias("tokens")))
     cells = lines.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
     modes = cells.groupBy("leaf", "at").agg(F.max_by("token", F.struct("n", "token")).alias("token"), F.max("n").alias("n"), F.sum("n").alias("total"))
     constant = F.col("n") >= F.col("total") * AGREEMENT
@@ -77,11 +91,10 @@ def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     key = F.col(id_col).alias("doc_id")
     texts = df.filter(F.col(text_col).isNotNull()).select(key, F.col(text_col).cast("string").alias("text"))
-    keyed = _parsed(texts).select("doc_id", "text_hash", "line_no", "leaf", "context", F.xxhash64("tokens").alias("template"), F.size("tokens").alias("width"))
-    keyed = stage(keyed)
+    keyed = stage(_parsed(texts))
     whole = stage(_recurring(keyed, "template", min_documents))
     dropped = keyed.join(whole, "template", "left_semi").select("doc_id", "text_hash", "line_no")
-    rest = keyed.join(whole, "template", "left_anti").filter(F.col("width") >= 2 * DEPTH)
+    rest = keyed.join(whole, "template", "left_anti").filter(F.col("n_tokens") >= 2 * DEPTH)
     leaves = stage(_recurring(rest, "leaf", min_documents))
     dropped = dropped.unionByName(_generalised(texts, leaves, min_documents))
     by_document = dropped.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone"))
