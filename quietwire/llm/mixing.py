@@ -14,14 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quietwire.llm import wordhash
 from quietwire.llm.scratch import stage
 
 #: At most so many labelled documents train the classifier; which ones is decided by a hash of their ids.
@@ -30,7 +29,6 @@ MAX_LABELLED = 20_000
 FEATURES = 1 << 14
 ITERATIONS = 60
 TOLERANCE = 1e-5
-SPACES = r"[\x20\x09-\x0D]+"
 
 
 def label_domain() -> Column:
@@ -38,22 +36,55 @@ def label_domain() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, "clean")
 
 
-def domain_posteriors(df: DataFrame, labels: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row: all given columns, n_tokens, posterior) for every row; ``labels`` has the id column and ``domain``."""
-    words = df.select(F.struct(*df.columns).alias("row"), F.array_remove(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACES), "").alias("words"))
+def _features(words: np.ndarray) -> np.ndarray:
+    """Distinct hash buckets of a document's words."""
+    return np.unique(words % np.uint64(FEATURES)).astype(np.int32)
+
+
+def _train(df: DataFrame, labels: DataFrame, domains: list[str], id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """(weights by domain and bucket, intercepts) of a multinomial logistic regression on the labelled sample."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.array_position(F.array(*map(F.lit, domains)), F.col("domain")).alias("at")).filter("doc_id is not null and at > 0")
     chosen = known.groupBy("doc_id").agg((F.min("at") - 1).cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    training = words.withColumn("doc_id", F.col("row")[id_col]).join(F.broadcast(chosen), "doc_id").select("label", "words")  # of MAX_LABELLED rows at most
-    training = stage(training)
-    stages = [HashingTF(inputCol="words", outputCol="features", numFeatures=FEATURES, binary=True), LogisticRegression(maxIter=25, regParam=2e-3, family="multinomial", probabilityCol="probability")]
-    seen = [int(x.label) for x in training.select("label").distinct().orderBy("label").collect()]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buckets = [_features(words) for _, words, _ in wordhash.documents(batch.column(1), lower=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(buckets, pa.list_(pa.int32()))], ["label", "buckets"])
+
+    texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # of MAX_LABELLED rows at most
+    sample = stage(texts.select("label", "text").mapInArrow(hashed, "label double, buckets array<int>"))
+    weights, intercepts = np.zeros((len(domains), FEATURES)), np.zeros(len(domains))
+    seen = [int(x.label) for x in sample.select("label").distinct().orderBy("label").collect()]
     if len(seen) < 2:  # nothing to tell apart: all belong to the one domain labelled, or equally to all
-        posterior = F.array(*[F.lit(1.0 if seen == [i] else 0.0 if seen else 1 / len(domains)) for i in range(len(domains))])
-        return words.select("row", F.size("words").cast("long").alias("n_tokens"), posterior.alias("posterior"))
-    scored = Pipeline(stages=stages).fit(training).transform(words.select("row", "words"))
-    given = vector_to_array("probability")
-    posterior = F.transform(F.sequence(F.lit(0), F.lit(len(domains) - 1)), lambda i: F.coalesce(F.get("given", i), F.lit(0.0)))
-    return scored.select("row", F.size("words").cast("long").alias("n_tokens"), given.alias("given")).select("row", "n_tokens", posterior.alias("posterior"))
+        intercepts[[i for i in range(len(domains)) if seen and i != seen[0]]] = -50.0
+        return weights, intercepts
+    sparse = F.udf(lambda at: Vectors.sparse(FEATURES, at, [1.0] * len(at)), VectorUDT())
+    model = LogisticRegression(maxIter=25, regParam=5e-4, family="multinomial").fit(sample.select("label", sparse("buckets").alias("features")))
+    fitted = model.coefficientMatrix.toArray()
+    weights[: len(fitted)], intercepts[: len(fitted)] = fitted, model.interceptVector.toArray()
+    intercepts[len(fitted) :] = -50.0
+    return weights, np.maximum(intercepts, -50.0)
+
+
+def domain_posteriors(df: DataFrame, labels: DataFrame, domains: list[str], keep: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row: the columns ``keep``, n_tokens, posterior) for every row; ``labels`` has the id column and ``domain``."""
+    fitted = df.sparkSession.sparkContext.broadcast(_train(df, labels, domains, id_col, text_col))  # domains times FEATURES numbers
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, intercepts = fitted.value
+        by_bucket = np.ascontiguousarray(weights.T)
+        for batch in batches:
+            counts, scores = [], []
+            for _, words, _ in wordhash.documents(batch.column(1), lower=False):
+                counts.append(len(words))
+                scores.append(by_bucket[_features(words)].sum(axis=0) + intercepts)
+            scores = np.array(scores).reshape(-1, len(intercepts))
+            shares = np.exp(scores - scores.max(axis=1, keepdims=True)) if len(scores) else scores
+            shares = shares / shares.sum(axis=1, keepdims=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(list(shares), pa.list_(pa.float64()))], ["row", "n_tokens", "posterior"])
+
+    given = df.select(F.struct(*keep).alias("row"), F.col(text_col).cast("string").alias("text"))
+    return given.mapInArrow(predict, T.StructType([given.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))]))
 
 
 def rates_after(posteriors: np.ndarray, residuals: list[np.ndarray], step: float) -> tuple[np.ndarray, np.ndarray]:
@@ -104,13 +135,12 @@ def fit_rates(stats: DataFrame, weights: list[float], keep_domain: int) -> tuple
     return residuals, step
 
 
-def _mixed(df: DataFrame, labels: DataFrame, weights: dict[str, float], keep_domain: str, id_col: str, text_col: str) -> DataFrame:
+def _mixed(df: DataFrame, labels: DataFrame, weights: dict[str, float], keep_domain: str, keep: list[str], id_col: str, text_col: str) -> DataFrame:
     """(row, n_tokens, posterior, rate) for every row."""
     domains = list(weights)
     k = len(domains)
-    scored = domain_posteriors(df, labels, domains, id_col, text_col)
-    stats = stage(scored.select("n_tokens", "posterior"))
-    residuals, step = fit_rates(stats, [weights[d] for d in domains], domains.index(keep_domain))
+    scored = stage(domain_posteriors(df, labels, domains, keep, id_col, text_col))  # texts are read once
+    residuals, step = fit_rates(scored, [weights[d] for d in domains], domains.index(keep_domain))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +166,7 @@ def mixing_rates(df: DataFrame, labels: DataFrame, weights: dict[str, float] | N
     """
     weights = weights or TARGETS
     domains = list(weights)
-    mixed = _mixed(df.select(id_col, text_col), labels, weights, keep_domain, id_col, text_col)
+    mixed = _mixed(df, labels, weights, keep_domain, [id_col], id_col, text_col)
     chance = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
     likeliest = F.array_position("posterior", F.array_max("posterior")).cast("int") - 1
     out = mixed.select(F.col("row")[id_col].alias("doc_id"), "n_tokens", "posterior", F.get(F.array(*map(F.lit, domains)), likeliest).alias("domain"), "rate")
@@ -145,4 +175,4 @@ def mixing_rates(df: DataFrame, labels: DataFrame, weights: dict[str, float] | N
 
 def filter_mixed(df: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, keep_domain: str = "clean", min_rate: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, unchanged, whose rate is at least ``min_rate``: a mix that takes each document once or not at all."""
-    return _mixed(df, labels, weights or TARGETS, keep_domain, id_col, text_col).filter(F.col("rate") >= min_rate).select("row.*")
+    return _mixed(df, labels, weights or TARGETS, keep_domain, df.columns, id_col, text_col).filter(F.col("rate") >= min_rate).select("row.*")
