@@ -178,8 +178,8 @@ def _merge_together(group: list[bytes], size: int, vocabulary: Vocabulary) -> It
 #: A space between two characters that are no white space starts a piece whatever surrounds them, so that texts can be cut
 #: there, and what stands between two cuts has the same ids wherever it stands.
 _CUT = re.compile(r" (?=\S)(?<=\S )")
-#: Not white space, so that a cut after it is no different; taken off before anything is encoded.
-_FIRST = "\x00"
+#: White space, with which no other run can start; taken off before anything is encoded.
+_FIRST = "\n"
 
 
 class Encoder:
