@@ -96,7 +96,9 @@ def _judged(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, thresh
         F.when(F.size("grams") > 0, F.aggregate("grams", F.lit(0.0), lambda acc, g: acc + F.get("weights", g)) / F.size("grams")).otherwise(F.lit(0.0)).alias("score"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return counted.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
+    # the row number keeps filters above this projection: pushed below it, they would work the counts out again and again
+    kept = ~failed & (F.col("score") >= threshold) & (F.monotonically_increasing_id() >= 0)
+    return counted.withColumn("base_failed", failed).withColumn("kept", kept)
 
 
 def quality_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
