@@ -108,5 +108,70 @@ FROM parts GROUP BY conv_id, speaker
 """
 
 
+_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+_COMPONENTS = """links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reached AS (SELECT node, node AS origin FROM nodes UNION SELECT l.b, r.origin FROM reached r JOIN links l ON r.node = l.a)"""
+
+OP1_SQL = f"""
+WITH RECURSIVE words AS (SELECT doc_id, {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+shingles AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+pairs AS (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+nodes AS (SELECT doc_id AS node FROM documents), {_COMPONENTS}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT node AS doc_id, min(origin) AS component_id FROM reached GROUP BY node) USING (doc_id)
+"""
+
+OP6_SQL = f"""
+WITH RECURSIVE pairs AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id
+  WHERE list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) >= 0.98
+), nodes AS (SELECT vec_id AS node FROM embeddings), {_COMPONENTS}
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN (SELECT node AS vec_id, min(origin) AS component_id FROM reached GROUP BY node) USING (vec_id)
+"""
+
+OP10_SQL = f"""
+WITH words AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words)),
+owners AS (SELECT k, min(doc_id) AS owner FROM windows GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM windows JOIN owners USING (k) WHERE owner < doc_id),
+each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM words),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS text, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+
+def _op2_sql() -> str:
+    letters = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    templates = ", ".join(f"({i}, '{label}', '{text.lower()}')" for i, (label, text) in enumerate(licenses.TEMPLATES))
+    places = {label: " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(phrase.split())) for label, phrase in licenses.PHRASES.items()}
+    starts = ", ".join(f"list_filter(range(1, len(w) + 1), lambda i: coalesce({where}, false)) AS {label}" for label, where in places.items())
+    base = ", ".join(f"CASE WHEN len({label}) > 0 THEN '{label}' END" for label in sorted(places))
+    every = " || ".join(places)
+    return f"""
+WITH words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), {letters}) AS w FROM documents),
+templates AS (SELECT id, label, regexp_extract_all(text, {letters}) AS w FROM (VALUES {templates}) t(id, label, text)),
+runs AS (SELECT id, label, len(w) - 2 AS n, i - 1 AS tpos, array_to_string(w[i:i + 2], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM templates)),
+votes AS (SELECT doc_id, id, label, n, i - 1 AS place, tpos FROM (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM words)) JOIN runs USING (run)),
+steps AS (SELECT *, CASE WHEN place - tpos - lag(place - tpos) OVER (PARTITION BY doc_id, id ORDER BY place - tpos, place) <= {licenses.SLACK} THEN 0 ELSE 1 END AS apart FROM votes),
+spans AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, id ORDER BY place - tpos, place) AS span FROM steps),
+verified AS (SELECT doc_id, label, count(DISTINCT tpos) / any_value(n) AS coverage FROM spans GROUP BY doc_id, id, label, span HAVING count(DISTINCT tpos) / any_value(n) >= {licenses.COVERAGE}),
+more AS (SELECT doc_id, list_sort(list_distinct(list(label))) AS more, max(coverage) AS coverage FROM verified GROUP BY doc_id),
+base AS (SELECT *, {every} AS every, list_filter([{base}], lambda x: x IS NOT NULL) AS base FROM (SELECT doc_id, w, {starts} FROM words))
+SELECT doc_id, len(w) AS n_words, len(every) AS n_base, list_min(every) - 1 AS first_word, list_max(every) - 1 AS last_word, array_to_string(base, ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, [])))), ',') AS labels, CASE WHEN len(base) > 0 THEN 1.0 ELSE coalesce(coverage, 0.0) END AS score
+FROM base LEFT JOIN more USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_perspectives": OP3_SQL}
+    """SQL of the queries that it can express: op4 and op8 hash with a function that DuckDB lacks, op5, op7 and op9 are no SQL."""
+    return {
+        "op1_minhash_near_dedup": OP1_SQL,
+        "op2_license_scan": _op2_sql(),
+        "op3_chat_perspectives": OP3_SQL,
+        "op6_embedding_near_dedup": OP6_SQL,
+        "op10_substring_dedup": OP10_SQL,
+    }
