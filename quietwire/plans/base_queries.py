@@ -12,7 +12,7 @@ from quietwire.functions import derive as d
 from quietwire.functions import text as t
 from quietwire.operators import checks, joins, profiles
 from quietwire.plans.registry import query
-from quietwire.sources import assets, tables
+from quietwire.sources import assets
 
 _CONTEXT = ("messages", "history", "message_events", "users", "groups", "group_members", "businesses", "relationships", "daily", "media")
 

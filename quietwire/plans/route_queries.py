@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from quietwire.config import DEFAULT
 from quietwire.operators import checks, decide, evaluate, similarity
-from quietwire.operators.rationale import ORDERED
 from quietwire.plans import route
 from quietwire.plans.registry import query
-from quietwire.plans.route_oracle import CONTENT_CTE, PROFILE_CTE, ROUTE_CTES, SAFETY_CTES, SCORE_CTES, SIMILAR_CTE, rule_for, value_of
+from quietwire.plans.route_oracle import CONTENT_CTE, ROUTE_CTES, SAFETY_CTES, SCORE_CTES, SIMILAR_CTE
 from quietwire.sources import sinks
 
 _SIMILAR = f"{CONTENT_CTE}, {SIMILAR_CTE}"
