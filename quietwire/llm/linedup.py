@@ -6,14 +6,15 @@ line, with its fields, is one. A leaf's lines also generalise: positions on whic
 the rest become fields, and if enough is constant, the lines that agree on all of it share a template.
 
 A template is dropped where it recurs across documents. Copies of a document bring all their lines along with their
-surroundings; furniture stands among different lines each time. So a template recurs if it is found in MIN_DOCUMENTS, and
-the pairs of leaves before and after it are different in at least half of them: copies are left whole for
-deduplication by document.
+surroundings; furniture stands among different lines each time. Exact copies count as one text. A template recurs if it is
+found in MIN_DOCUMENTS texts with as many different surroundings, however many copies hold it: the leading tokens of the nearest lines before and after it
+that are not themselves in as many texts, or, for texts that consist of such lines in good part and so may be copies, the rarest of
+those lines. Copies are left whole for deduplication by document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietwire.llm.scratch import stage
@@ -26,8 +27,8 @@ DEPTH = 3
 #: Lines of fewer tokens say too little to be furniture.
 MIN_TOKENS = 4
 MIN_DOCUMENTS = 10
-#: Different surroundings a document.
-MIN_VARIETY = 0.5
+#: Share of a text's tokens in recurring lines from which it may be a copy.
+COPIED = 0.5
 #: Share of a leaf's lines that agree on a constant position, and share of positions after DEPTH that are constant.
 AGREEMENT = 0.8
 CONSTANT = 0.6
@@ -43,34 +44,55 @@ def _normal(text: Column) -> Column:
 
 
 def _parsed(texts: DataFrame, with_line: bool = False) -> DataFrame:
-    """(doc_id, text_hash, line_no, n_tokens, leaf, template, context) of every line of (doc_id, text), and the line."""
+    """(doc_id, text_hash, width, line_no, n_tokens, lead, leaf, template) of every line of (doc_id, text), and the line; width is the text's number of tokens."""
     lines = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split(_normal(F.col("text")), "\n").alias("lines"))
 
     def place(line: Column) -> Column:
         n = F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
-        return F.struct(n.alias("n_tokens"), F.xxhash64(n, F.substring_index(line, " ", DEPTH)).alias("leaf"), F.xxhash64(line).alias("template"))
+        return F.struct(n.alias("n_tokens"), F.xxhash64(F.substring_index(line, " ", DEPTH)).alias("lead"), F.xxhash64(line).alias("template"))
 
     placed = lines.select("doc_id", "text_hash", *(["lines"] if with_line else []), F.transform("lines", place).alias("places"))
 
     def row(x: Column, i: Column) -> Column:
-        around = F.xxhash64(F.get("places", i - 1)["leaf"], F.get("places", i + 1)["leaf"])
         own = [F.get("lines", i).alias("line")] if with_line else []
-        return F.struct(i.alias("line_no"), x["n_tokens"].alias("n_tokens"), x["leaf"].alias("leaf"), x["template"].alias("template"), around.alias("context"), *own)
+        return F.struct(i.alias("line_no"), x["n_tokens"].alias("n_tokens"), x["lead"].alias("lead"), F.xxhash64(x["n_tokens"], x["lead"]).alias("leaf"), x["template"].alias("template"), *own)
 
-    return placed.select("doc_id", "text_hash", F.explode(F.filter(F.transform("places", row), lambda x: x["n_tokens"] >= MIN_TOKENS)).alias("x")).select("doc_id", "text_hash", "x.*")
+    width = F.aggregate("places", F.lit(0), lambda n, x: n + x["n_tokens"]).alias("width")
+    return placed.select("doc_id", "text_hash", width, F.explode(F.filter(F.transform("places", row), lambda x: x["n_tokens"] >= MIN_TOKENS)).alias("x")).select("doc_id", "text_hash", "width", "x.*")
 
 
-def _recurring(lines: DataFrame, key: str, min_documents: int) -> DataFrame:
-    """The values of ``key`` that recur across documents, from counts that are made smaller before each exchange."""
-    by_document = lines.groupBy(key, "doc_id", "text_hash").agg(F.min("context").alias("context"))
-    by_context = by_document.groupBy(key, "context").agg(F.count("*").alias("documents"))
-    counts = by_context.groupBy(key).agg(F.sum("documents").alias("documents"), F.count("*").alias("contexts"))
-    return counts.filter((F.col("documents") >= min_documents) & (F.col("contexts") >= F.col("documents") * MIN_VARIETY)).select(key)
+def _in_texts(lines: DataFrame, key: str, min_documents: int) -> DataFrame:
+    """(key, documents) of the values of ``key`` that are found in enough different texts."""
+    return lines.select(key, "text_hash").distinct().groupBy(key).agg(F.count("*").alias("documents")).filter(F.col("documents") >= min_documents)
 
 
-def _generalised(texts: DataFrame, leaves: DataFrame, min_documents: int) -> DataFrame:
+def _in_context(lines: DataFrame, templates: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The lines whose template or leaf is in many texts, with ``documents`` of the template and the leading tokens of the nearest other lines as ``context``."""
+    marked = lines.join(templates, "template", "left").join(leaves.withColumn("often", F.lit(True)), "leaf", "left")
+    many = F.col("documents").isNotNull() | F.col("often").isNotNull()
+    text, other = Window.partitionBy("doc_id", "text_hash"), F.last(F.when(~many, F.col("lead")), ignorenulls=True)
+    earlier = (Window.unboundedPreceding, -1)
+    sides = marked.withColumn("before", other.over(text.orderBy("line_no").rowsBetween(*earlier))).withColumn("after", other.over(text.orderBy(F.desc("line_no")).rowsBetween(*earlier)))
+    return sides.filter(many).withColumn("context", F.xxhash64("before", F.lit(0), "after")).drop("before", "after", "often")
+
+
+def _sources(found: DataFrame) -> DataFrame:
+    """(text_hash, source) of texts that may be copies: the rarest of their lines whose templates are in many texts."""
+    lines = found.filter("documents is not null").groupBy("text_hash", "line_no").agg(F.first("n_tokens").alias("n_tokens"), F.first("width").alias("width"), F.first("template").alias("template"), F.first("documents").alias("documents"))
+    texts = lines.groupBy("text_hash").agg(F.sum("n_tokens").alias("n"), F.first("width").alias("width"), F.min(F.struct("documents", "template"))["template"].alias("source"))
+    return texts.filter(F.col("n") >= F.col("width") * COPIED).select("text_hash", "source")
+
+
+def _recurring(lines: DataFrame, key: str, sources: DataFrame, min_documents: int) -> DataFrame:
+    """The values of ``key`` that recur in different surroundings."""
+    by_text = lines.groupBy(key, "text_hash").agg(F.min("context").alias("context")).join(sources, "text_hash", "left")
+    around = by_text.select(key, F.coalesce("source", "context").alias("around")).distinct()
+    return around.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") >= min_documents).select(key)
+
+
+def _generalised(texts: DataFrame, leaves: DataFrame, found: DataFrame, sources: DataFrame, min_documents: int) -> DataFrame:
     """(doc_id, text_hash, line_no) of lines whose leaf generalises to a recurring template."""
-    lines = stage(_parsed(texts, with_line=True).join(leaves, "leaf").select("doc_id", "text_hash", "line_no", "leaf", "context", F.split("line", " ").alias("tokens")))
+    lines = stage(_parsed(texts, with_line=True).join(leaves, "leaf").select("doc_id", "text_hash", "line_no", "leaf", F.split("line", " ").alias("tokens")))
     cells = lines.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
     modes = cells.groupBy("leaf", "at").agg(F.max_by("token", F.struct("n", "token")).alias("token"), F.max("n").alias("n"), F.sum("n").alias("total"))
     constant = F.col("n") >= F.col("total") * AGREEMENT
@@ -78,8 +100,9 @@ def _generalised(texts: DataFrame, leaves: DataFrame, min_documents: int) -> Dat
     templates = modes.groupBy("leaf").agg(shape.alias("shape"), F.count("*").alias("width"), F.sum((constant & (F.col("at") >= DEPTH)).cast("int")).alias("fixed"))
     templates = templates.filter(F.col("fixed") >= (F.col("width") - DEPTH) * CONSTANT)
     follows = F.forall(F.zip_with("tokens", "shape", lambda t, s: s["token"].isNull() | (t == s["token"])), lambda x: x)
-    members = lines.join(templates, "leaf").filter(follows).select("doc_id", "text_hash", "line_no", "leaf", "context")
-    return members.join(_recurring(members, "leaf", min_documents), "leaf").select("doc_id", "text_hash", "line_no")
+    members = lines.join(templates, "leaf").filter(follows).select("doc_id", "text_hash", "line_no", "leaf")
+    contexts = found.join(leaves, "leaf", "left_semi").select("text_hash", "line_no", "context").distinct()
+    return members.join(_recurring(members.join(contexts, ["text_hash", "line_no"]), "leaf", sources, min_documents), "leaf").select("doc_id", "text_hash", "line_no")
 
 
 def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS, dropped_col: str | None = None) -> DataFrame:
@@ -92,11 +115,15 @@ def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str =
     key = F.col(id_col).alias("doc_id")
     texts = df.filter(F.col(text_col).isNotNull()).select(key, F.col(text_col).cast("string").alias("text"))
     keyed = stage(_parsed(texts))
-    whole = stage(_recurring(keyed, "template", min_documents))
-    dropped = keyed.join(whole, "template", "left_semi").select("doc_id", "text_hash", "line_no")
-    rest = keyed.join(whole, "template", "left_anti").filter(F.col("n_tokens") >= 2 * DEPTH)
-    leaves = stage(_recurring(rest, "leaf", min_documents))
-    dropped = dropped.unionByName(_generalised(texts, leaves, min_documents))
+    templates = stage(_in_texts(keyed, "template", min_documents))
+    often = stage(_in_texts(keyed.filter(F.col("n_tokens") >= 2 * DEPTH), "leaf", min_documents).select("leaf"))
+    found = stage(_in_context(keyed, templates, often))
+    sources = stage(_sources(found))
+    whole = stage(_recurring(found.filter("documents is not null"), "template", sources, min_documents))
+    dropped = found.join(whole, "template", "left_semi").select("doc_id", "text_hash", "line_no")
+    rest = found.join(whole, "template", "left_anti").filter(F.col("n_tokens") >= 2 * DEPTH)
+    leaves = stage(_recurring(rest, "leaf", sources, min_documents))
+    dropped = dropped.unionByName(_generalised(texts, leaves, found, sources, min_documents))
     by_document = dropped.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone"))
 
     given = df.select(F.struct(*df.columns).alias("row"), key, F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")).alias("g")

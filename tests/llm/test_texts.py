@@ -182,6 +182,25 @@ def test_recurring_lines(spark):
     assert out[0].gone == "g" and linedup.drop_recurring_lines(df.limit(0)).count() == 0
 
 
+def _prose(rng, n=12):
+    return " ".join("w" + "".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+
+
+def test_recurring_lines_beside_copies_and_in_blocks(spark):
+    rng = random.Random(8)
+    line, block = "all of this belongs to us", [f"{x} stands in the middle here" for x in ("one", "two", "three")]
+    rows = [(i, "\n".join([_prose(rng), "", line, "", *block, _prose(rng), _prose(rng)])) for i in range(12)]
+    body = [_prose(rng) for _ in range(6)]
+    rows += [(1000 + i, "\n".join([*body, line])) for i in range(60)]  # exact copies
+    for i in range(60):  # near copies
+        mine = [*body, line]
+        mine[rng.randrange(6)] = _prose(rng)
+        rows.append((2000 + i, "\n".join(mine)))
+    out = {r.doc_id: r.text for r in linedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = {line, *block}
+    assert all(out[i] == "\n".join(x for x in text.split("\n") if x not in gone) for i, text in rows)
+
+
 def test_rates_meet_targets_and_hold_out_labels(spark):
     rng = random.Random(9)
     own = {"clean": ["sun", "moon", "tree"], "junk": ["buy", "click"], "toxic": ["awful", "nasty"]}
