@@ -24,8 +24,9 @@ SPACES = r"[\x20\x09\x0B-\x0D]+"
 FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*"
 #: Leading tokens that lead to a leaf.
 DEPTH = 3
-#: Lines of fewer tokens say too little to be furniture.
+#: Lines of fewer tokens say less, and need SHORT_FACTOR times the documents.
 MIN_TOKENS = 4
+SHORT_FACTOR = 2
 MIN_DOCUMENTS = 10
 #: Share of a text's tokens in recurring lines from which it may be a copy.
 COPIED = 0.5
@@ -45,20 +46,23 @@ def _normal(text: Column) -> Column:
 
 def _parsed(texts: DataFrame, with_line: bool = False) -> DataFrame:
     """(doc_id, text_hash, width, line_no, n_tokens, lead, leaf, template) of every line of (doc_id, text), and the line; width is the text's number of tokens."""
-    lines = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split(_normal(F.col("text")), "\n").alias("lines"))
+    lines = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split(_normal(F.col("text")), "\n").alias("lines"), F.split("text", "\n").alias("given"))
 
-    def place(line: Column) -> Column:
+    def place(line: Column, given: Column) -> Column:
+        # a line of nothing but fields has no constant part; it is compared as it is given
+        only_fields = F.startswith(line, F.lit("<*>")) & (F.trim(F.replace(line, F.lit("<*>"), F.lit(""))) == "")
+        line = F.when(only_fields, F.trim(F.regexp_replace(given, SPACES, " "))).otherwise(line)
         n = F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
-        return F.struct(n.alias("n_tokens"), F.xxhash64(F.substring_index(line, " ", DEPTH)).alias("lead"), F.xxhash64(line).alias("template"))
+        return F.struct(n.alias("n_tokens"), F.xxhash64(F.substring_index(line, " ", DEPTH)).alias("lead"), F.xxhash64(line).alias("template"), *([line.alias("line")] if with_line else []))
 
-    placed = lines.select("doc_id", "text_hash", *(["lines"] if with_line else []), F.transform("lines", place).alias("places"))
+    placed = lines.select("doc_id", "text_hash", F.zip_with("lines", "given", place).alias("places"))
 
     def row(x: Column, i: Column) -> Column:
-        own = [F.get("lines", i).alias("line")] if with_line else []
+        own = [x["line"].alias("line")] if with_line else []
         return F.struct(i.alias("line_no"), x["n_tokens"].alias("n_tokens"), x["lead"].alias("lead"), F.xxhash64(x["n_tokens"], x["lead"]).alias("leaf"), x["template"].alias("template"), *own)
 
     width = F.aggregate("places", F.lit(0), lambda n, x: n + x["n_tokens"]).alias("width")
-    return placed.select("doc_id", "text_hash", width, F.explode(F.filter(F.transform("places", row), lambda x: x["n_tokens"] >= MIN_TOKENS)).alias("x")).select("doc_id", "text_hash", "width", "x.*")
+    return placed.select("doc_id", "text_hash", width, F.explode(F.filter(F.transform("places", row), lambda x: x["n_tokens"] > 0)).alias("x")).select("doc_id", "text_hash", "width", "x.*")
 
 
 def _in_texts(lines: DataFrame, key: str, min_documents: int) -> DataFrame:
@@ -85,9 +89,10 @@ def _sources(found: DataFrame) -> DataFrame:
 
 def _recurring(lines: DataFrame, key: str, sources: DataFrame, min_documents: int) -> DataFrame:
     """The values of ``key`` that recur in different surroundings."""
-    by_text = lines.groupBy(key, "text_hash").agg(F.min("context").alias("context")).join(sources, "text_hash", "left")
-    around = by_text.select(key, F.coalesce("source", "context").alias("around")).distinct()
-    return around.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") >= min_documents).select(key)
+    by_text = lines.groupBy(key, "text_hash").agg(F.min("context").alias("context"), F.first("n_tokens").alias("n_tokens")).join(sources, "text_hash", "left")
+    around = by_text.groupBy(key, F.coalesce("source", "context").alias("around")).agg(F.first("n_tokens").alias("n_tokens"))
+    asked = F.when(F.col("n_tokens") < MIN_TOKENS, SHORT_FACTOR * min_documents).otherwise(min_documents)
+    return around.groupBy(key).agg(F.count("*").alias("n"), F.first("n_tokens").alias("n_tokens")).filter(F.col("n") >= asked).select(key)
 
 
 def _generalised(texts: DataFrame, leaves: DataFrame, found: DataFrame, sources: DataFrame, min_documents: int) -> DataFrame:
@@ -101,7 +106,7 @@ def _generalised(texts: DataFrame, leaves: DataFrame, found: DataFrame, sources:
     templates = templates.filter(F.col("fixed") >= (F.col("width") - DEPTH) * CONSTANT)
     follows = F.forall(F.zip_with("tokens", "shape", lambda t, s: s["token"].isNull() | (t == s["token"])), lambda x: x)
     members = lines.join(templates, "leaf").filter(follows).select("doc_id", "text_hash", "line_no", "leaf")
-    contexts = found.join(leaves, "leaf", "left_semi").select("text_hash", "line_no", "context").distinct()
+    contexts = found.join(leaves, "leaf", "left_semi").select("text_hash", "line_no", "n_tokens", "context").distinct()
     return members.join(_recurring(members.join(contexts, ["text_hash", "line_no"]), "leaf", sources, min_documents), "leaf").select("doc_id", "text_hash", "line_no")
 
 

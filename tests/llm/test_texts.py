@@ -201,6 +201,13 @@ def test_recurring_lines_beside_copies_and_in_blocks(spark):
     assert all(out[i] == "\n".join(x for x in text.split("\n") if x not in gone) for i, text in rows)
 
 
+def test_short_recurring_lines(spark):
+    rng = random.Random(9)
+    rows = [(i, "\n".join([_prose(rng), "All rights reserved.", _prose(rng), "Share", str(1000 + i), _prose(rng)])) for i in range(24)]
+    out = {r.doc_id: r.text for r in linedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i].split("\n") == [x for x in text.split("\n") if x not in ("All rights reserved.", "Share")] for i, text in rows)  # different numbers stay
+
+
 def test_rates_meet_targets_and_hold_out_labels(spark):
     rng = random.Random(9)
     own = {"clean": ["sun", "moon", "tree"], "junk": ["buy", "click"], "toxic": ["awful", "nasty"]}
