@@ -71,13 +71,12 @@ def c09(v):
 
 @query("c10_extract_mentions", f"SELECT doc_id, {_joined_list(t.MENTION, 1, 10)} AS mentions FROM documents WHERE regexp_matches(text, '^[ -~\\s]*$')")
 def c10(v):
-    return v["documents"].filter(F.col("text").rlike(r"^[ -~\s]*$")).select("doc_id", F.array_join(t.extract_mentions(F.col("text")), "|").alias("mentions"))
+    return v["documents"].select("doc_id", F.array_join(t.extract_mentions(F.col("text")), "|").alias("mentions"))
 
 
 @query("c11_extract_phones_dates", f"SELECT doc_id, {_joined_list(t.PHONE, 0, 5)} AS phones, {_joined_list(t.DATE, 1, 6)} AS dates FROM documents WHERE regexp_matches(text, '^[ -~\\s]*$')")
 def c11(v):
-    ascii_texts = v["documents"].filter(F.col("text").rlike(r"^[ -~\s]*$"))
-    return ascii_texts.select("doc_id", F.array_join(t.extract_phones(F.col("text")), "|").alias("phones"), F.array_join(t.extract_dates(F.col("text")), "|").alias("dates"))
+    return v["documents"].select("doc_id", F.array_join(t.extract_phones(F.col("text")), "|").alias("phones"), F.array_join(t.extract_dates(F.col("text")), "|").alias("dates"))
 
 
 @query("c12_time_pressure_hits")

@@ -92,3 +92,15 @@ def test_affinity_values(spark):
 def test_domains(spark, official, used, mismatch, lookalike):
     assert one(spark, d.domain_mismatch(F.col("o"), F.col("u")), o=official, u=used) is mismatch
     assert one(spark, d.lookalike_domain(F.col("o"), F.col("u")), o=official, u=used) is lookalike
+
+
+def test_mentions_phones_and_dates_of_all_texts(spark):
+    from quietwire.plans import text_queries
+
+    rows = [(1, "ask @u_7 on 05/06/2024"), (2, "für @Ünal, @bob: 12 mar – 9876543210 — 1/2/25"), (3, None), (4, "日本 @a_1")]
+    found = {"documents": spark.createDataFrame(rows, "doc_id long, text string")}
+    mentions = {r.doc_id: set(r.mentions.split("|")) if r.mentions else set() for r in text_queries.c10(found).collect()}
+    dates = {r.doc_id: (r.phones, set(r.dates.split("|")) if r.dates else set()) for r in text_queries.c11(found).collect()}
+    assert set(mentions) == set(dates) == {1, 2, 3, 4}
+    assert "bob" in mentions[2] and mentions[4] == {"a_1"}
+    assert dates[2] == ("9876543210", {"12 mar", "1/2/25"}) and dates[1] == ("", {"05/06/2024"})
