@@ -47,7 +47,7 @@ def minima(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.nd
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int, n_hashes: int, seed: int = 7) -> DataFrame:
-    """(doc_id, n_shingles, node, minima) of every row; node identifies the shingle set and is null for the empty set."""
+    """(doc_id, text_hash, n_shingles, node, minima) of every row; node identifies the shingle set and is null for the empty set."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = _family(n_hashes, seed)
@@ -58,10 +58,10 @@ def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int, n_hashes
                 sizes.append(len(shingles))
                 nodes.append(wordhash.digest(shingles) if len(shingles) else None)
                 minimal.append(minima(shingles, family).tobytes() if len(shingles) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(minimal, pa.binary())], ["doc_id", "n_shingles", "node", "minima"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(minimal, pa.binary())], ["doc_id", "text_hash", "n_shingles", "node", "minima"])
 
-    ids = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return ids.mapInArrow(sketch, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, n_shingles long, node binary, minima binary")
+    ids = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    return ids.mapInArrow(sketch, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, node binary, minima binary")
 
 
 def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -136,7 +136,7 @@ def _rare_shingle_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> Data
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 30, rows: int = 5) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, with_group: bool = False) -> DataFrame:
     """Group documents whose shingle sets have a Jaccard similarity of at least ``percent`` / 100.
 
     Returns one row per input row: doc_id, n_shingles, component_id (the smallest id reachable by links), kept. With 30
@@ -144,7 +144,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null or wordless texts have the empty set, link with nothing and are kept. A document with fewer words than a
     shingle has its whole sequence as its one shingle. Rows that repeat an id share its verdict. A null id never names a group
-    that holds another id, so such a row is kept only if nothing else is like it. Extra columns are ignored; an empty
+    that holds another id, so such a row is kept only if nothing else is like it. With ``with_group``, the row's text_hash
+    and a name of its group that differs between unlike groups of one id (null for the empty set) follow. Extra columns are ignored; an empty
     table gives no rows.
     """
     sketch = stage(signatures(df, id_col, text_col, shingle, bands * rows))
@@ -180,6 +181,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     owners = nodes.select("node", "doc_id").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = owners.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_node = owners.join(names, "component").select("node", "component_id")
+    by_node = owners.join(names, "component").select("node", "component_id", "component")
     named = sketch.join(by_node, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return named.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return named.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *(["text_hash", F.col("component").alias("group")] if with_group else []))

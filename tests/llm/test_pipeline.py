@@ -41,3 +41,12 @@ def test_planted_cases(spark, tmp_path):
         assert r.n_tokens == len(library.encode_ordinary(texts[i]))
         assert r.decoded_sha256 == hashlib.sha256(texts[i].encode()).hexdigest()
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "minhash_near_dedup", "mixing", "byte_bpe"]
+
+
+def test_near_dedup_keeps_unlike_rows_of_one_id(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("c")), (4, text("c")), (5, text("d")), (5, text("e")), (5, text("e") + " more"), (6, text("d"))]
+    left = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert left.columns == ["doc_id", "text"]
+    got = [(r.doc_id, r.text[0]) for r in left.collect()]
+    assert sorted(got, key=str) == sorted([(None, "a"), (None, "b"), (4, "c"), (5, "d"), (5, "e")], key=str)
