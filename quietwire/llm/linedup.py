@@ -2,8 +2,9 @@
 
 A line is parsed into tokens; tokens with a digit are variable fields from the start. The tree has a fixed depth: a
 line goes to the leaf named by its token count and its first DEPTH tokens. Two kinds of template come out of it. A whole
-line, with its fields, is one. A leaf's lines also generalise: positions on which nearly all of them agree are constant,
-the rest become fields, and if enough is constant, the lines that agree on all of it share a template.
+line, with its fields, is one. A leaf's lines also generalise: the tokens of a line that recur at their position in the leaf
+are ranked by the different surroundings they recur in; as many as must be constant, and those that recur as widely, are, and
+the rest become fields. The lines of a leaf with the same constants share a template, so a leaf may hold several.
 
 A template is dropped where it recurs across documents. Copies of a document bring all their lines along with their
 surroundings; furniture stands among different lines each time. Exact copies count as one text. A template recurs if it is
@@ -30,8 +31,7 @@ SHORT_FACTOR = 2
 MIN_DOCUMENTS = 10
 #: Share of a text's tokens in recurring lines from which it may be a copy.
 COPIED = 0.5
-#: Share of a leaf's lines that agree on a constant position, and share of positions after DEPTH that are constant.
-AGREEMENT = 0.8
+#: Share of positions after DEPTH that are constant.
 CONSTANT = 0.6
 
 
@@ -97,17 +97,19 @@ def _recurring(lines: DataFrame, key: str, sources: DataFrame, min_documents: in
 
 def _generalised(texts: DataFrame, leaves: DataFrame, found: DataFrame, sources: DataFrame, min_documents: int) -> DataFrame:
     """(doc_id, text_hash, line_no) of lines whose leaf generalises to a recurring template."""
-    lines = stage(_parsed(texts, with_line=True).join(leaves, "leaf").select("doc_id", "text_hash", "line_no", "leaf", F.split("line", " ").alias("tokens")))
-    cells = lines.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
-    modes = cells.groupBy("leaf", "at").agg(F.max_by("token", F.struct("n", "token")).alias("token"), F.max("n").alias("n"), F.sum("n").alias("total"))
-    constant = F.col("n") >= F.col("total") * AGREEMENT
-    shape = F.array_sort(F.collect_list(F.struct("at", F.when(constant, F.col("token")).alias("token"))))
-    templates = modes.groupBy("leaf").agg(shape.alias("shape"), F.count("*").alias("width"), F.sum((constant & (F.col("at") >= DEPTH)).cast("int")).alias("fixed"))
-    templates = templates.filter(F.col("fixed") >= (F.col("width") - DEPTH) * CONSTANT)
-    follows = F.forall(F.zip_with("tokens", "shape", lambda t, s: s["token"].isNull() | (t == s["token"])), lambda x: x)
-    members = lines.join(templates, "leaf").filter(follows).select("doc_id", "text_hash", "line_no", "leaf")
-    contexts = found.join(leaves, "leaf", "left_semi").select("text_hash", "line_no", "n_tokens", "context").distinct()
-    return members.join(_recurring(members.join(contexts, ["text_hash", "line_no"]), "leaf", sources, min_documents), "leaf").select("doc_id", "text_hash", "line_no")
+    contexts = found.join(leaves, "leaf", "left_semi").select("text_hash", "line_no", "context").distinct().join(sources, "text_hash", "left")
+    contexts = contexts.select("text_hash", "line_no", "context", F.coalesce("source", "context").alias("around"))
+    tokens = F.split("line", " ").alias("tokens")
+    lines = stage(_parsed(texts, with_line=True).join(leaves, "leaf").select("doc_id", "text_hash", "line_no", "n_tokens", "leaf", tokens).join(contexts, ["text_hash", "line_no"]))
+    own = ["doc_id", "text_hash", "line_no", "n_tokens", "leaf", "context"]
+    at = lines.select(*own, "around", F.posexplode("tokens").alias("at", "token")).filter(F.col("at") >= DEPTH)
+    cells = at.select("leaf", "at", "token", "around").distinct().groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).filter(F.col("n") >= min_documents)
+    ranked = at.join(cells, ["leaf", "at", "token"]).groupBy(*own).agg(F.sort_array(F.collect_set(F.struct("n", "at", "token")), asc=False).alias("cells"))
+    wanted = F.ceil((F.col("n_tokens") - DEPTH) * CONSTANT - 1e-9).cast("int")
+    least = F.get("cells", wanted - 1)["n"]
+    shape = F.array_sort(F.transform(F.filter("cells", lambda c: c["n"] >= least), lambda c: F.struct(c["at"], c["token"])))
+    members = ranked.filter(F.size("cells") >= wanted).select(*own, F.xxhash64("leaf", shape).alias("shape"))
+    return members.join(_recurring(members, "shape", sources, min_documents), "shape").select("doc_id", "text_hash", "line_no")
 
 
 def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS, dropped_col: str | None = None) -> DataFrame:
@@ -127,7 +129,7 @@ def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str =
     whole = stage(_recurring(found.filter("documents is not null"), "template", sources, min_documents))
     dropped = found.join(whole, "template", "left_semi").select("doc_id", "text_hash", "line_no")
     rest = found.join(whole, "template", "left_anti").filter(F.col("n_tokens") >= 2 * DEPTH)
-    leaves = stage(_recurring(rest, "leaf", sources, min_documents))
+    leaves = stage(_recurring(found.filter(F.col("n_tokens") >= 2 * DEPTH), "leaf", sources, min_documents).join(rest, "leaf", "left_semi"))
     dropped = dropped.unionByName(_generalised(texts, leaves, found, sources, min_documents))
     by_document = dropped.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone"))
 
