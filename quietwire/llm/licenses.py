@@ -24,6 +24,19 @@ MAX_TEMPLATE_WORDS = 100_000
 #: Phrases and labels fixed by contract.
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 
+#: Creative Commons licenses by label: the short name, and as much of the full one as no other license has.
+_CC = (
+    ("cc-by", "CC BY", "Commons Attribution"),
+    ("cc-by-sa", "CC BY-SA", "Attribution-ShareAlike"),
+    ("cc-by-nc", "CC BY-NC", "Attribution-NonCommercial"),
+    ("cc-by-nd", "CC BY-ND", "Attribution-NoDerivatives"),
+    ("cc-by-nd", "CC BY-ND", "Attribution-NoDerivs"),
+    ("cc-by-nc-sa", "CC BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    ("cc-by-nc-nd", "CC BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    ("cc-by-nc-nd", "CC BY-NC-ND", "Attribution-NonCommercial-NoDerivs"),
+)
+_CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+
 #: Wording of public licenses and of their usual notices.
 TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
@@ -36,8 +49,19 @@ TEMPLATES = (
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mit", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("boost", "Distributed under the Boost Software License, Version 1.0"),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("cc0", "CC0 1.0 Universal"),
+    *((label, f"{name} {version}") for label, short, full in _CC for name in (short, full) for version in _CC_VERSIONS),
 )
 
 

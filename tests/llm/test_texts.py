@@ -101,6 +101,12 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_license_families_and_parts(spark):
+    texts = ["Licensed under CC BY-NC 4.0", "a CC BY 4.0 b", "CC BY-NC-SA 3.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Creative Commons Attribution 4.0 International", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Distributed under the Boost Software License, Version 1.0."]
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(7)] == ["cc-by-nc", "cc-by", "cc-by-nc-sa", "cc-by-sa", "cc-by", "bsd", "boost"]
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "ann", "hi é"), (1, 1, "bob", "yo"), (1, 2, None, None), (1, 1, "bob", "yo"), (None, 0, "x", "lost"), (2, None, "cy", "z"), (2, 0, "cy", "a")]
     df = spark.createDataFrame([(*r, "q") for r in rows], "conv_id long, turn long, role string, text string, said string")
