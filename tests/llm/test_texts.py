@@ -214,19 +214,6 @@ def test_short_recurring_lines(spark):
     assert all(out[i].split("\n") == [x for x in text.split("\n") if x not in ("All rights reserved.", "Share")] for i, text in rows)  # different numbers stay
 
 
-def test_several_recurring_templates_of_one_leaf(spark):
-    rng = random.Random(10)
-    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
-    variable = lambda i: f"Posted in the group {name()} by our moderators" if i % 2 else f"Posted in the forum {name()} about garden plants"
-    rows = [(i, "\n".join([_prose(rng), variable(i), _prose(rng), _prose(rng)])) for i in range(40)]
-    rows += [(100 + i, "\n".join([_prose(rng), "Posted in the " + _prose(rng, 5), _prose(rng)])) for i in range(20)]
-    body = "\n".join([_prose(rng), "Posted in the town where they were born", _prose(rng)])
-    rows += [(1000 + i, body) for i in range(200)]
-    out = {r.doc_id: r.text for r in linedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for i, text in rows:
-        assert out[i] == ("\n".join(x for x in text.split("\n") if not x.startswith("Posted")) if i < 40 else text)
-
-
 def test_rates_meet_targets_and_hold_out_labels(spark):
     rng = random.Random(9)
     own = {"clean": ["sun", "moon", "tree"], "junk": ["buy", "click"], "toxic": ["awful", "nasty"]}
