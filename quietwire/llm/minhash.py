@@ -5,29 +5,28 @@ the set; bands of consecutive minima put similar sets into common buckets; the s
 chance meetings; the full sets decide. Links are closed into groups by large-star / small-star.
 
 Exact copies share one node, so a group of any number of copies costs one row. In a bucket, each set is first compared
-with one centre; those links are closed, and a bucket whose sets then lie in one group is done. Of the others, those of up to
-CROWD sets compare their sets across groups pair by pair. In larger ones the sets are joined on their rarest shingles
-instead: of two similar sets, the first common shingle in an order by frequency stands near the front of both, near enough
-to leave room for the overlap that the threshold asks for. A set that differs from its kin in more than the threshold
+with one centre, that of its sets which meets most others anywhere: in a family of edited copies that is the text they come from, and nearly
+all that is like anything is like it. Those links are closed, and a bucket whose sets then lie in one group is done. The sets of the others are
+joined on their rarest shingles: of two similar sets, the first common shingle in an order by frequency stands near the front of both,
+near enough to leave room for the overlap that the threshold asks for. A set that differs from its kin in more than the threshold
 allows has rarer shingles of its own there and meets nobody, so the join stays small where a bucket's pairs would be
 many, and misses no link.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietwire.llm import wordhash
 from quietwire.llm.components import connected_components
 from quietwire.llm.scratch import stage
 
-#: Sets in a bucket of several groups above which they are joined on their rarest shingles.
-CROWD = 32
 #: Share below the threshold, in equal minima, at which a pair is rejected unread: about five standard deviations.
 MARGIN = 0.18
 
@@ -64,51 +63,68 @@ def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int, n_hashes
     return ids.mapInArrow(sketch, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, node binary, minima binary")
 
 
+def _values(column: pa.Array, dtype: type) -> Iterator[np.ndarray]:
+    """The values of a binary column as arrays, without copies."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1].tolist()
+    for start, end in itertools.pairwise(offsets):
+        yield np.frombuffer(data, dtype, count=(end - start) // np.dtype(dtype).itemsize, offset=start) if end > start else np.empty(0, dtype)
+
+
 def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(node, shingles) of the wanted (doc_id, node), read again from the texts."""
+    """(node, doc_id, shingles) of the wanted (node, doc_id, text_hash), read again from the texts."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sets = [], []
+            found, sets = [], []
             asked = batch.column(1).to_pylist()
             for i, words, _ in wordhash.documents(batch.column(0), lower=True):
                 shingles = wordhash.shingle_set(words, shingle)
-                if len(shingles) and wordhash.digest(shingles) == asked[i]:  # an id may stand on several rows
-                    nodes.append(asked[i])
+                if len(shingles) and wordhash.digest(shingles) == asked[i]:  # texts of one id may share a hash
+                    found.append(i)
                     sets.append(shingles.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], ["node", "shingles"])
+            rows = pa.array(found, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(rows), batch.column(2).take(rows), pa.array(sets, pa.binary())], ["node", "doc_id", "shingles"])
+
+    texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text")).alias("t")
+    same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.text_hash") == F.col("w.text_hash"))
+    found = texts.join(wanted.alias("w"), same).select("t.text", "w.node", "w.doc_id")
+    return found.mapInArrow(collect, f"node binary, doc_id {_type(wanted, 'doc_id')}, shingles binary").dropDuplicates(["node"])
+
 
-    texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).alias("t")
-    found = texts.join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))).select("t.text", "w.node")
-    return found.mapInArrow(collect, "node binary, shingles binary").dropDuplicates(["node"])
+def _type(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar: first by their minima, then by their full sets."""
+    """The pairs (a, b) of nodes that are similar, first by their minima, then by their full sets, each as (no_id, doc_id, node).
+
+    Arrow batches are bounded by ``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB unless set, so sets of long texts come a few at a time.
+    """
 
     def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            equal = [np.count_nonzero(np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)) / (len(x) / 4) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            mask = pa.array(np.asarray(equal, dtype=float) >= percent / 100 - MARGIN)
-            yield from table.select(["a", "b"]).filter(mask).to_batches()
+            equal = [np.count_nonzero(x == y) / len(x) for x, y in zip(_values(batch.column(2), np.uint32), _values(batch.column(3), np.uint32), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(np.asarray(equal, dtype=float) >= percent / 100 - MARGIN))
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             verdicts = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(_values(batch.column(2), np.uint64), _values(batch.column(3), np.uint64), strict=True):
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 verdicts.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield from pa.Table.from_batches([batch]).select(["a", "b"]).filter(pa.array(verdicts, pa.bool_())).to_batches()
+            yield batch.select(["a", "b"]).filter(pa.array(verdicts, pa.bool_()))
 
-    def with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
-        left = table.select(F.col("node").alias("a"), F.col(value).alias("of_a"))
-        right = table.select(F.col("node").alias("b"), F.col(value).alias("of_b"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
+    def with_both(pairs: DataFrame, table: DataFrame, value: str, name: Column) -> DataFrame:
+        left = table.select(F.col("node").alias("a"), F.col(value).alias("of_a"), name.alias("name_a"))
+        right = table.select(F.col("node").alias("b"), F.col(value).alias("of_b"), name.alias("name_b"))
+        return pairs.join(left, "a").join(right, "b").select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), "of_a", "of_b")
 
-    likely = with_both(pairs, nodes, "minima").mapInArrow(promising, "a binary, b binary")
-    return with_both(likely, sets, "shingles").mapInArrow(similar, "a binary, b binary")
+    likely = with_both(pairs, nodes, "minima", F.col("node")).mapInArrow(promising, "a binary, b binary")
+    vertex = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")  # the least of a group has its least id
+    named = f"struct<no_id:boolean,doc_id:{_type(nodes, 'doc_id')},node:binary>"
+    return with_both(likely, sets, "shingles", vertex).mapInArrow(similar, f"a {named}, b {named}")
 
 
 def _rare_shingle_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -120,13 +136,14 @@ def _rare_shingle_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> Data
                 part = batch.slice(i, 256)
                 sizes = np.asarray(part.column(1))
                 index = pa.array(np.repeat(np.arange(part.num_rows), sizes))
-                values = np.frombuffer(b"".join(part.column(3).to_pylist()), np.int64)
+                values = np.concatenate(list(_values(part.column(3), np.int64)))
                 yield pa.RecordBatch.from_arrays([*(part.column(k).take(index) for k in range(3)), pa.array(values)], ["node", "n", "grp", "shingle"])
 
     rows = crowd.join(sets, "node").select("node", "n", "grp", "shingles").mapInArrow(spread, "node binary, n long, grp binary, shingle long")
-    frequency = rows.groupBy("shingle").agg(F.count("*").alias("df"))
-    ranked = rows.join(frequency, "shingle").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")))
-    prefix = ranked.filter((F.col("df") > 1) & (F.col("at") * 100 <= F.col("n") * (100 - percent) + 100)).drop("df")
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    # shingles of one set alone come first in the order; they are counted, not ranked
+    common = rows.join(shared, "shingle").withColumns({"rank": F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")), "own": F.col("n") - F.count("*").over(Window.partitionBy("node"))})
+    prefix = common.withColumn("at", F.col("own") + F.col("rank")).filter(F.col("at") * 100 <= F.col("n") * (100 - percent) + 100).drop("df", "own", "rank")
     # a shingle's largest group is only compared with the others, never with itself
     largest = prefix.groupBy("shingle", "grp").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("grp", F.struct("k", "grp")).alias("main"), F.count("*").alias("groups")).filter("groups > 1")
     x, y = prefix.join(largest, "shingle").filter("grp <> main").alias("x"), prefix.join(largest.select("shingle"), "shingle").alias("y")
@@ -143,44 +160,38 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bands of 5 minima, a pair at exactly 0.8 meets in no bucket with a probability of 7e-6.
 
     Null or wordless texts have the empty set, link with nothing and are kept. A document with fewer words than a
-    shingle has its whole sequence as its one shingle. Rows that repeat an id share its verdict. A null id never names a group
+    shingle has its whole sequence as its one shingle. Rows that repeat an id are each judged by their own text. A null id never names a group
     that holds another id, so such a row is kept only if nothing else is like it. With ``with_group``, the row's text_hash
     and a name of its group that differs between unlike groups of one id (null for the empty set) follow. Extra columns are ignored; an empty
     table gives no rows.
     """
     sketch = stage(signatures(df, id_col, text_col, shingle, bands * rows))
     filled = sketch.filter("node is not null")
-    nodes = filled.groupBy("node").agg(F.first("minima").alias("minima"), F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"))
-    nodes = stage(nodes)
+    nodes = filled.groupBy("node").agg(F.first("minima").alias("minima"), F.first("n_shingles").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("least"))
+    nodes = stage(nodes.select("node", "minima", "n", "least.doc_id", "least.text_hash"))
 
     width = 4 * rows
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.substring(F.col("minima"), k * width + 1, F.lit(width))))
     banded = nodes.select("node", "n", F.explode(keys).alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("members")).filter("members > 1")
-    met = stage(banded.join(buckets.select("band", "centre"), "band"))
+    buckets = banded.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
+    met = stage(banded.join(buckets, "band"))
+    scored = met.join(met.groupBy("node").agg(F.sum("members").alias("meets")), "node")
+    centres = scored.groupBy("band").agg(F.max_by("node", F.struct("meets", "node")).alias("centre"))
+    stars = stage(met.join(centres, "band").filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
 
-    wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("doc_id", "node")
+    wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash")
     sets = stage(_sets(df, wanted, id_col, text_col, shingle))
 
-    stars = met.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     first = stage(_verified(stars, nodes, sets, percent))
-    groups = connected_components(first)
-
-    labelled = met.join(groups, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("grp"))
-    mixed = labelled.groupBy("band").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count("*").alias("members")).filter("low <> high")
-    apart = stage(labelled.join(mixed.select("band", "members"), "band"))
-    few = apart.filter(F.col("members") <= CROWD)
-    x, y = few.alias("x"), few.alias("y")
-    may_reach = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (F.col("x.node") < F.col("y.node")) & (F.col("x.grp") != F.col("y.grp"))
-    across = x.join(y, (F.col("x.band") == F.col("y.band")) & may_reach).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    crowded = apart.filter(F.col("members") > CROWD).select("node", "n", "grp").distinct()
-    across = across.unionByName(_rare_shingle_pairs(crowded, sets, percent)).distinct()
+    groups = connected_components(first).select(F.col("node.node").alias("node"), F.col("component.node").alias("grp"))
+
+    labelled = met.join(groups, "node", "left").select("band", "node", "n", F.coalesce("grp", "node").alias("grp"))
+    mixed = labelled.groupBy("band").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low <> high")
+    apart = stage(labelled.join(mixed.select("band"), "band").select("node", "n", "grp").distinct())
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = _verified(across.join(tried, ["a", "b"], "left_anti"), nodes, sets, percent)
-    groups = connected_components(first.unionByName(second))
+    second = _verified(_rare_shingle_pairs(apart, sets, percent).join(tried, ["a", "b"], "left_anti"), nodes, sets, percent)
+    groups = connected_components(first.unionByName(second)).select(F.col("node.node").alias("node"), F.col("component.doc_id").alias("least"), F.col("component.node").alias("group"))
 
-    owners = nodes.select("node", "doc_id").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = owners.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_node = owners.join(names, "component").select("node", "component_id", "component")
+    by_node = nodes.select("node", "doc_id").join(groups, "node", "left").select("node", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.coalesce("group", "node").alias("group"))
     named = sketch.join(by_node, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return named.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *(["text_hash", F.col("component").alias("group")] if with_group else []))
+    return named.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *(["text_hash", "group"] if with_group else []))

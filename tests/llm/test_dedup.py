@@ -55,16 +55,30 @@ def brute_components(texts, k, percent):
     return {i: (len(sets[i]), root(parent, i)) for i in sets}
 
 
-@pytest.mark.parametrize(("crowd", "k"), [(32, 4), (2, 5)])
-def test_minhash_equals_brute_force(spark, monkeypatch, crowd, k):
-    monkeypatch.setattr(minhash, "CROWD", crowd)
-    texts = make_texts(crowd)
+@pytest.mark.parametrize(("seed", "k"), [(32, 4), (2, 5)])
+def test_minhash_equals_brute_force(spark, seed, k):
+    texts = make_texts(seed)
+    rng = random.Random(seed)
+    for _ in range(3):  # chains, of which no one text is like all others, and families at all distances from their origin
+        words = [f"c{rng.randrange(10**6)}" for _ in range(150)]
+        for n in range(40):
+            if n < 20:
+                words[n * 7 : n * 7 + 3] = [f"c{rng.randrange(10**6)}" for _ in range(3)]
+                texts.append(" ".join(words))
+            else:
+                texts.append(" ".join(w if rng.random() > n / 800 else f"c{rng.randrange(10**6)}" for w in words))
     df = spark.createDataFrame([(i, x, "n", i) for i, x in enumerate(texts)], "doc_id long, text string, node string, n long")
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, shingle=k).collect()}
     expected = brute_components(texts, k, 80)
     assert got == {i: (n, c, c == i) for i, (n, c) in expected.items()}
 
 
+def test_minhash_rows_that_repeat_an_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    got = minhash.near_duplicates(spark.createDataFrame([(3, a), (5, a), (5, b), (8, b)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(3, 3, True), (5, 3, False), (5, 5, True), (8, 5, False)]
+
+
 def test_minhash_awkward_ids_and_empty_table(spark):
     text = " ".join(f"a{i}" for i in range(30))
     rows = [(5, text), (5, text), (None, text), (None, "only here is this"), (7, text + " b"), (9, None), (9, "")]
