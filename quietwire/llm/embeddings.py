@@ -141,11 +141,13 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     found = tiles.groupBy("label", "length", "tile_x", "tile_y").applyInArrow(_tile(threshold), "a string, b string, links long")
     found = stage(found)
 
-    groups = connected_components(found.filter("b is not null").select("a", "b"))
+    vertex = F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "node")  # the least of a group has its least id
+    ends = nodes.select("node", vertex.alias("vertex"))
+    links = found.filter("b is not null").select("a", "b")
+    links = links.join(ends.select(F.col("node").alias("a"), F.col("vertex").alias("x")), "a").join(ends.select(F.col("node").alias("b"), F.col("vertex").alias("y")), "b")
+    groups = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).select("node.node", F.col("component.first_id").alias("least"), F.lit(True).alias("grouped"))
     counts = found.filter("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    named = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.join(names, "component").join(counts, "node", "left")
+    named = nodes.join(groups, "node", "left").join(counts, "node", "left").withColumn("component_id", F.when(F.col("grouped"), F.col("least")).otherwise(F.col("first_id")))
     by_node = named.select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = rows.select("vec_id", "node").join(by_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
