@@ -18,9 +18,9 @@ BAIT = "(verify|secure|kyc|login|alert|otp|update|refund|reward)"
 SALUTATION = r"\b(dear (?:customer|user|sir/madam|member)|hi customer|hello user|dear valued)\b"
 
 
-def add(*parts: tuple[Column, Column | float]) -> Column:
-    """Sum, in order, of the values whose conditions hold; a null condition does not hold."""
-    total = F.lit(0.0)
+def add(*parts: tuple[Column, Column | float], start: Column | float = 0.0) -> Column:
+    """Sum from ``start``, in order, of the values whose conditions hold; a null condition does not hold."""
+    total = start if isinstance(start, Column) else F.lit(start)
     for condition, value in parts:
         total = total + F.when(condition, value).otherwise(0.0)
     return total

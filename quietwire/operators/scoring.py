@@ -131,7 +131,7 @@ def classify_type() -> Column:
 def trust() -> Column:
     """G05."""
     biz, age = F.col("has_biz"), F.col("biz_account_age_days")
-    raw = F.lit(0.5) + add(
+    raw = add(
         (biz, F.when(F.col("biz_verified"), 0.22).otherwise(-0.12)),
         (F.col("mismatch"), -0.34),
         (biz & (age >= 730), 0.08),
@@ -141,6 +141,7 @@ def trust() -> Column:
         (F.col("sender_admin"), 0.14),
         ((F.col("group_id") != "") & (F.col("sender_user_id") != "") & ~F.col("snd_member"), -0.08),
         ((F.col("sender_user_id") != "") & (F.col("sender_seen") >= 2), 0.18 * F.col("sender_affinity")),
+        start=0.5,
     )
     return unit(raw - 0.45 * F.col("risk"))
 
@@ -163,7 +164,7 @@ def relationship() -> Column:
     member = grouped & F.col("is_member")
     read = smoothed_rate(F.col("mem_read"), F.greatest(F.col("mem_read") + F.col("mem_dismissed"), F.lit(1)))
     sender, firm = F.col("sender_user_id") != "", F.col("business_id") != ""
-    raw = F.lit(0.5) + add(
+    raw = add(
         (member & F.col("mem_muted"), -0.20),
         (member, 0.24 * (read - 0.5) * 2),
         (member & (F.col("mem_replies") >= 3), 0.10),
@@ -180,6 +181,7 @@ def relationship() -> Column:
         (firm & ~F.col("has_rel"), -0.12),
         (firm & (F.col("business_seen") > 0), 0.16 * F.col("business_affinity")),
         (F.col("topic_seen") >= 2, 0.12 * F.col("topic_affinity")),
+        start=0.5,
     )
     return unit(raw)
 
@@ -203,10 +205,11 @@ def relationship_drivers() -> list[Column]:
 def importance() -> Column:
     """G07."""
     live = (F.col("business_id") != "") & F.col("kind").isin("business_update", "event", "payment") & F.col("rel_active")
-    raw = look_up(IMPORTANCE, F.col("kind"), 0.35) + add(
+    raw = add(
         (F.col("group_type").isin(*SCHOOL_GROUPS, *OPERATIONAL_GROUPS), 0.06),
         (live, 0.24),
         (live & any_hit("business_update", "event"), 0.08),
+        start=look_up(IMPORTANCE, F.col("kind"), 0.35),
     )
     return F.round(F.least(F.lit(1.0), raw), 3)
 
