@@ -98,25 +98,38 @@ def _recurring(lines: DataFrame, key: str, sources: DataFrame, min_documents: in
 def _generalised(texts: DataFrame, leaves: DataFrame, found: DataFrame, sources: DataFrame, min_documents: int) -> DataFrame:
     """(doc_id, text_hash, line_no) of lines whose leaf generalises to a recurring template."""
     lines = stage(_parsed(texts, with_line=True).join(leaves, "leaf").select("doc_id", "text_hash", "line_no", "leaf", F.split("line", " ").alias("tokens")))
-    cells = lines.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
+    each = lines.dropDuplicates(["text_hash", "line_no"])  # exact copies have one say
+    cells = each.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
     modes = cells.groupBy("leaf", "at").agg(F.max_by("token", F.struct("n", "token")).alias("token"), F.max("n").alias("n"), F.sum("n").alias("total"))
     constant = F.col("n") >= F.col("total") * AGREEMENT
     shape = F.array_sort(F.collect_list(F.struct("at", F.when(constant, F.col("token")).alias("token"))))
     templates = modes.groupBy("leaf").agg(shape.alias("shape"), F.count("*").alias("width"), F.sum((constant & (F.col("at") >= DEPTH)).cast("int")).alias("fixed"))
-    templates = templates.filter(F.col("fixed") >= (F.col("width") - DEPTH) * CONSTANT)
+    templates = stage(templates.filter(F.col("fixed") >= (F.col("width") - DEPTH) * CONSTANT))
     follows = F.forall(F.zip_with("tokens", "shape", lambda t, s: s["token"].isNull() | (t == s["token"])), lambda x: x)
     members = lines.join(templates, "leaf").filter(follows).select("doc_id", "text_hash", "line_no", "leaf")
     contexts = found.join(leaves, "leaf", "left_semi").select("text_hash", "line_no", "n_tokens", "context").distinct()
     return members.join(_recurring(members.join(contexts, ["text_hash", "line_no"]), "leaf", sources, min_documents), "leaf").select("doc_id", "text_hash", "line_no")
 
 
+def _masks(dropped: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, n_gone, gone): the line numbers of each text as bits, 64 lines to a number."""
+    lines = dropped.distinct()
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("line_no", F.lit(64)))
+    blocks = lines.groupBy("doc_id", "text_hash", F.floor(F.col("line_no") / 64).cast("int").alias("block")).agg(F.bit_or(bit).alias("mask"), F.count("*").alias("n"))
+    texts = blocks.groupBy("doc_id", "text_hash").agg(F.sum("n").alias("n_gone"), F.max("block").alias("last"), F.map_from_entries(F.collect_list(F.struct("block", "mask"))).alias("masks"))
+    dense = F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.coalesce(F.element_at("masks", k), F.lit(0).cast("long")))
+    return texts.select("doc_id", "text_hash", "n_gone", dense.alias("gone"))
+
+
 def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS, dropped_col: str | None = None) -> DataFrame:
     """All rows and columns of ``df``, with lines of recurring templates taken out of ``text_col``.
 
-    With ``dropped_col``, that column of the result says how many lines went. Lines end at \\n and those that stay are
+    With ``dropped_col``, a new name, that column of the result says how many lines went. Lines end at \\n and those that stay are
     joined by it again; a text that loses all its lines is empty. Null texts stay null. Rows that repeat an id are told apart
     by their texts; equal rows count as one document. A null id is an id like any other. An empty table gives no rows.
     """
+    if dropped_col in df.columns:
+        raise ValueError(f"{dropped_col} is a column already")
     key = F.col(id_col).alias("doc_id")
     texts = df.filter(F.col(text_col).isNotNull()).select(key, F.col(text_col).cast("string").alias("text"))
     keyed = stage(_parsed(texts))
@@ -129,13 +142,18 @@ def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str =
     rest = found.join(whole, "template", "left_anti").filter(F.col("n_tokens") >= 2 * DEPTH)
     leaves = stage(_recurring(rest, "leaf", sources, min_documents))
     dropped = dropped.unionByName(_generalised(texts, leaves, found, sources, min_documents))
-    by_document = dropped.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone"))
+    by_document = _masks(dropped)
 
     given = df.select(F.struct(*df.columns).alias("row"), key, F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")).alias("g")
     g = given.join(by_document.alias("b"), F.col("g.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("g.text_hash") == F.col("b.text_hash")), "left")
     text = F.col("row")[text_col].cast("string")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
+
+    def stays(_: Column, i: Column) -> Column:
+        mask = F.coalesce(F.get("gone", F.floor(i / 64).cast("int")), F.lit(0))
+        return F.call_function("shiftrightunsigned", mask, F.pmod(i, F.lit(64))).bitwiseAND(F.lit(1)) == 0
+
+    kept = F.array_join(F.filter(F.split(text, "\n"), stays), "\n")
     columns = [F.when(F.col("gone").isNull() | text.isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns]
     if dropped_col:
-        columns.append(F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(dropped_col))
+        columns.append(F.coalesce("n_gone", F.lit(0)).cast("long").alias(dropped_col))
     return g.select(*columns)

@@ -249,3 +249,78 @@ def test_rates_meet_targets_and_hold_out_labels(spark):
     assert len(none) == 242 and {round(x, 6) for r in none for x in r.posterior} == {0.333333}
 
 
+
+
+def plain_lines(rows, least):
+    """The lines that go, by the rules as the module states them, in plain Python; rows are (id, text)."""
+    blanks, field = re.compile(r"[\x20\x09\x0B-\x0D]+"), re.compile(r"[^ ]*[0-9][^ ]*")
+    lines = []  # (id, text, line number, tokens)
+    for i, text in rows:
+        for k, given in enumerate(text.split("\n")):
+            given = blanks.sub(" ", given).strip(" ")
+            masked = " ".join("<*>" if field.fullmatch(w) else w for w in given.split(" "))
+            line = given if not masked.replace("<*>", "").strip() else masked
+            if line:
+                lines.append((i, text, k, tuple(line.split(" "))))
+    leaf = lambda w: (len(w), w[: linedup.DEPTH])
+    texts_of = {}
+    for _, text, _, w in lines:
+        texts_of.setdefault(w, set()).add(text)
+        if len(w) >= 2 * linedup.DEPTH:
+            texts_of.setdefault(("leaf", leaf(w)), set()).add(text)
+    many = lambda w: len(texts_of.get(w, ())) >= least
+    often = lambda w: many(w) or many(("leaf", leaf(w)))
+    by_text = {}
+    for _, text, k, w in lines:
+        by_text.setdefault(text, {})[k] = w
+    context, source = {}, {}
+    for text, own in by_text.items():
+        for k in own:
+            before = [own[j][: linedup.DEPTH] for j in sorted(own) if j < k and not often(own[j])]
+            after = [own[j][: linedup.DEPTH] for j in sorted(own) if j > k and not often(own[j])]
+            context[text, k] = (before[-1] if before else None, after[0] if after else None)
+        shared = [w for w in own.values() if many(w)]
+        if sum(map(len, shared)) >= linedup.COPIED * sum(map(len, own.values())) and shared:
+            rarest = min(len(texts_of[w]) for w in shared)
+            source[text] = {w for w in shared if len(texts_of[w]) == rarest}
+    return by_text, context, source, many
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_whole_templates_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    furniture = ["all of this belongs to us", "Posted 3 days ago by staff", "Share", "read  more here", "  12 ", "one two three four five six seven"]
+    rows, least = [], 4
+    for i in range(40):
+        parts = [_prose(rng, rng.randint(1, 9)) for _ in range(rng.randint(4, 9))] + rng.sample(furniture, rng.randint(0, 4)) + [""] * rng.randint(0, 2)
+        rng.shuffle(parts)
+        rows.append((i, "\n".join(parts)))
+    rows += [(100 + i, rows[0][1]) for i in range(9)] + [(200, rows[3][1]), (None, rows[4][1])]
+    by_text, context, source, many = plain_lines(rows, least)
+    around = {}
+    for text, own in by_text.items():
+        for w in {w for w in own.values() if many(w)}:
+            assert text not in source or len(source[text]) == 1  # no tie that the rules leave to a hash
+            least_context = {context[text, k] for k in own if own[k] == w}
+            assert len(least_context) == 1 or text not in source
+            around.setdefault(w, []).append(next(iter(source[text])) if text in source else least_context)
+    recur, unsure = set(), set()
+    for w, found in around.items():
+        asked = least * (linedup.SHORT_FACTOR if len(w) < linedup.MIN_TOKENS else 1)
+        sure = len({repr(x) for x in found})
+        (recur if sure >= asked else unsure).add(w)
+    out = {(r.doc_id, r.text) for r in linedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_documents=least).collect()}
+    expected = set()
+    for i, text in rows:
+        own = by_text[text]
+        expected.add((i, "\n".join(x for k, x in enumerate(text.split("\n")) if own.get(k) not in recur)))
+    assert out == expected and recur
+
+
+def test_lines_of_very_long_texts(spark):
+    rng = random.Random(5)
+    rows = [(i, "\n".join([_prose(rng), "all of this belongs to us"] * (3 if i else 20_000))) for i in range(12)]
+    out = {r.doc_id: r for r in linedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), dropped_col="n").collect()}
+    assert all(out[i].text == "\n".join(text.split("\n")[::2]) for i, text in rows) and out[0].n == 20_000
+    with pytest.raises(ValueError):
+        linedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), dropped_col="text")
