@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quietwire.llm import wordhash
 from quietwire.llm.components import connected_components
-from quietwire.llm.scratch import stage
+from quietwire.llm.scratch import release, stage
 
 #: Share below the threshold, in equal minima, at which a pair is rejected unread: about five standard deviations.
 MARGIN = 0.18
@@ -143,14 +143,17 @@ def _rare_shingle_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> Data
     shared = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
     # shingles of one set alone come first in the order; they are counted, not ranked
     common = rows.join(shared, "shingle").withColumns({"rank": F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")), "own": F.col("n") - F.count("*").over(Window.partitionBy("node"))})
-    prefix = common.withColumn("at", F.col("own") + F.col("rank")).filter(F.col("at") * 100 <= F.col("n") * (100 - percent) + 100).drop("df", "own", "rank")
+    # staged, so that it is worked out once and adaptive execution can split a shingle that very many sets have
+    prefix = stage(common.withColumn("at", F.col("own") + F.col("rank")).filter(F.col("at") * 100 <= F.col("n") * (100 - percent) + 100).drop("df", "own", "rank"))
     # a shingle's largest group is only compared with the others, never with itself
-    largest = prefix.groupBy("shingle", "grp").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("grp", F.struct("k", "grp")).alias("main"), F.count("*").alias("groups")).filter("groups > 1")
+    largest = stage(prefix.groupBy("shingle", "grp").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("grp", F.struct("k", "grp")).alias("main"), F.count("*").alias("groups")).filter("groups > 1"))
     x, y = prefix.join(largest, "shingle").filter("grp <> main").alias("x"), prefix.join(largest.select("shingle"), "shingle").alias("y")
     rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) + 1
     enough = (rest * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
     met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.grp") != F.col("y.grp")) & enough)
-    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    pairs = stage(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    release(prefix, largest)
+    return pairs
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, with_group: bool = False) -> DataFrame:
@@ -191,6 +194,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = _verified(_rare_shingle_pairs(apart, sets, percent).join(tried, ["a", "b"], "left_anti"), nodes, sets, percent)
     groups = connected_components(first.unionByName(second)).select(F.col("node.node").alias("node"), F.col("component.doc_id").alias("least"), F.col("component.node").alias("group"))
+    release(met, stars, sets, first, apart)
 
     by_node = nodes.select("node", "doc_id").join(groups, "node", "left").select("node", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.coalesce("group", "node").alias("group"))
     named = sketch.join(by_node, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
