@@ -101,7 +101,9 @@ def digest(values: np.ndarray) -> bytes:
 
 def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first document, bytes, offsets from 0) of runs of whole documents; nulls count as empty."""
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = column.fill_null("")
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, np.uint8)
