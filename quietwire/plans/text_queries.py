@@ -69,12 +69,12 @@ def c09(v):
     return v["all_messages"].select("message_id", F.array_join(t.extract_amounts(F.col("message_text")), "|").alias("amounts"))
 
 
-@query("c10_extract_mentions", f"SELECT doc_id, {_joined_list(t.MENTION, 1, 10)} AS mentions FROM documents WHERE regexp_matches(text, '^[ -~\\s]*$')")
+@query("c10_extract_mentions", f"SELECT doc_id, {_joined_list(t.MENTION, 1, 10)} AS mentions FROM documents")
 def c10(v):
     return v["documents"].select("doc_id", F.array_join(t.extract_mentions(F.col("text")), "|").alias("mentions"))
 
 
-@query("c11_extract_phones_dates", f"SELECT doc_id, {_joined_list(t.PHONE, 0, 5)} AS phones, {_joined_list(t.DATE, 1, 6)} AS dates FROM documents WHERE regexp_matches(text, '^[ -~\\s]*$')")
+@query("c11_extract_phones_dates", f"SELECT doc_id, {_joined_list(t.PHONE, 0, 5)} AS phones, {_joined_list(t.DATE, 1, 6)} AS dates FROM documents")
 def c11(v):
     return v["documents"].select("doc_id", F.array_join(t.extract_phones(F.col("text")), "|").alias("phones"), F.array_join(t.extract_dates(F.col("text")), "|").alias("dates"))
 
