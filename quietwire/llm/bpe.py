@@ -24,9 +24,9 @@ from pyspark.sql import types as T
 #: Vocabularies are broadcast, so their size is checked.
 MAX_VOCABULARY = 1_000_000
 #: Texts and pieces that a Python worker remembers.
-CACHED = 200_000
+CACHED = 150_000
 #: Rows go through Python in runs of about so many bytes, whole rows each.
-RUN_BYTES = 2_000_000
+RUN_BYTES = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -107,6 +107,8 @@ class Vocabulary:
 
 #: Longer pieces are merged one by one.
 TOGETHER = 64
+#: Pieces whose trees are held at once.
+TREES = 2048
 
 
 def merge_many(pieces: list[bytes], vocabulary: Vocabulary) -> dict[bytes, bytes]:
@@ -119,8 +121,8 @@ def merge_many(pieces: list[bytes], vocabulary: Vocabulary) -> dict[bytes, bytes
         else:
             by_size.setdefault(max(4, 1 << (len(piece) - 1).bit_length()), []).append(piece)
     for size, group in by_size.items():
-        for i in range(0, len(group), 8192):
-            found.update(_merge_together(group[i : i + 8192], size, vocabulary))
+        for i in range(0, len(group), TREES):
+            found.update(_merge_together(group[i : i + TREES], size, vocabulary))
     return found
 
 
