@@ -5,6 +5,7 @@ Patterns carry (?U) so that case and word characters follow Unicode.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
@@ -122,8 +123,53 @@ def term_hits(text: Column, terms: tuple[str, ...]) -> Column:
     return F.when(text.rlike(any_of), found).otherwise(F.array().cast("array<string>"))
 
 
-def lexicon_hits(text: Column, lexicon: str) -> Column:
-    return term_hits(text, LEXICONS[lexicon])
+#: Endings that a term may take after a last letter or digit.
+ENDINGS = ("", "s", "es", "ed", "ing")
+_WORDS_ONLY = re.compile(r"\w+(?: \w+)*")
+#: Words of the longest term that is words with a space between them. Such terms are looked up among a text's runs of words.
+LONGEST_TERM = max(term.count(" ") + 1 for terms in LEXICONS.values() for term in terms if _WORDS_ONLY.fullmatch(term))
+
+
+def words_apart(low: Column) -> Column:
+    """The words of a lower-cased text; "|" stands between two words with anything but one space between them."""
+    return F.array_remove(F.split(F.regexp_replace(low, r"(?U)[^\w]{2,}|[^\w ]", " | "), " "), "")
+
+
+def word_runs(words: Column) -> Column:
+    """The distinct runs of 1 to LONGEST_TERM words. ``words`` is a column of its own, or it would be worked out for every run."""
+
+    def runs(k: int) -> Column:
+        whole = F.transform(words, lambda x, i: F.when(i + k <= F.size(words), F.array_join(F.slice(words, i + 1, F.lit(k)), " ")))
+        return F.slice(whole, F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(0)))
+
+    return F.array_distinct(F.concat(words, *[runs(k) for k in range(2, LONGEST_TERM + 1)]))
+
+
+def _places(lexicons: tuple[str, ...]) -> Column:
+    """Map from every form of a term to the (lexicon, place in it) that it stands for: one constant, however many terms there are."""
+    forms: dict[str, list[dict]] = {}
+    for name in lexicons:
+        for i, term in enumerate(LEXICONS[name]):
+            if _WORDS_ONLY.fullmatch(term):
+                for ending in ENDINGS:
+                    forms.setdefault(term + ending, []).append({"lexicon": name, "at": i})
+    return F.from_json(F.lit(json.dumps(forms)), "map<string,array<struct<lexicon:string,at:int>>>")
+
+
+def lexicon_places(runs: Column, lexicons: tuple[str, ...]) -> Column:
+    """(lexicon, place) of the terms of ``lexicons`` that are words and stand in a text with these word runs."""
+    table = _places(lexicons)
+    return F.flatten(F.transform(F.array_intersect(F.map_keys(table), runs), lambda form: F.element_at(table, form)))
+
+
+def lexicon_hits(places: Column, low: Column, lexicon: str) -> Column:
+    """The terms of a lexicon that stand in a text, in the order of the lexicon; terms with signs are looked for in the text itself."""
+    terms = LEXICONS[lexicon]
+    found = F.transform(F.filter(places, lambda x: x["lexicon"] == lexicon), lambda x: x["at"])
+    signs = [F.when(low.rlike(unicode_pattern(term_pattern(t))), F.lit(i)) for i, t in enumerate(terms) if not _WORDS_ONLY.fullmatch(t)]
+    if signs:
+        found = F.concat(found, F.array_compact(F.array(*signs)))
+    return F.transform(F.array_sort(F.array_distinct(found)), lambda i: F.element_at(F.from_json(F.lit(json.dumps(terms)), "array<string>"), i + 1))
 
 
 def injection_hits(text: Column) -> Column:

@@ -37,9 +37,13 @@ def content_features(messages: DataFrame, media: DataFrame) -> DataFrame:
     texts = joined.withColumns({"text": t.normalize_text(F.col("message_text")), "spaced": t.normalize_keep_spacing(F.col("message_text")), "media_text": t.normalize_text(F.col("media_raw"))})
     views = texts.withColumns({"combined": t.combine(F.col("text"), F.col("media_text")), "low": t.deobfuscate(t.combine(F.col("spaced"), F.col("media_text")))}).drop("spaced", "media_raw")
     views = views.withColumn("caption", F.when(F.col("text") != "", F.lower("text")).otherwise(F.col("low")))
+    # each step reads the columns of the one before it, so that none is worked out twice
+    views = views.withColumns({"_words": t.words_apart(F.col("low")), "_caption_words": t.words_apart(F.col("caption"))})
+    views = views.withColumns({"_runs": t.word_runs(F.col("_words")), "_caption_runs": t.word_runs(F.col("_caption_words"))})
+    views = views.withColumns({"_places": t.lexicon_places(F.col("_runs"), tuple(LEXICONS)), "_caption_places": t.lexicon_places(F.col("_caption_runs"), CAPTION)})
     low, combined = F.col("low"), F.col("combined")
-    hits: dict[str, Column] = {f"{name}_hits": t.lexicon_hits(low, name) for name in LEXICONS}
-    hits |= {f"caption_{name}_hits": t.lexicon_hits(F.col("caption"), name) for name in CAPTION}
+    hits: dict[str, Column] = {f"{name}_hits": t.lexicon_hits(F.col("_places"), low, name) for name in LEXICONS}
+    hits |= {f"caption_{name}_hits": t.lexicon_hits(F.col("_caption_places"), F.col("caption"), name) for name in CAPTION}
     hits |= {
         "char_count": F.char_length(combined),
         "word_count": t.word_count(combined),
@@ -55,7 +59,7 @@ def content_features(messages: DataFrame, media: DataFrame) -> DataFrame:
         "qr_payment": t.has(combined, t.QR_PAYMENT),
         "active_demand": t.active_credential_demand(combined),
     }
-    found = views.withColumns(hits)
+    found = views.withColumns(hits).drop("_words", "_runs", "_places", "_caption_words", "_caption_runs", "_caption_places")
     counts = {f"n_{k.removesuffix('_hits')}": F.size(k) for k in hits if k.endswith("_hits")}
     found = found.withColumns(counts | {"domains": t.extract_domains(F.col("urls")), "mentions_user": t.mentions_user(F.col("mentions"), F.col("user_id")), "is_empty": combined == ""})
     lexicon_total = sum((F.col(f"n_{name}") for name in COUNTED), F.col("n_time"))

@@ -115,9 +115,9 @@ def repair(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     struck: dict[str, Column] = {}
 
     def rule(df: DataFrame, name: str, condition: Column, changes: dict[str, Column]) -> DataFrame:
-        df = df.withColumn(f"_{name}", F.coalesce(condition, F.lit(False)))
+        holds = F.coalesce(condition, F.lit(False))
         struck[name] = F.when(F.col(f"_{name}"), name)
-        return df.withColumns({c: F.when(F.col(f"_{name}"), v).otherwise(F.col(c)) for c, v in changes.items()})
+        return df.withColumns({f"_{name}": holds} | {c: F.when(holds, v).otherwise(F.col(c)) for c, v in changes.items()})
 
     action, kind, mute = F.col("action"), F.col("message_type"), F.lit("mute")
     df = rule(df, "scam_not_muted", (F.col("is_scam") | (F.col("injection") >= 0.5)) & (action != "mute"), {"action": mute, "message_type": F.lit("scam")})

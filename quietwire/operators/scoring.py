@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +24,9 @@ TOPIC_OF_TYPE = {"promotion": "promotion", "spam": "promotion", "greeting": "gre
 
 
 def look_up(table: dict, key: Column, default) -> Column:
-    found = F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
-    return F.coalesce(found, F.lit(default))
+    """The value of a small table of one type; the table is one constant of the plan."""
+    kind = {str: "string", int: "int", float: "double"}[type(next(iter(table.values())))]
+    return F.coalesce(F.element_at(F.from_json(F.lit(json.dumps(table)), f"map<string,{kind}>"), key), F.lit(default))
 
 
 def unit(score: Column, digits: int = 3) -> Column:

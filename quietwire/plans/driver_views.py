@@ -129,12 +129,42 @@ FROM {part} WHERE p_partkey < 13""",
 }
 
 
-def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All views as DataFrames; a query's plan holds only what it uses."""
-    made = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE_TABLES}
-    for name, sql in VIEWS.items():
-        made[name] = spark.sql(sql, **{k: v for k, v in made.items() if "{" + k + "}" in sql})
-    return made
+class Views(dict):
+    """The tables and views of a folder by name, each made when it is first asked for.
+
+    A view is one SELECT with the views it reads as common table expressions over the Parquet files, so no temporary view is left behind.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def get(self, name: str, default: DataFrame | None = None) -> DataFrame | None:
+        return self[name] if name in self or name in BASE_TABLES or name in VIEWS else default
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name in BASE_TABLES:
+            made = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        else:
+            sources = {t: f"parquet.`{self.sf_dir}/{t}.parquet`" for t in BASE_TABLES} | {v: v for v in VIEWS}
+            made = self.spark.sql("WITH " + ", ".join(f"{v} AS ({VIEWS[v].format(**sources)})" for v in _needed(name)) + f" SELECT * FROM {name}")
+        self[name] = made
+        return made
+
+
+def _needed(name: str) -> list[str]:
+    """A view with all that it reads, in the order of their definition."""
+    found, asked = set(), [name]
+    while asked:
+        view = asked.pop()
+        if view not in found:
+            found.add(view)
+            asked += [v for v in VIEWS if "{" + v + "}" in VIEWS[view]]
+    return [v for v in VIEWS if v in found]
+
+
+def views(spark: SparkSession, sf_dir: str) -> Views:
+    return Views(spark, sf_dir)
 
 
 def oracle_ctes(names: tuple[str, ...] | None = None) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quietwire.plans.driver_views import oracle_ctes, views
+from quietwire.plans.driver_views import Views, oracle_ctes, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,7 +15,7 @@ ORACLES: dict[str, str] = {}
 def query(name: str, sql: str | None = None, ctes: str = ""):
     """Register a function of the views as a query; ``sql`` is its oracle, over the same views and further ``ctes``."""
 
-    def register(function: Callable[[dict[str, DataFrame]], DataFrame]) -> Callable:
+    def register(function: Callable[[Views], DataFrame]) -> Callable:
         QUERIES[name] = lambda spark, sf_dir: function(views(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = f"WITH {oracle_ctes()}{', ' + ctes if ctes else ''}\n{sql}"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quietwire.config import DEFAULT, Settings
 from quietwire.operators import content, decide, joins, profiles, safety, scoring, similarity
+from quietwire.sources.staging import stage
 
 
 def facts(t: dict[str, DataFrame], with_media: bool = True) -> DataFrame:
@@ -30,19 +31,19 @@ def pairs(t: dict[str, DataFrame], messages: DataFrame) -> DataFrame:
 
 
 def scored(t: dict[str, DataFrame], settings: Settings = DEFAULT, with_media: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(scored messages, pairs with their history)."""
-    known = facts(t, with_media).persist()  # read by the pairs, by their texts and by the scores
-    candidates = pairs(t, known).persist()  # read for the repetition and for the evidence
+    """(scored messages, pairs with their history), both staged, as the facts in between: each is read by several branches."""
+    known = stage(facts(t, with_media))
+    candidates = stage(pairs(t, known))
     repeated = similarity.repetition(similarity.similar_topk(candidates, settings.evidence.similar_k))
     profile = profiles.engagement_profile(t["message_events"], t["history"])
     tired = profiles.fatigue(profiles.notification_load(t["daily"]))
-    return scoring.score(safety.assess(known), profile, repeated, tired, settings), candidates
+    return stage(scoring.score(safety.assess(known), profile, repeated, tired, settings)), candidates
 
 
 def route(t: dict[str, DataFrame], settings: Settings = DEFAULT, with_media: bool = True) -> DataFrame:
     """One repaired decision for each message."""
     messages, candidates = scored(t, settings, with_media)
-    chosen = decide.explain_choice(decide.decide(messages, settings), settings)
+    chosen = stage(decide.explain_choice(decide.decide(messages, settings), settings))
     wanted = chosen.select("message_id", F.col("intent_sought").alias("intent"), "want")
     evidence = similarity.evidence_topk(candidates, wanted, settings)
     return decide.with_fallback(decide.repair(chosen.join(evidence, "message_id", "left"), settings))
