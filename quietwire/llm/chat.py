@@ -13,12 +13,22 @@ from pyspark.sql import functions as F
 UNKNOWN = "unknown"
 
 
+def escaped(text: Column) -> Column:
+    """What a speaker wrote, unable to open a mark: "<|" becomes "<\\|". "<\\" becomes "<\\\\", so the text can be had back."""
+    return F.replace(F.replace(text, F.lit("<\\"), F.lit("<\\\\")), F.lit("<|"), F.lit("<\\|"))
+
+
+def _name(role: Column) -> Column:
+    """A name inside a mark, unable to close it either."""
+    return F.replace(escaped(role), F.lit("|>"), F.lit("|\\>"))
+
+
 def _header(speaker: Column, role: Column) -> Column:
-    return F.when(role == speaker, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), role, F.lit("|>\n")))
+    return F.when(role == speaker, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), _name(role), F.lit("|>\n")))
 
 
 def _body(text: Column) -> Column:
-    return F.concat(text, F.lit("<|end|>\n"))
+    return F.concat(escaped(text), F.lit("<|end|>\n"))
 
 
 def rotate_perspectives(df: DataFrame, conversation_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -28,8 +38,9 @@ def rotate_perspectives(df: DataFrame, conversation_col: str = "conv_id", turn_c
     assistant says, with its end mark.
 
     Turns are ordered by turn, then speaker, then text, so ties and repeated rows render in a defined order, each of them.
-    A null turn comes first, a null speaker is "unknown", a null text is empty. Rows without a conversation id belong to no
-    conversation and render nothing. Other columns are ignored.
+    Marks in texts and names are escaped (``escaped``), so no turn can pass for two or for another speaker's. A null turn comes first, a null speaker is "unknown", a null text is empty. Rows without a conversation id belong to no
+    conversation and render nothing. Other columns are ignored; an empty table gives no rows. A conversation is one row of the result, as its
+    rendering is, so it has to fit into one value.
     """
     turns = df.filter(F.col(conversation_col).isNotNull()).select(
         F.col(conversation_col).alias("conv_id"),

@@ -91,14 +91,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-OP3_SQL = """
+OP3_SQL = r"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
 ), speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM said),
 parts AS (
   SELECT s.conv_id, p.speaker, s.turn, s.role, s.text, s.role = p.speaker AS own,
-         CASE WHEN s.role = p.speaker THEN '<|assistant|>' ELSE '<|user name=' || s.role || '|>' END || chr(10) AS header,
-         s.text || '<|end|>' || chr(10) AS body
+         CASE WHEN s.role = p.speaker THEN '<|assistant|>' ELSE '<|user name=' || replace(replace(replace(s.role, '<\', '<\\'), '<|', '<\|'), '|>', '|\>') || '|>' END || chr(10) AS header,
+         replace(replace(s.text, '<\', '<\\'), '<|', '<\|') || '<|end|>' || chr(10) AS body
   FROM said s JOIN speakers p USING (conv_id)
 )
 SELECT conv_id, speaker, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_own_turns,
