@@ -56,7 +56,11 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+    import public_tokenizers
+
+    documents = _table(spark, sf_dir, "documents")
+    words = secrets.COMMON_WORDS, secrets.vocabulary_words(public_tokenizers.path("byte_bpe_50k.tiktoken")), secrets.corpus_words(documents)
+    found = secrets.scan_secrets(documents, words=words)
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_guess", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 

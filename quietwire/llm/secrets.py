@@ -3,13 +3,17 @@
 The guess cost of a value is the least sum, over its segmentations, of the base-2 logarithms of the guesses for each
 segment. Segments are dictionary words, dates, repeats, keyboard walks, and brute force over the character classes
 used. Values that people reach by words and patterns cost little; random ones cost their length.
+
+The dictionary is a few ranked lists, and a word costs its best rank: usual parts of passwords, the whole words of a public
+tokenizer's vocabulary, which stand in the order in which they were merged, and the commonest words of the corpus itself.
 """
 
 from __future__ import annotations
 
+import base64
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +32,8 @@ CONTEXT = re.compile(
 )
 #: Bits of guessing from which a value counts as a secret.
 MIN_BITS = 36.0
+#: Words that are taken from the corpus at most; they are passed to every task.
+CORPUS_WORDS = 20_000
 
 #: Common parts of passwords, most usual first; the rank is the number of guesses.
 COMMON_WORDS = tuple(
@@ -45,21 +51,49 @@ _KIND_BITS = 2.0
 _DATE_BITS = math.log2(365 * 120)
 
 
+def vocabulary_words(path: str) -> list[str]:
+    """The whole words (of three letters or more) of a rank file, in the order of their ranks."""
+    with open(path, "rb") as lines:
+        tokens = sorted((int(rank), base64.b64decode(token)) for token, rank in map(bytes.split, lines))
+    words = (token[1:].decode().lower() for _, token in tokens if re.fullmatch(rb" [A-Za-z]{3,}", token))
+    return list(dict.fromkeys(words))
+
+
+def corpus_words(df: DataFrame, text_col: str = "text", size: int = CORPUS_WORDS, min_rows: int = 10) -> list[str]:
+    """The ``size`` words of a to z that stand in most rows of the whole table, in ``min_rows`` at the least, most usual first.
+
+    Values in credential contexts are left out, so that no secret becomes a word by being copied.
+    """
+    prose = F.regexp_replace(F.lower(F.col(text_col).cast("string")), "(?i)" + CONTEXT.pattern, " ")
+    words = df.select(F.explode(F.array_distinct(F.regexp_extract_all(prose, F.lit("[a-z]{3,24}"), 0))).alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= min_rows)
+    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]  # of a bounded number of words
+
+
 def _class_bits(char: str) -> float:
     if char.isdigit():
         return math.log2(10)
     if char.isalpha():
-        return math.log2(26)
+        return math.log2(26) + (char != char.lower())
     return math.log2(33)
 
 
+def _case_bits(word: str) -> float:
+    """Guesses for the capitals of a word: none, the first letter or all are usual; other choices are counted."""
+    capitals = sum(x != x.lower() for x in word)
+    if not capitals:
+        return 0.0
+    return 1.0 if capitals == len(word) or (capitals == 1 and word[0] != word[0].lower()) else 1.0 + math.log2(math.comb(len(word), capitals))
+
+
 class GuessCost:
-    """Guess cost in bits, for a ranked list of words."""
+    """Guess cost in bits, for ranked lists of words."""
 
-    def __init__(self, words: tuple[str, ...] = COMMON_WORDS):
-        self.bits = {}
-        for rank, word in enumerate(words, 2):
-            self.bits.setdefault(word.lower(), math.log2(rank))
+    def __init__(self, *lists: Iterable[str]):
+        self.bits: dict[str, float] = {}
+        for words in lists or (COMMON_WORDS,):
+            for rank, word in enumerate(words, 2):
+                self.bits[word.lower()] = min(math.log2(rank), self.bits.get(word.lower(), math.inf))
         self.longest = max(map(len, self.bits), default=0)
 
     def __call__(self, value: str) -> float:
@@ -68,7 +102,6 @@ class GuessCost:
         if len(low) != n:  # a few letters change length in lower case
             low = value
         plain = low.translate(_LEET)
-        dates = {m.start(): m.end() for m in _DATE.finditer(value)}
         best = [math.inf] * (n + 1)
         best[0] = 0.0
         brute = math.inf  # least cost of a segmentation that ends in an open brute-force span
@@ -79,10 +112,11 @@ class GuessCost:
                 for text, extra in ((low, 0.0), (plain, 1.0)):
                     bits = self.bits.get(text[i:j])
                     if bits is not None:
-                        case = 0.0 if value[i:j] == low[i:j] else 1.0
-                        best[j] = min(best[j], here + _KIND_BITS + bits + extra + case)
-            if i in dates:
-                best[dates[i]] = min(best[dates[i]], here + _KIND_BITS + _DATE_BITS)
+                        best[j] = min(best[j], here + _KIND_BITS + bits + extra + _case_bits(value[i:j]))
+            if value[i] in "0123456789":  # dates of every length
+                for j in range(i + 4, min(n, i + 10) + 1):
+                    if _DATE.fullmatch(value, i, j):
+                        best[j] = min(best[j], here + _KIND_BITS + _DATE_BITS)
             # the same character again and again, and a step along a key row: a start and a length
             for follows in (lambda x, y: x == y, lambda x, y: (x, y) in _NEXT):
                 j = i + 1
@@ -92,7 +126,7 @@ class GuessCost:
                         best[j] = min(best[j], here + _KIND_BITS + math.log2(94) + math.log2(j - i))
                     if j - i >= 64:  # a longer run goes on as another segment
                         break
-            brute = min(here + _KIND_BITS, brute) + _class_bits(low[i])
+            brute = min(here + _KIND_BITS, brute) + _class_bits(value[i])
             best[i + 1] = min(best[i + 1], brute)
         return best[n]
 
@@ -100,7 +134,7 @@ class GuessCost:
 def find_spans(text: str, cost: GuessCost, min_bits: float = MIN_BITS) -> list[tuple[int, int, int]]:
     """(start, index of the kind, end) of every secret, in order."""
     spans = []
-    if ":" in text or "=" in text or " is " in text:
+    if ":" in text or "=" in text or " is " in text.lower():
         spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
         spans += [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if cost(m[1]) >= min_bits]
     if "AKIA" in text:
@@ -113,19 +147,20 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: tuple[str, ...] = COMMON_WORDS, min_bits: float = MIN_BITS) -> DataFrame:
+def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Iterable[Iterable[str]] = (COMMON_WORDS,), min_bits: float = MIN_BITS) -> DataFrame:
     """Spans of secrets in every text, in code points with an exclusive end.
 
     Returns one row per input row: doc_id, n_assign, n_access, n_hex, n_guess, base (the spans of the three fixed forms),
     spans (all spans); both as kind:start:end by start, then kind as listed, comma-joined. Kind ``guess`` marks a value in
-    a credential context whose guess cost is at least ``min_bits``.
+    a credential context whose guess cost, by the ranked lists ``words``, is at least ``min_bits``.
 
-    Null and empty texts have no spans; repeated rows are scanned alike. Extra columns are ignored.
+    Null and empty texts have no spans; repeated rows are scanned alike. Extra columns are ignored; an empty table gives no rows.
     """
+    lists = df.sparkSession.sparkContext.broadcast([list(x) for x in words])  # bounded: see corpus_words
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost = GuessCost(words)
+        cost = GuessCost(*lists.value)
         for batch in batches:
             found = [find_spans(x, cost, min_bits) if x else [] for x in batch.column(1).to_pylist()]
             counts = [pa.array([sum(k == kind for _, k, _ in spans) for spans in found], pa.int64()) for kind in range(4)]
