@@ -189,7 +189,7 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
     id_type = texts.schema["doc_id"].dataType.simpleString()
     scanned = stage(_scan(texts, id_type, window))
 
-    firsts = scanned.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    firsts = stage(scanned.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id")))  # staged, so that a hot digest can be split
     judged = scanned.join(firsts, "digest", "left").withColumn("is_copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)))
     # equal rows count once
     anchors = stage(judged.filter("not is_copy and doc_id is not null and anchors is not null").groupBy("doc_id", "text_hash").agg(F.first("anchors").alias("anchors")))
