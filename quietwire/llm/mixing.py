@@ -4,31 +4,37 @@ A classifier trained on the labelled table gives every document a posterior over
 posterior p adds r * n * p to the domains' expected tokens. Accelerated projected gradient descent finds nonnegative
 rates whose totals come closest to the targets in least squares, starting from rate 1 for all. The gradient of a
 document's rate depends on the others only through the totals, one number for each domain, so that is all that an
-iteration gathers; a document's rate follows from its posterior and the residuals so far.
+iteration gathers; a document's rate follows from its posterior and the steps so far. The momentum starts anew where it
+points uphill. The descent ends when a step moves no domain's share by more than TOLERANCE; ``Fit`` says whether it did, and what is left.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quietwire.llm import wordhash
-from quietwire.llm.scratch import stage
+from quietwire.llm.scratch import release, stage
 
 #: At most so many labelled documents train the classifier; which ones is decided by a hash of their ids.
 MAX_LABELLED = 20_000
 #: Hash buckets of the classifier's word features.
 FEATURES = 1 << 14
-ITERATIONS = 60
+#: Iterations at most; ``Fit.converged`` is false where they did not do.
+ITERATIONS = 200
+#: Largest change of a domain's share of all tokens in the last step.
 TOLERANCE = 1e-5
+#: Iterations after which the state of the descent is written down.
+WRITTEN = 10
 
 
 def label_domain() -> Column:
@@ -58,8 +64,9 @@ def _train(df: DataFrame, labels: DataFrame, domains: list[str], id_col: str, te
     if len(seen) < 2:  # nothing to tell apart: all belong to the one domain labelled, or equally to all
         intercepts[[i for i in range(len(domains)) if seen and i != seen[0]]] = -50.0
         return weights, intercepts
-    sparse = F.udf(lambda at: Vectors.sparse(FEATURES, at, [1.0] * len(at)), VectorUDT())
-    model = LogisticRegression(maxIter=25, regParam=5e-4, family="multinomial").fit(sample.select("label", sparse("buckets").alias("features")))
+    place = CountVectorizerModel.from_vocabulary([str(i) for i in range(FEATURES)], inputCol="words", outputCol="features")
+    given = place.transform(sample.select("label", F.col("buckets").cast("array<string>").alias("words"))).select("label", "features")
+    model = LogisticRegression(maxIter=25, regParam=5e-4, family="multinomial").fit(given)
     fitted = model.coefficientMatrix.toArray()
     weights[: len(fitted)], intercepts[: len(fitted)] = fitted, model.interceptVector.toArray()
     intercepts[len(fitted) :] = -50.0
@@ -87,92 +94,159 @@ def domain_posteriors(df: DataFrame, labels: DataFrame, domains: list[str], keep
     return given.mapInArrow(predict, T.StructType([given.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))]))
 
 
-def rates_after(posteriors: np.ndarray, residuals: list[np.ndarray], step: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, points at which the next gradient is taken) after one accelerated projected step for each residual."""
-    rates = points = np.ones(len(posteriors))
-    pace = 1.0
-    for residual in residuals:
-        following = np.maximum(0.0, points - step * (posteriors @ residual))
-        next_pace = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
-        points = following + (pace - 1) / next_pace * (following - rates)
-        rates, pace = following, next_pace
+class Fit(NamedTuple):
+    """What gives every document's rate, and how well it does."""
+
+    #: (residual, momentum) of each step.
+    steps: list[tuple[np.ndarray, float]]
+    converged: bool
+    #: Largest difference between a domain's expected share of the tokens at these rates and its target.
+    gap: float
+
+
+def rates_after(posteriors: np.ndarray, steps: list[tuple[np.ndarray, float]], rates: np.ndarray | None = None, points: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(rates, points at which the next gradient is taken) after some projected steps, from rate 1 or from a given state."""
+    if rates is None or points is None:
+        rates = points = np.ones(len(posteriors))
+    for residual, momentum in steps:
+        # posteriors sum to 1, so the largest eigenvalue of their weighted second moments, and with it the step, is at most 1
+        following = np.maximum(0.0, points - posteriors @ residual)
+        points = following + momentum * (following - rates)
+        rates = following
     return rates, points
 
 
-def fit_rates(stats: DataFrame, weights: list[float], keep_domain: int) -> tuple[list[np.ndarray], float]:
-    """The residuals and the step that give every document's rate; ``stats`` has n_tokens and posterior.
+def fit_rates(stats: DataFrame, weights: list[float], keep_domain: int) -> Fit:
+    """Fit rates to ``stats`` (n_tokens, posterior).
 
     Targets are ``weights`` times a total at which the domain ``keep_domain`` keeps the tokens that it has.
     """
     k = len(weights)
     sums = stats.agg(*[F.sum(F.col("n_tokens") * F.get("posterior", F.lit(i))).alias(f"a{i}") for i in range(k)]).first()
     totals = np.array([x or 0.0 for x in sums])
-    if not totals.sum():
-        return [], 1.0
     everything = totals.sum()
+    if not everything:
+        return Fit([], True, 0.0)
     share = np.array(weights) / sum(weights)
     targets = share * (totals[keep_domain] / share[keep_domain] if share[keep_domain] else everything) / everything
+    state = stats.select("n_tokens", "posterior")
+
+    def advance(steps: list[tuple[np.ndarray, float]]):
+        """Of a batch of the state: token counts, posteriors, and rates and points after further steps."""
+
+        def at(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            posteriors = np.asarray(batch.column(1).flatten()).reshape(-1, k)
+            known = (np.asarray(batch.column(2)), np.asarray(batch.column(3))) if batch.num_columns == 4 else ()
+            return np.asarray(batch.column(0), dtype=float), posteriors, *rates_after(posteriors, steps, *known)
+
+        return at
+
+    def gathered(state: DataFrame, steps: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
+        """The domains' totals at the rates and at the points, as shares of all tokens."""
+        at = advance(steps)
 
-    def at_points(residuals: list[np.ndarray], step: float) -> np.ndarray:
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(k)
+            total = np.zeros((2, k))
             for batch in batches:
-                posteriors = np.asarray(batch.column(1).flatten()).reshape(-1, k)
-                total += (np.asarray(batch.column(0), dtype=float) * rates_after(posteriors, residuals, step)[1]) @ posteriors
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], [f"a{i}" for i in range(k)])
-
-        schema = ", ".join(f"a{i} double" for i in range(k))
-        row = stats.select("n_tokens", "posterior").mapInArrow(part, schema).agg(*[F.sum(f"a{i}").alias(f"a{i}") for i in range(k)]).first()
-        return np.array(row, dtype=float) / everything
-
-    step = 1.0  # posteriors sum to 1, so the largest eigenvalue of their weighted second moments is at most 1
-    residuals: list[np.ndarray] = []
-    while len(residuals) < ITERATIONS:
-        residual = at_points(residuals, step) - targets
-        if residuals and np.abs(residual - residuals[-1]).max() < TOLERANCE:
-            break
-        residuals.append(residual)
-    return residuals, step
-
-
-def _mixed(df: DataFrame, labels: DataFrame, weights: dict[str, float], keep_domain: str, keep: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(row, n_tokens, posterior, rate) for every row."""
-    domains = list(weights)
-    k = len(domains)
-    scored = stage(domain_posteriors(df, labels, domains, keep, id_col, text_col))  # texts are read once
-    residuals, step = fit_rates(scored, [weights[d] for d in domains], domains.index(keep_domain))
+                n, posteriors, rates, points = at(batch)
+                total += (np.stack([rates, points]) * n) @ posteriors
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total.ravel()], [f"a{i}" for i in range(2 * k)])
+
+        schema = ", ".join(f"a{i} double" for i in range(2 * k))
+        row = state.mapInArrow(part, schema).agg(*[F.sum(f"a{i}").alias(f"a{i}") for i in range(2 * k)]).first()
+        return tuple(np.array(row, dtype=float).reshape(2, k) / everything)
+
+    def written(state: DataFrame, steps: list[tuple[np.ndarray, float]]) -> DataFrame:
+        at = advance(steps)
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                _, _, rates, points = at(batch)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rates), pa.array(points)], ["n_tokens", "posterior", "rate", "point"])
+
+        return stage(state.select("*").mapInArrow(rows, "n_tokens long, posterior array<double>, rate double, point double"))
+
+    steps: list[tuple[np.ndarray, float]] = []
+    since: list[tuple[np.ndarray, float]] = []
+    pace, converged = 1.0, False
+    at_rates = at_points = totals / everything
+    while len(steps) < ITERATIONS and not converged:
+        residual = at_points - targets
+        # with the momentum of this step left out first, the totals say whether it would point uphill
+        following_pace = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        step = residual, (pace - 1) / following_pace
+        new_rates, new_points = gathered(state, [*since, step])
+        if residual @ (new_rates - at_rates) > 0:
+            following_pace, step, new_points = 1.0, (residual, 0.0), new_rates
+        converged = bool(np.abs(new_rates - at_rates).max() < TOLERANCE)
+        steps.append(step)
+        since.append(step)
+        pace, at_rates, at_points = following_pace, new_rates, new_points
+        if len(since) == WRITTEN:
+            before, state = state, written(state, since)
+            since = []
+            if hasattr(before, "_quietwire_path"):
+                release(before)
+    reached = at_rates / at_rates.sum() if at_rates.sum() else at_rates
+    return Fit(steps, converged, float(np.abs(reached - share).max()))
+
+
+def score_documents(df: DataFrame, labels: DataFrame, domains: list[str], keep: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``domain_posteriors``, staged, so that texts are read once however many targets are fitted."""
+    return stage(domain_posteriors(df, labels, domains, keep, id_col, text_col))
+
+
+def with_rates(scored: DataFrame, fits: dict[str, Fit]) -> DataFrame:
+    """Scored documents with a column of rates for each fit."""
+    at, steps = scored.columns.index("posterior"), {name: fit.steps for name, fit in fits.items()}
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            posteriors = np.asarray(batch.column(2).flatten()).reshape(-1, k)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates_after(posteriors, residuals, step)[0])], ["row", "n_tokens", "posterior", "rate"])
+            lists = batch.column(at)
+            posteriors = np.asarray(lists.flatten()).reshape(len(lists), -1) if len(lists) else np.empty((0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(rates_after(posteriors, x)[0]) for x in steps.values())], [*batch.schema.names, *steps])
+
+    return scored.mapInArrow(rate, T.StructType([*scored.schema.fields, *(T.StructField(name, T.DoubleType()) for name in steps)]))
 
-    return scored.mapInArrow(rate, T.StructType([*scored.schema.fields, T.StructField("rate", T.DoubleType())]))
 
+def copies(rate: Column, doc_id: Column) -> Column:
+    """A rate as a whole number, up or down by a hash of the id so that totals hold; without an id, the nearest number."""
+    chance = F.shiftrightunsigned(F.xxhash64(doc_id), 11) / F.lit(float(1 << 53))
+    return F.floor(rate + F.when(doc_id.isNull(), 0.5).otherwise(1 - chance)).cast("long")
 
-#: Targets of the registered query: all tokens from clean documents.
+
+#: Targets of the pipeline: all tokens from clean documents.
 TARGETS = {"clean": 1.0, "junk": 0.0, "toxic": 0.0}
+#: Targets of a mix that some of everything belongs to.
+BLEND = {"clean": 0.8, "junk": 0.15, "toxic": 0.05}
 
 
 def mixing_rates(df: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, keep_domain: str = "clean", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rate of every document for target weights by domain.
 
     Returns one row per input row: doc_id, n_tokens (words), posterior (by domain, in the order of ``weights``), domain (the
-    likeliest), rate, copies (the rate, rounded up or down by a hash of the id so that totals hold).
+    likeliest), rate, copies (``copies`` of the rate), gap and converged (of the whole fit, see ``Fit``).
 
     ``labels`` has the id column and ``domain``; domains without a weight are not used. Null and empty texts have no tokens and
     a posterior from the classifier's intercept. Without labels every domain is as likely. Repeated rows count each
-    time and get equal rates; a null id is never rounded by chance but to the nearest number. Other columns are ignored.
+    time and get equal rates. Other columns are ignored; an empty table gives no rows.
     """
     weights = weights or TARGETS
     domains = list(weights)
-    mixed = _mixed(df, labels, weights, keep_domain, [id_col], id_col, text_col)
-    chance = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
-    likeliest = F.array_position("posterior", F.array_max("posterior")).cast("int") - 1
-    out = mixed.select(F.col("row")[id_col].alias("doc_id"), "n_tokens", "posterior", F.get(F.array(*map(F.lit, domains)), likeliest).alias("domain"), "rate")
-    return out.withColumn("copies", F.floor(F.col("rate") + F.when(F.col("doc_id").isNull(), 0.5).otherwise(1 - chance)).cast("long"))
+    scored = score_documents(df, labels, domains, [id_col], id_col, text_col)
+    fit = fit_rates(scored, list(weights.values()), domains.index(keep_domain))
+    out = with_rates(scored, {"rate": fit}).select(F.col("row")[id_col].alias("doc_id"), "n_tokens", "posterior", likeliest(domains).alias("domain"), "rate")
+    return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id"))).withColumns({"gap": F.lit(fit.gap), "converged": F.lit(fit.converged)})
+
+
+def likeliest(domains: list[str]) -> Column:
+    """The domain of the largest posterior, the first of equal ones."""
+    return F.get(F.array(*map(F.lit, domains)), F.array_position("posterior", F.array_max("posterior")).cast("int") - 1)
 
 
 def filter_mixed(df: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, keep_domain: str = "clean", min_rate: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, unchanged, whose rate is at least ``min_rate``: a mix that takes each document once or not at all."""
-    return _mixed(df, labels, weights or TARGETS, keep_domain, df.columns, id_col, text_col).filter(F.col("rate") >= min_rate).select("row.*")
+    weights = weights or TARGETS
+    scored = score_documents(df, labels, list(weights), df.columns, id_col, text_col)
+    fit = fit_rates(scored, list(weights.values()), list(weights).index(keep_domain))
+    return with_rates(scored, {"rate": fit}).filter(F.col("rate") >= min_rate).select("row.*")

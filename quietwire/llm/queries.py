@@ -71,9 +71,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").select("doc_id", mixing.label_domain().alias("domain"))
-    rates = mixing.mixing_rates(_table(spark, sf_dir, "documents"), labels)
-    shares = [F.round(F.get("posterior", F.lit(i)), 6).alias(f"p_{domain}") for i, domain in enumerate(mixing.TARGETS)]
-    return rates.select("doc_id", "n_tokens", *shares, "domain", F.round("rate", 6).alias("rate"), "copies")
+    domains = list(mixing.TARGETS)
+    scored = mixing.score_documents(_table(spark, sf_dir, "documents"), labels, domains, ["doc_id"])
+    only_clean, blend = (mixing.fit_rates(scored, [weights[d] for d in domains], domains.index("clean")) for weights in (mixing.TARGETS, mixing.BLEND))
+    rates = mixing.with_rates(scored, {"rate": only_clean, "blend_rate": blend})
+    shares = [F.round(F.get("posterior", F.lit(i)), 6).alias(f"p_{domain}") for i, domain in enumerate(domains)]
+    doc_id = F.col("row.doc_id")
+    return rates.select(
+        doc_id.alias("doc_id"), "n_tokens", *shares, mixing.likeliest(domains).alias("domain"), F.round("rate", 6).alias("rate"), mixing.copies(F.col("rate"), doc_id).alias("copies"),
+        F.round("blend_rate", 6).alias("blend_rate"), mixing.copies(F.col("blend_rate"), doc_id).alias("blend_copies"), F.lit(round(blend.gap, 6)).alias("blend_gap"), F.lit(blend.converged).alias("blend_converged"),
+    )
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
