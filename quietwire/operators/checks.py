@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quietwire.config import ACTIONS, MESSAGE_TYPES
+from quietwire.sources.sinks import output_rows
 
 
 def _found(df: DataFrame, condition: Column, check: str) -> DataFrame:
@@ -40,11 +41,14 @@ def unresolved_media(messages: DataFrame, media: DataFrame) -> DataFrame:
     return asked.join(media.select("media_type", "media_id").distinct(), ["media_type", "media_id"], "left_anti")
 
 
-def readiness(decisions: DataFrame, messages: DataFrame, accuracy: DataFrame, critical: DataFrame) -> DataFrame:
+def readiness(decisions: DataFrame, messages: DataFrame, media: DataFrame, accuracy: DataFrame, critical: DataFrame) -> DataFrame:
     """Q03: (check, passed, detail), one row each."""
     rows = [
         decisions.agg(F.lit("one_decision_a_message").alias("check"), ((F.count("*") == messages.agg(F.count("*").alias("n")).scalar()) & (F.count("*") == F.count_distinct("message_id"))).alias("passed"), F.count("*").cast("string").alias("detail")),
         decisions.agg(F.lit("no_repairs").alias("check"), (F.count_if(F.size("violations") > 0) == 0).alias("passed"), F.count_if(F.size("violations") > 0).cast("string").alias("detail")),
+        unresolved_media(messages, media).agg(F.lit("media_resolves").alias("check"), (F.count("*") == 0).alias("passed"), F.count("*").cast("string").alias("detail")),
+        validate_output(output_rows(decisions), messages).agg(F.lit("output_contract").alias("check"), (F.count("*") == 0).alias("passed"), F.count("*").cast("string").alias("detail")),
+        accuracy.select(F.lit("type_accuracy").alias("check"), (F.col("type_accuracy") >= 0.90).alias("passed"), F.format_string("%.4f", F.col("type_accuracy")).alias("detail")),
         accuracy.select(F.lit("accuracy").alias("check"), (F.col("action_accuracy") >= 0.90).alias("passed"), F.format_string("%.4f", F.col("action_accuracy")).alias("detail")),
         accuracy.select(F.lit("confidence_error").alias("check"), (F.col("confidence_error") <= 0.05).alias("passed"), F.format_string("%.4f", F.col("confidence_error")).alias("detail")),
         critical.agg(F.lit("no_critical_errors").alias("check"), (F.coalesce(F.sum("n"), F.lit(0)) == 0).alias("passed"), F.coalesce(F.sum("n"), F.lit(0)).cast("string").alias("detail")),

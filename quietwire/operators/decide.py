@@ -97,7 +97,10 @@ def confidence(settings: Settings = DEFAULT) -> Column:
 def explain_choice(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """D05, D06, D03 and what evidence to look for."""
     df = flags(df).withColumn("rationale", best_rule(F.col("action"), F.col("message_type")))
-    df = df.withColumn("confidence", confidence(settings))
+    return _sought(df.withColumn("confidence", confidence(settings)))
+
+
+def _sought(df: DataFrame) -> DataFrame:
     return df.withColumns({"want": rule_value(F.col("rationale"), "want", 1), "intent_sought": evidence_intent(F.col("action"), F.col("message_type"))})
 
 
@@ -156,7 +159,8 @@ def parse_verdict(raw: Column) -> Column:
 def reconcile_verdicts(decisions: DataFrame, verdicts: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Second opinions (message_id, action, message_type) on close decisions, the first ``second_opinions`` by seq.
 
-    An opinion is refused if it jumps over the digest, or wants to interrupt at a risk. ``second_opinion`` says what came of it.
+    ``decisions`` are those of ``explain_choice``: rationale, confidence and the evidence to look for follow an opinion that is taken, and the
+    repair comes after it. An opinion is refused if it jumps over the digest, or wants to interrupt at a risk. ``second_opinion`` says what came of it.
     """
     consulted = decisions.filter("gray_zone").orderBy("seq").limit(settings.second_opinions).select("message_id")
     v = verdicts.join(consulted, "message_id", "left_semi").select("message_id", F.col("action").alias("v_action"), F.col("message_type").alias("v_type"))
@@ -171,4 +175,4 @@ def reconcile_verdicts(decisions: DataFrame, verdicts: DataFrame, settings: Sett
     taken = F.col("second_opinion") == "override"
     df = df.withColumns({"message_type": F.when(taken, kind).otherwise(F.col("message_type")), "action": F.when(taken, F.col("v_action")).otherwise(F.col("action"))})
     df = df.withColumn("rationale", F.when(taken, best_rule(F.col("action"), F.col("message_type"))).otherwise(F.col("rationale")))
-    return df.withColumn("confidence", F.when(taken, confidence(settings)).otherwise(F.col("confidence"))).drop("v_action", "v_type")
+    return _sought(df.withColumn("confidence", F.when(taken, confidence(settings)).otherwise(F.col("confidence"))).drop("v_action", "v_type"))

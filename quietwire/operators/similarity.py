@@ -10,6 +10,10 @@ from quietwire.functions import derive as d
 from quietwire.functions.text import tokenize
 
 
+#: Exemplars of intents, all together.
+MAX_EXEMPLARS = 1000
+
+
 def history_texts(history: DataFrame, media: DataFrame) -> DataFrame:
     """Message text, with the text of what is attached."""
     side = media.select(F.col("media_type").alias("_t"), F.col("media_id").alias("_m"), "media_text")
@@ -129,12 +133,17 @@ def evidence_topk(pairs: DataFrame, wanted: DataFrame, settings: Settings = DEFA
 def intent_verdict(vectors: DataFrame, exemplars: DataFrame) -> DataFrame:
     """(message_id, intent, margin) from the best cosine with each intent's exemplars.
 
-    ``vectors`` is (message_id, vector), ``exemplars`` (intent, vector): a handful of rows, and the optimizer broadcasts them
-    while they are under its size limit.
+    ``vectors`` is (message_id, vector), ``exemplars`` (intent, vector): a handful of rows, MAX_EXEMPLARS at most, which become one value that every
+    message is compared with where it stands, without a join or a shuffle. Vectors of other lengths are not compared.
     """
-    pairs = vectors.join(exemplars.select("intent", F.col("vector").alias("example")), F.size("vector") == F.size("example"))
-    best = pairs.groupBy("message_id", "intent").agg(F.round(F.max(cosine(F.col("vector"), F.col("example"))), 3).alias("score"))
-    ranked = best.groupBy("message_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("score", "intent")))).alias("r"))
+    table = exemplars.agg(F.count("*").alias("n"), F.collect_list(F.struct("intent", F.col("vector").alias("example"))).alias("rows"))
+    checked = table.select(F.when(F.col("n") <= MAX_EXEMPLARS, F.col("rows")).otherwise(F.raise_error(F.lit(f"more than {MAX_EXEMPLARS} exemplars"))).alias("rows")).scalar()
+    each = vectors.withColumn("table", checked).withColumn("examples", F.filter("table", lambda x: F.size(x["example"]) == F.size("vector"))).filter(F.size("examples") > 0)
+    scored = F.transform("examples", lambda x: F.struct(F.round(cosine(F.col("vector"), x["example"]), 3).alias("score"), x["intent"].alias("intent")))
+    sorted_down = each.select("message_id", F.reverse(F.array_sort(scored)).alias("all"))
+    # the first of each intent is its best
+    first = F.filter("all", lambda x, i: F.array_position(F.transform("all", lambda y: y["intent"]), x["intent"]) == i + 1)
+    ranked = sorted_down.select("message_id", first.alias("r"))
     gap = F.get("r", F.lit(0))["score"] - F.coalesce(F.get("r", F.lit(1))["score"], F.lit(0.0))
     sure = (gap >= 0.12) & (F.get("r", F.lit(0))["score"] >= 0.35)
     return ranked.select("message_id", F.when(sure, F.get("r", F.lit(0))["intent"]).otherwise("").alias("intent"), F.round(gap, 3).alias("margin"))

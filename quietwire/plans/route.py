@@ -6,44 +6,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quietwire.config import DEFAULT, Settings
+from quietwire.functions.text import needs_fallback
 from quietwire.operators import content, decide, joins, profiles, safety, scoring, similarity
 from quietwire.sources.staging import stage
 
 
-def facts(t: dict[str, DataFrame], with_media: bool = True) -> DataFrame:
-    """Messages with their content and with what is known of sender, group, business and recipient."""
-    media = t["media"] if with_media else t["media"].filter("false")
-    df = content.content_features(t["messages"], media)
+#: Kinds of attachment whose extracted text is read.
+MEDIA = ("image", "voice")
+
+
+def facts(t: dict[str, DataFrame], media: tuple[str, ...] = MEDIA, with_vectors: bool = True) -> DataFrame:
+    """Messages with their content and with what is known of sender, group, business and recipient.
+
+    Where there are ``vectors`` (message_id, vector) and ``exemplars`` (intent, vector), a message whose words tell little takes the
+    intent of the exemplars that it is nearest to.
+    """
+    df = content.content_features(t["messages"], t["media"].filter(F.col("media_type").isin(*media)))
     df = joins.join_users(df, t["users"])
     df = joins.join_groups(df, t["groups"])
     df = joins.join_businesses(df, t["businesses"])
     df = joins.join_memberships(df, t["group_members"])
     df = joins.join_relationships(df, t["relationships"])
     df = joins.join_prior_contact(df, t["history"])
-    return joins.shares_group_type(df, t["group_members"], t["groups"])
+    df = joins.shares_group_type(df, t["group_members"], t["groups"])
+    vectors, exemplars = (t.get(name) if with_vectors else None for name in ("vectors", "exemplars"))
+    if vectors is None or exemplars is None:
+        return df
+    asked = vectors.join(df.filter(needs_fallback(F.col("combined"), F.col("lexicon_hit_count"))).select("message_id"), "message_id", "left_semi")
+    near = similarity.intent_verdict(asked, exemplars).select("message_id", "intent", F.col("margin").alias("intent_margin"))
+    return df.join(near, "message_id", "left").fillna({"intent": "", "intent_margin": 0.0})
 
 
-def pairs(t: dict[str, DataFrame], messages: DataFrame) -> DataFrame:
+def pairs(t: dict[str, DataFrame], messages: DataFrame, with_vectors: bool = True) -> DataFrame:
     """Every message with its recipient's history."""
     texts = messages.select("message_id", "user_id", F.when(F.col("combined") != "", F.col("combined")).otherwise(F.coalesce("message_text", F.lit(""))).alias("text"))
     lexical = similarity.lexical_similarity(texts, similarity.history_texts(t["history"], t["media"]))
-    return similarity.candidate_pairs(messages, t["history"], t["message_events"], lexical, t.get("vectors"))
+    return similarity.candidate_pairs(messages, t["history"], t["message_events"], lexical, t.get("vectors") if with_vectors else None)
 
 
-def scored(t: dict[str, DataFrame], settings: Settings = DEFAULT, with_media: bool = True) -> tuple[DataFrame, DataFrame]:
+def scored(t: dict[str, DataFrame], settings: Settings = DEFAULT, media: tuple[str, ...] = MEDIA, with_vectors: bool = True) -> tuple[DataFrame, DataFrame]:
     """(scored messages, pairs with their history), both staged, as the facts in between: each is read by several branches."""
-    known = stage(facts(t, with_media))
-    candidates = stage(pairs(t, known))
+    known = stage(facts(t, media, with_vectors))
+    candidates = stage(pairs(t, known, with_vectors))
     repeated = similarity.repetition(similarity.similar_topk(candidates, settings.evidence.similar_k))
     profile = profiles.engagement_profile(t["message_events"], t["history"])
     tired = profiles.fatigue(profiles.notification_load(t["daily"]))
     return stage(scoring.score(safety.assess(known), profile, repeated, tired, settings)), candidates
 
 
-def route(t: dict[str, DataFrame], settings: Settings = DEFAULT, with_media: bool = True) -> DataFrame:
-    """One repaired decision for each message."""
-    messages, candidates = scored(t, settings, with_media)
+def route(t: dict[str, DataFrame], settings: Settings = DEFAULT, media: tuple[str, ...] = MEDIA, with_vectors: bool = True, verdicts: DataFrame | None = None) -> DataFrame:
+    """One repaired decision for each message.
+
+    ``verdicts`` (message_id, action, message_type) are second opinions on close decisions. They come before the evidence is looked up and before the
+    repair, so reason, evidence and invariants are those of the action that is taken.
+    """
+    messages, candidates = scored(t, settings, media, with_vectors)
     chosen = stage(decide.explain_choice(decide.decide(messages, settings), settings))
+    if verdicts is not None:
+        chosen = stage(decide.reconcile_verdicts(chosen, verdicts, settings))
     wanted = chosen.select("message_id", F.col("intent_sought").alias("intent"), "want")
     evidence = similarity.evidence_topk(candidates, wanted, settings)
     return decide.with_fallback(decide.repair(chosen.join(evidence, "message_id", "left"), settings))

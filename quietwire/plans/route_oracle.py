@@ -225,7 +225,14 @@ def value_of(field: str, key: str) -> str:
 
 _BAND = "CASE {a} WHEN 'notify' THEN {n} WHEN 'digest' THEN {d} ELSE {m} END"
 _LOW, _HIGH = _BAND.format(a="{a}", n="0.85", d="0.78", m="0.81"), _BAND.format(a="{a}", n="0.91", d="0.84", m="0.87")
-DECIDE_CTE = f"""
+_CONFIDENCE = doubles(f"round(greatest({_LOW.format(a='action0')}, least({_HIGH.format(a='action0')}, ({value_of('confidence', 'rule0')}) + greatest(-0.02, least(0.02, ((CASE action0 WHEN 'notify' THEN priority - 0.42 WHEN 'mute' THEN greatest(scam, injection, spam, 0.08 - priority) ELSE least(abs(priority - 0.42), abs(priority - 0.08)) END) - 0.12) * 0.12)))), 2)")
+
+
+def _decide_cte(after_choice: str, choice: str) -> str:
+    return _DECIDE.replace("FROM confident)", f"FROM {choice})").replace("FROM confident c ", f"FROM {choice} c ").replace("{after_choice}", after_choice)
+
+
+_DECIDE = f"""
 decided AS (SELECT *, CASE WHEN hostile OR bulk THEN 'mute' WHEN wanted AND risk >= 0.35 THEN 'digest' WHEN wanted THEN 'notify' WHEN priority <= 0.08 THEN 'mute' ELSE 'digest' END AS action0, CASE WHEN hostile THEN 'scam' ELSE kind END AS type0,
   NOT is_scam AND injection < 0.5 AND least(abs(priority - 0.42::DOUBLE), abs(priority - 0.08::DOUBLE)) <= 0.08::DOUBLE AS gray_zone
   FROM (SELECT *, injection >= 0.5 OR scam >= 0.55 AS hostile, spam >= 0.62 AND kind IN ('promotion', 'spam', 'business_update') AS bulk, priority >= 0.42 AND (urgency >= 0.20 OR actionability >= 0.40 OR transactional) AS wanted FROM scored)),
@@ -239,7 +246,7 @@ flagged AS (SELECT *, conversation_type = 'group' AS is_group, conversation_type
   (rel_active AND NOT opted_out) OR (sender_user_id <> '' AND sender_seen >= 2 AND sender_affinity >= 0.5) AS interest_match, forwarded_count >= 3 AS forwarded_chain, list_contains(threats, 'brand_impersonation') AS impersonating FROM decided),
 ruled AS (SELECT *, {rule_for('action0', 'type0')} AS rule0 FROM flagged),
 confident AS (SELECT *, {value_of('want', 'rule0')} AS want, CASE WHEN action0 = 'notify' THEN 'promote' WHEN action0 = 'mute' AND type0 NOT IN ('scam', 'spam') THEN 'suppress' ELSE 'neutral' END AS intent,
-  {doubles(f"round(greatest({_LOW.format(a='action0')}, least({_HIGH.format(a='action0')}, ({value_of('confidence', 'rule0')}) + greatest(-0.02, least(0.02, ((CASE action0 WHEN 'notify' THEN priority - 0.42 WHEN 'mute' THEN greatest(scam, injection, spam, 0.08 - priority) ELSE least(abs(priority - 0.42), abs(priority - 0.08)) END) - 0.12) * 0.12)))), 2)")} AS confidence0 FROM ruled),
+  {_CONFIDENCE} AS confidence0 FROM ruled){{after_choice}},
 ranked_evidence AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY total DESC, hist_id) AS erank FROM (SELECT p.*, c.want, round({doubles(f"0.45 * greatest(0.0, least(1.0, semantic)) + 0.30 * structural + 0.25 * ({_SUPPORT})")}, 4) AS total
   FROM pairs p JOIN (SELECT message_id, intent, want FROM confident) c USING (message_id) WHERE NOT (structural < 0.12::DOUBLE AND semantic < 0.45)) WHERE total >= 0.18),
 cited AS (SELECT message_id, list(hist_id ORDER BY erank) AS evidence0, list(outcome ORDER BY erank) AS outcomes FROM ranked_evidence WHERE erank <= want GROUP BY message_id),
@@ -260,4 +267,17 @@ decisions AS MATERIALIZED (SELECT *, list_filter([CASE WHEN v1 THEN 'scam_not_mu
 
 SAFETY_CTES = ",".join((CONTENT_CTE, KNOWN_CTE, SAFETY_CTE))
 SCORE_CTES = ",".join((SAFETY_CTES, PROFILE_CTE, SIMILAR_CTE, SCORE_CTE))
-ROUTE_CTES = ",".join((SCORE_CTES, DECIDE_CTE))
+ROUTE_CTES = ",".join((SCORE_CTES, _decide_cte("", "confident")))
+
+#: Second opinions by the number of a message, and what becomes of those on the first 140 close decisions.
+VERDICTS = "SELECT message_id, CASE seq % 3 WHEN 0 THEN 'notify' WHEN 1 THEN 'digest' ELSE 'mute' END AS action, CASE WHEN seq % 2 = 0 THEN '' ELSE 'personal' END AS message_type FROM messages"
+_STEP = "CASE {a} WHEN 'notify' THEN 0 WHEN 'digest' THEN 1 ELSE 2 END"
+_OPINIONS = f""",
+asked AS (SELECT y.message_id, y.action AS v_action, y.message_type AS v_type FROM ({VERDICTS}) y JOIN (SELECT message_id FROM decided WHERE gray_zone ORDER BY seq LIMIT 140) z USING (message_id)),
+told AS (SELECT c.*, v_action, v_type, CASE WHEN v_action IS NULL THEN 'none' WHEN v_action = action0 THEN 'agrees' WHEN abs(({_STEP.format(a='v_action')}) - ({_STEP.format(a='action0')})) > 1 THEN 'refused_jump'
+  WHEN v_action = 'notify' AND risk >= 0.35 THEN 'refused_risk' ELSE 'override' END AS second_opinion FROM confident c LEFT JOIN asked USING (message_id)),
+moved AS (SELECT * REPLACE (CASE WHEN second_opinion = 'override' THEN v_action ELSE action0 END AS action0, CASE WHEN second_opinion = 'override' AND v_type <> '' THEN v_type ELSE type0 END AS type0) FROM told),
+reruled AS (SELECT * REPLACE (CASE WHEN second_opinion = 'override' THEN {rule_for('action0', 'type0')} ELSE rule0 END AS rule0) FROM moved),
+settled AS (SELECT * REPLACE ({value_of('want', 'rule0')} AS want, CASE WHEN action0 = 'notify' THEN 'promote' WHEN action0 = 'mute' AND type0 NOT IN ('scam', 'spam') THEN 'suppress' ELSE 'neutral' END AS intent,
+  CASE WHEN second_opinion = 'override' THEN {_CONFIDENCE} ELSE confidence0 END AS confidence0) FROM reruled)"""
+OPINION_CTES = ",".join((SCORE_CTES, _decide_cte(_OPINIONS, "settled")))

@@ -8,12 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietwire.config import DEFAULT
+from quietwire.config import DEFAULT, MESSAGE_TYPES
 from quietwire.operators import checks, decide, evaluate, similarity
 from quietwire.plans import route
 from quietwire.plans.registry import query
-from quietwire.plans.route_oracle import CONTENT_CTE, ROUTE_CTES, SAFETY_CTES, SCORE_CTES, SIMILAR_CTE
+from quietwire.plans.route_oracle import CONTENT_CTE, OPINION_CTES, ROUTE_CTES, SAFETY_CTES, SCORE_CTES, SIMILAR_CTE, names
 from quietwire.sources import sinks
+from quietwire.sources.staging import stage
 
 _SIMILAR = f"{CONTENT_CTE}, {SIMILAR_CTE}"
 _round = lambda c, n=3: F.round(c, n).alias(c)
@@ -257,33 +258,34 @@ def d09(v):
     return route.route(v).select("message_id", "action", "message_type", "reason", "confidence", F.when(F.size("evidence") > 0, F.array_join("evidence", ";")).otherwise("none").alias("evidence"))
 
 
-_VERDICTS = "SELECT message_id, CASE seq % 3 WHEN 0 THEN 'notify' WHEN 1 THEN 'digest' ELSE 'mute' END AS action, CASE WHEN seq % 2 = 0 THEN '' ELSE 'personal' END AS message_type FROM messages"
+def _verdicts(v):
+    return v["messages"].select("message_id", F.expr("CASE seq % 3 WHEN 0 THEN 'notify' WHEN 1 THEN 'digest' ELSE 'mute' END").alias("action"), F.expr("CASE WHEN seq % 2 = 0 THEN '' ELSE 'personal' END").alias("message_type"))
 
 
 @query(
     "d10_reconcile_verdicts",
-    f"""SELECT message_id, CASE WHEN taken THEN v_action ELSE action END AS action, CASE WHEN taken AND v_type <> '' THEN v_type ELSE message_type END AS message_type, outcome AS second_opinion FROM (
-    SELECT *, outcome = 'override' AS taken FROM (SELECT d.*, x.v_action, x.v_type, CASE WHEN x.v_action IS NULL THEN 'none' WHEN x.v_action = d.action THEN 'agrees'
-    WHEN abs((CASE x.v_action WHEN 'notify' THEN 0 WHEN 'digest' THEN 1 ELSE 2 END) - (CASE d.action WHEN 'notify' THEN 0 WHEN 'digest' THEN 1 ELSE 2 END)) > 1 THEN 'refused_jump' WHEN x.v_action = 'notify' AND d.risk >= 0.35 THEN 'refused_risk' ELSE 'override' END AS outcome
-    FROM decisions d LEFT JOIN (SELECT y.message_id, y.action AS v_action, y.message_type AS v_type FROM ({_VERDICTS}) y JOIN (SELECT message_id FROM decisions WHERE gray_zone ORDER BY seq LIMIT 140) z USING (message_id)) x USING (message_id)))""",
-    ROUTE_CTES,
+    "SELECT message_id, action, message_type, reason, confidence, second_opinion, CASE WHEN len(evidence) > 0 THEN array_to_string(evidence, ';') ELSE 'none' END AS evidence, array_to_string(violations, '|') AS violations FROM decisions",
+    OPINION_CTES,
 )
 def d10(v):
-    verdicts = v["messages"].select("message_id", F.expr("CASE seq % 3 WHEN 0 THEN 'notify' WHEN 1 THEN 'digest' ELSE 'mute' END").alias("action"), F.expr("CASE WHEN seq % 2 = 0 THEN '' ELSE 'personal' END").alias("message_type"))
-    return decide.reconcile_verdicts(route.route(v), verdicts).select("message_id", "action", "message_type", "second_opinion")
+    decisions = route.route(v, verdicts=_verdicts(v))
+    return decisions.select("message_id", "action", "message_type", "reason", "confidence", "second_opinion", F.when(F.size("evidence") > 0, F.array_join("evidence", ";")).otherwise("none").alias("evidence"), F.array_join("violations", "|").alias("violations"))
 
 
-j18 = query("j18_external_verdicts", f"SELECT d.gray_zone, count(*) AS n, count(y.action) AS told FROM decided d LEFT JOIN ({_VERDICTS}) y ON y.message_id = d.message_id AND d.gray_zone GROUP BY d.gray_zone", ROUTE_CTES)(
-    lambda v: decide.decide(_scored(v)).join(v["messages"].select("message_id", F.lit("x").alias("told")), "message_id", "left").groupBy("gray_zone").agg(F.count("*").alias("n"), F.count(F.when(F.col("gray_zone"), F.col("told"))).alias("told"))
-)
-
-_RAW = """CASE event_id % 5 WHEN 0 THEN '{"action":"mute","message_type":"scam","note":"ok"}' WHEN 1 THEN 'noise {"action":"digest"} tail' WHEN 2 THEN '{"action":"NOTIFY_NOW"}' WHEN 3 THEN 'not json at all' ELSE '{"action":"notify","message_type":"weird"}' END"""
+@query("j18_external_verdicts", "SELECT gray_zone, second_opinion, count(*) AS n FROM told GROUP BY ALL", OPINION_CTES)
+def j18(v):
+    told = decide.reconcile_verdicts(stage(_chosen(v)), _verdicts(v))
+    return told.groupBy("gray_zone", "second_opinion").agg(F.count("*").alias("n"))
 
 
-@query("d11_parse_verdict_json", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'mute' WHEN 1 THEN 'digest' WHEN 4 THEN 'notify' END AS action, CASE event_id % 5 WHEN 0 THEN 'scam' WHEN 1 THEN '' WHEN 4 THEN '' END AS message_type FROM events")
+@query("d11_parse_verdict_json", """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'mute' WHEN 1 THEN 'digest' END AS action, CASE turn % 3 WHEN 0 THEN 'scam' WHEN 1 THEN '' END AS message_type,
+CASE turn % 3 WHEN 0 THEN substr(coalesce(text, ''), 1, 80) WHEN 1 THEN '' END AS note FROM conversations""")
 def d11(v):
-    parsed = v["events"].select("event_id", decide.parse_verdict(F.expr(_RAW)).alias("x"))
-    return parsed.select("event_id", F.col("x.action").alias("action"), F.col("x.message_type").alias("message_type"))
+    said = F.coalesce("text", F.lit(""))
+    answer = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Sure: "), F.to_json(F.struct(F.lit(" Mute").alias("action"), F.lit("scam").alias("message_type"), said.alias("note"))), F.lit(" that is all")))
+    answer = answer.when(F.col("turn") % 3 == 1, F.to_json(F.struct(F.lit("digest").alias("action"), said.alias("message_type")))).otherwise(said)
+    parsed = v["conversations"].select("conv_id", "turn", decide.parse_verdict(answer).alias("x"))
+    return parsed.select("conv_id", "turn", F.col("x.action").alias("action"), F.col("x.message_type").alias("message_type"), F.col("x.note").alias("note"))
 
 
 @query("s05_write_output", "SELECT message_id, action, message_type, reason, printf('%.2f', confidence) AS confidence, CASE WHEN len(evidence) > 0 THEN array_to_string(evidence, ';') ELSE 'none' END AS evidence_message_ids FROM decisions", ROUTE_CTES)
@@ -356,17 +358,30 @@ def a13(v):
     return evaluate.critical_errors(_joined(v))
 
 
+# Gold evidence: the last that the user had from the same business or person before.
+_GOLD_EVIDENCE = """gold_evidence AS (SELECT m.message_id, [arg_max(h.message_id, h.seq)] AS g FROM messages m JOIN history h ON m.user_id = h.user_id AND ((m.business_id <> '' AND m.business_id = h.business_id)
+OR (m.sender_user_id <> '' AND m.sender_user_id = h.sender_user_id)) GROUP BY m.message_id)"""
 _RECALL = """SELECT sum(len(list_intersect(g, evidence)))::BIGINT AS found, sum(len(g))::BIGINT AS gold, round(sum(len(list_intersect(g, evidence))) / greatest(sum(len(g)), 1), 4) AS recall, count(*) FILTER (WHERE list_sort(g) = list_sort(evidence)) AS exact_sets,
-count(*) FILTER (WHERE len(g) = 0 AND len(evidence) = 0) AS none_correct FROM (SELECT evidence, CASE WHEN seq % 4 = 0 THEN [] ELSE list_slice(evidence, 1, 1) END AS g FROM decisions)"""
+count(*) FILTER (WHERE len(g) = 0 AND len(evidence) = 0) AS none_correct FROM (SELECT evidence, coalesce(g, []) AS g FROM decisions LEFT JOIN gold_evidence USING (message_id))"""
+
+
+def _gold_evidence(v):
+    m, h = v["messages"].alias("m"), v["history"].alias("h")
+    same = lambda c: (F.col(f"m.{c}") != "") & (F.col(f"m.{c}") == F.col(f"h.{c}"))
+    met = m.join(h, (F.col("m.user_id") == F.col("h.user_id")) & (same("business_id") | same("sender_user_id")))
+    return met.groupBy("m.message_id").agg(F.array(F.max_by("h.message_id", "h.seq")).alias("true_evidence"))
+
+
+def _with_gold_evidence(v, decisions):
+    return decisions.join(_gold_evidence(v), "message_id", "left").withColumn("true_evidence", F.coalesce("true_evidence", F.array().cast("array<string>")))
 
 
 def _recall(v):
-    gold = F.when(F.col("seq") % 4 == 0, F.array().cast("array<string>")).otherwise(F.slice("evidence", 1, 1))
-    return evaluate.evidence_recall(route.route(v).withColumn("true_evidence", gold))
+    return evaluate.evidence_recall(_with_gold_evidence(v, route.route(v)))
 
 
-query("a14_evidence_recall", _RECALL, ROUTE_CTES)(_recall)
-query("u04_evidence_overlap", f"SELECT found, gold FROM ({_RECALL})", ROUTE_CTES)(lambda v: _recall(v).select("found", "gold"))
+query("a14_evidence_recall", _RECALL, f"{ROUTE_CTES}, {_GOLD_EVIDENCE}")(_recall)
+query("u04_evidence_overlap", f"SELECT found, gold FROM ({_RECALL})", f"{ROUTE_CTES}, {_GOLD_EVIDENCE}")(lambda v: _recall(v).select("found", "gold"))
 
 _CALIBRATION = "SELECT least(4, floor(confidence * 5))::INT AS bin, count(*) AS n, avg(confidence) AS mean_confidence, avg((action = true_action)::INT) AS accuracy FROM joined GROUP BY ALL"
 
@@ -407,10 +422,16 @@ def a17(v):
     return evaluate.churn(*_runs(v))
 
 
-@query("w04_top2_margin", "SELECT vec_id, round(list_sort(cells, 'DESC')[1] - list_sort(cells, 'DESC')[2], 4) AS margin FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS cells FROM embeddings)")
+@query(
+    "w04_top2_margin",
+    """SELECT message_id, round(max(score) FILTER (WHERE r = 1) - coalesce(max(score) FILTER (WHERE r = 2), 0), 3) AS margin FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY score DESC) AS r FROM (
+    SELECT e.vec_id AS message_id, x.label, round(max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[]))), 3) AS score
+    FROM embeddings e, (SELECT label, arg_max(embedding, vec_id) AS embedding FROM embeddings WHERE label IS NOT NULL GROUP BY label) x GROUP BY ALL)) GROUP BY message_id""",
+)
 def w04(v):
-    best = F.sort_array(F.transform("embedding", lambda x: x.cast("double")), asc=False)
-    return v["embeddings"].select("vec_id", F.round(F.get(best, F.lit(0)) - F.get(best, F.lit(1)), 4).alias("margin"))
+    vectors = v["embeddings"].select(F.col("vec_id").alias("message_id"), F.col("embedding").alias("vector"))
+    exemplars = v["embeddings"].filter("label IS NOT NULL").groupBy("label").agg(F.max_by("embedding", "vec_id").alias("vector")).select(F.col("label").cast("string").alias("intent"), "vector")
+    return similarity.intent_verdict(vectors, exemplars).select("message_id", "margin")
 
 
 @query(
@@ -428,31 +449,56 @@ def q01(v):
     "q03_readiness_checks",
     f"""SELECT 'one_decision_a_message' AS "check", count(*) = (SELECT count(*) FROM messages) AS passed, CAST(count(*) AS VARCHAR) AS detail FROM decisions UNION ALL SELECT 'no_repairs', count(*) FILTER (WHERE len(violations) > 0) = 0, CAST(count(*) FILTER (WHERE len(violations) > 0) AS VARCHAR) FROM decisions
     UNION ALL SELECT 'accuracy', action_accuracy >= 0.9, printf('%.4f', action_accuracy) FROM ({_ACCURACY}) UNION ALL SELECT 'confidence_error', confidence_error <= 0.05, printf('%.4f', confidence_error) FROM ({_ACCURACY})
+    UNION ALL SELECT 'type_accuracy', type_accuracy >= 0.9, printf('%.4f', type_accuracy) FROM ({_ACCURACY})
+    UNION ALL SELECT 'media_resolves', count(*) = 0, CAST(count(*) AS VARCHAR) FROM (SELECT DISTINCT media_type, media_id FROM messages m WHERE media_id <> '' AND NOT EXISTS (SELECT 1 FROM media x WHERE x.media_type = m.media_type AND x.media_id = m.media_id))
+    UNION ALL SELECT 'output_contract', count(*) = 0, CAST(count(*) AS VARCHAR) FROM decisions WHERE action NOT IN ('notify', 'digest', 'mute') OR message_type NOT IN {names(MESSAGE_TYPES)} OR coalesce(reason, '') = '' OR confidence NOT BETWEEN 0 AND 1
     UNION ALL SELECT 'no_critical_errors', count(*) = 0, CAST(count(*) AS VARCHAR) FROM joined WHERE (true_action = 'notify' AND action = 'mute') OR (true_action = 'mute' AND action = 'notify')""",
     _JOINED,
 )
 def q03(v):
-    decisions = route.route(v).persist()
+    decisions = stage(route.route(v))
     joined = evaluate.with_labels(decisions, _gold(v))
-    return checks.readiness(decisions, v["messages"], evaluate.accuracy(joined), evaluate.critical_errors(joined))
+    return checks.readiness(decisions, v["messages"], v["media"], evaluate.accuracy(joined), evaluate.critical_errors(joined))
 
 
 @query("q04_explain", "SELECT message_id, action, priority FROM decisions WHERE message_id = (SELECT max(message_id) FROM messages)", ROUTE_CTES)
 def q04(v):
     decisions = route.route(v)
-    last = v["messages"].agg(F.max("message_id")).first()[0]
+    last = v["messages"].agg(F.max("message_id").alias("m")).scalar()
     return sinks.explain(decisions, last).select("message_id", F.get_json_object("trace", "$.action").alias("action"), F.get_json_object("trace", "$.priority").cast("double").alias("priority"))
 
 
-@query("q05_ablate")
+#: Kinds of attachment that are read, and whether vectors are, by variant.
+_VARIANTS = {"full": (route.MEDIA, True), "no_vectors": (route.MEDIA, False), "voice_only": (("voice",), True), "image_only": (("image",), True), "no_media": ((), True)}
+
+
+def _variant_sql(name: str) -> str:
+    kinds = names(_VARIANTS[name][0] or ("none",))
+    return f"""SELECT * FROM (WITH media AS (SELECT * FROM all_media WHERE media_type IN {kinds}), {_JOINED}, {_GOLD_EVIDENCE}
+SELECT '{name}' AS variant, joined.message_id, action, message_type, true_action, true_type, evidence, coalesce(g, []) AS g FROM joined LEFT JOIN gold_evidence USING (message_id))"""
+
+
+@query(
+    "q05_ablate",
+    f"""SELECT variant, count(*) AS n, round(avg((action = true_action)::INT), 4) AS action_accuracy, round(avg((message_type = true_type)::INT), 4) AS type_accuracy, round(avg((action = true_action AND message_type = true_type)::INT), 4) AS joint_accuracy,
+    round(sum(len(list_intersect(g, evidence))) / greatest(sum(len(g)), 1), 4) AS recall, count(*) FILTER (WHERE (true_action = 'notify' AND action = 'mute') OR (true_action = 'mute' AND action = 'notify')) AS critical_errors,
+    count(*) FILTER (WHERE action <> full_action OR message_type <> full_type) AS changed
+    FROM (SELECT *, first_value(action) OVER w AS full_action, first_value(message_type) OVER w AS full_type FROM runs WINDOW w AS (PARTITION BY message_id ORDER BY variant <> 'full')) GROUP BY variant""",
+    "all_media AS (SELECT * FROM media), runs AS (" + " UNION ALL ".join(map(_variant_sql, _VARIANTS)) + ")",
+)
 def q05(v):
-    whole = route.route(v).persist()
-    without = route.route(v, with_media=False).persist()
-    rows = [
-        evaluate.accuracy(evaluate.with_labels(run, _gold(v))).select(F.lit(name).alias("variant"), "n", "action_accuracy", "type_accuracy", evaluate.churn(whole, run).scalar().alias("changed"))
-        for name, run in (("full", whole), ("no_media", without))
-    ]
-    return reduce(DataFrame.unionByName, rows)
+    told = lambda media, vectors: stage(route.route(v, media=media, with_vectors=vectors).select("message_id", "action", "message_type", "reason", "confidence", "evidence"))
+    runs = {name: told(media, vectors) for name, (media, vectors) in _VARIANTS.items() if vectors or v.get("vectors") is not None}
+    runs = {name: runs.get(name, runs["full"]) for name in _VARIANTS}  # without vectors, leaving them out changes nothing
+
+    def measured(name: str, run: DataFrame) -> DataFrame:
+        joined = evaluate.with_labels(run, _gold(v))
+        errors = evaluate.critical_errors(joined).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+        recall = evaluate.evidence_recall(_with_gold_evidence(v, run)).select("recall")
+        accuracy = evaluate.accuracy(joined).select("n", "action_accuracy", "type_accuracy", "joint_accuracy")
+        return accuracy.select(F.lit(name).alias("variant"), "*", recall.scalar().alias("recall"), errors.scalar().alias("critical_errors"), evaluate.churn(runs["full"], run).scalar().alias("changed"))
+
+    return reduce(DataFrame.unionByName, [measured(name, run) for name, run in runs.items()])
 
 
 _FLOORS = (0.36, 0.38, 0.42, 0.46, 0.50)
@@ -481,5 +527,8 @@ def decide_at(floor: float):
 
 @query("q07_determinism_check", "SELECT message_id, action FROM decisions WHERE false", ROUTE_CTES)
 def q07(v):
-    run = lambda: route.route(v).select("message_id", "action", "message_type", "rationale", "confidence")
-    return checks.differences(run(), run()).select("message_id", "action")
+    """Two runs of their own, the second on the same rows dealt otherwise over another number of partitions."""
+    tables = ("messages", "history", "message_events", "users", "groups", "group_members", "businesses", "relationships", "daily", "media")
+    dealt = {name: stage(v[name].repartition(13, F.xxhash64(F.lit("dealt"), *v[name].columns))) for name in tables}
+    run = lambda t: route.route(t).select("message_id", "action", "message_type", "rationale", "confidence", F.array_join("evidence", ";").alias("evidence"))
+    return checks.differences(run(v), run(dealt)).select("message_id", "action")
