@@ -260,13 +260,19 @@ def _with_column(df: DataFrame, source: str, target: str, keep_source: bool, con
     return df.mapInArrow(run, T.StructType([*(df.schema.fields[i] for i in kept), T.StructField(target, T.BinaryType())]))
 
 
+def _is_new(df: DataFrame, name: str) -> None:
+    if name in df.columns:
+        raise ValueError(f"{name} is a column already")
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", keep_text: bool = True) -> DataFrame:
     """Add ``ids_col``: the packed token ids of each whole text, special tokens being ordinary text.
 
     ``pattern`` splits a text into pieces; as in all byte-level tokenizers' patterns, a single space goes to the piece that
-    follows it. ``keep_text=False`` leaves the texts out of the result. Null and empty texts have no tokens (an empty value). Every row and every other column is passed on. ``ids_col`` must be
-    a new name.
+    follows it. ``keep_text=False`` leaves the texts out of the result. Null and empty texts have no tokens (an empty value). Every row and every other column is passed on, repeated rows too; an empty table gives no rows.
+    ``ids_col`` must be a new name.
     """
+    _is_new(df, ids_col)
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     key = ranks_path, pattern
 
@@ -278,7 +284,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded", keep_ids: bool = True) -> DataFrame:
-    """Add ``bytes_col``: the bytes that packed ids stand for. Null ids give null; an id outside the vocabulary is an error."""
+    """Add ``bytes_col``: the bytes that packed ids stand for. Null ids give null; an id outside the vocabulary is an error. ``bytes_col`` must be a new name."""
+    _is_new(df, bytes_col)
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def convert() -> Callable[[pa.Array], pa.Array]:

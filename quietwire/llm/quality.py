@@ -51,6 +51,11 @@ def likelihood_ratio_weights(df: DataFrame, trusted: DataFrame, id_col: str, tex
     return row.select(F.transform("cells", lambda c: share(c["trusted"], F.col("n_trusted")) - share(c["corpus"], F.col("n_corpus"))).alias("weights"))
 
 
+def _worked_out_once(condition: Column) -> Column:
+    """A condition that no filter on it is moved below: there, the counts that it needs would be worked out again and again."""
+    return condition & (F.monotonically_increasing_id() >= 0)
+
+
 def _judged(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """(row: all given columns, and the counts and verdict) for every row."""
     trusted = labels.filter("quality = 1 and coalesce(toxic, 0) = 0")
@@ -96,8 +101,7 @@ def _judged(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, thresh
         F.when(F.size("grams") > 0, F.aggregate("grams", F.lit(0.0), lambda acc, g: acc + F.get("weights", g)) / F.size("grams")).otherwise(F.lit(0.0)).alias("score"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    # the row number keeps filters above this projection: pushed below it, they would work the counts out again and again
-    kept = ~failed & (F.col("score") >= threshold) & (F.monotonically_increasing_id() >= 0)
+    kept = _worked_out_once(~failed & (F.col("score") >= threshold))
     return counted.withColumn("base_failed", failed).withColumn("kept", kept)
 
 
@@ -110,7 +114,7 @@ def quality_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     ``labels`` has the id column, quality and toxic; rows of quality 1 that are not toxic are trusted. Without such rows all
     weights follow the corpus alone and the threshold still holds. Null and empty texts count nothing, score 0 and fail for
-    their length. Repeated rows are judged alike and count in the corpus each time. Other columns are ignored.
+    their length. Repeated rows are judged alike and count in the corpus each time. Other columns are ignored; an empty table gives no rows.
     """
     judged = _judged(df, labels, id_col, text_col, threshold)
     return judged.select(F.col("row")[id_col].alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept")

@@ -163,6 +163,17 @@ def test_vectors_equal_brute_force(spark):
     assert got == {i: (links[i], root(parent, i), root(parent, i) == i) for i in parent}
 
 
+def test_vectors_with_awkward_ids(spark):
+    a, b = [1.0, 2.0, 3.0], [3.0, -2.0, 0.5]
+    rows = [(4, a, 1), (4, a, 1), (9, b, 1), (None, a, 1), (None, b, 2), (2, a, 2), (7, [2.0, 4.0, 6.1], 1)]
+    df = spark.createDataFrame([(*r, 0, "c") for r in rows], "vec_id long, embedding array<double>, label int, n_links int, component string")
+    got = embeddings.near_duplicate_vectors(df).collect()
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == sorted(
+        [("4", 3, "4", True), ("4", 3, "4", True), ("9", 0, "9", True), ("None", 3, "4", False), ("None", 0, "None", True), ("2", 0, "2", True), ("7", 3, "4", False)]
+    )
+    assert embeddings.near_duplicate_vectors(df.limit(0)).count() == 0
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=(60, 33)) * 10.0 ** rng.integers(-3, 3, (60, 1)), rng.normal(size=(60, 33)) ** 3

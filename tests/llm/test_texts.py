@@ -34,6 +34,8 @@ def test_bpe_equals_the_reference_library_and_round_trips(spark):
         assert np.frombuffer(r.ids, "<u4").tolist() == library.encode_ordinary(text)
         assert r.decoded.decode() == text and r.tag == "t"
     assert bpe.encode(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+    with pytest.raises(ValueError):
+        bpe.encode(df, RANKS, public_tokenizers.PATTERN, ids_col="tag")
 
 
 def test_bpe_single_and_joint_merges_agree():
