@@ -46,8 +46,10 @@ def lexical_similarity(query_texts: DataFrame, hist_texts: DataFrame) -> DataFra
 
 
 def cosine(a: Column, b: Column) -> Column:
+    """0 where a vector is zero, null where one is missing."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    norms = F.sqrt(dot(a, a) * dot(b, b))
+    return F.when(norms == 0, 0.0).otherwise(F.try_divide(dot(a, b), norms))
 
 
 def structural_affinity(m, h) -> Column:

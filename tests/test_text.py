@@ -1,10 +1,13 @@
 """Column functions on literal texts."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from quietwire.functions import derive as d
 from quietwire.functions import text as t
+from quietwire.functions.lexicons import LEXICONS
 from quietwire.operators.decide import parse_verdict
 
 
@@ -104,3 +107,16 @@ def test_mentions_phones_and_dates_of_all_texts(spark):
     assert set(mentions) == set(dates) == {1, 2, 3, 4}
     assert "bob" in mentions[2] and mentions[4] == {"a_1"}
     assert dates[2] == ("9876543210", {"12 mar", "1/2/25"}) and dates[1] == ("", {"05/06/2024"})
+
+
+def test_lexicons_by_runs_equal_patterns(spark):
+    rng = random.Random(3)
+    words = [w for terms in LEXICONS.values() for term in rng.sample(terms, 6) for w in term.split(" ")] + ["and", "ordering", "bills", "naïve", "日本", "x_y"]
+    texts = ["", " ", "one"] + ["".join(rng.choice(words) + rng.choice(["", "", "s", "ed", "ing", "es"]) + rng.choice([" ", " ", " ", "  ", ", ", "-", "\n", "."]) for _ in range(rng.randint(1, 25))) for _ in range(150)]
+    texts += [f"so {term}{ending} it is" for terms in LEXICONS.values() for term in terms for ending in ("", "s")]
+    df = spark.createDataFrame([(i, x.lower()) for i, x in enumerate(texts)], "i long, low string")
+    df = df.withColumn("words", t.words_apart(F.col("low"))).withColumn("runs", t.word_runs(F.col("words"))).withColumn("places", t.lexicon_places(F.col("runs"), tuple(LEXICONS)))
+    names = ("promo", "greeting", "event", "commerce", "marketplace", "deescalation")
+    rows = df.select("low", *[t.lexicon_hits(F.col("places"), F.col("low"), n).alias(n) for n in names], *[t.term_hits(F.col("low"), LEXICONS[n]).alias(f"plain_{n}") for n in names]).collect()
+    assert sum(len(r[n]) for r in rows for n in names) > 300
+    assert all(r[n] == r[f"plain_{n}"] for r in rows for n in names)
