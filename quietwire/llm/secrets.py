@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quietwire.llm.scratch import release, stage
+
 #: Forms fixed by contract, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -67,7 +69,16 @@ def corpus_words(df: DataFrame, text_col: str = "text", size: int = CORPUS_WORDS
     prose = F.regexp_replace(F.lower(F.col(text_col).cast("string")), "(?i)" + CONTEXT.pattern, " ")
     words = df.select(F.explode(F.array_distinct(F.regexp_extract_all(prose, F.lit("[a-z]{3,24}"), 0))).alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= min_rows)
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]  # of a bounded number of words
+    counts = stage(counts.withColumn("class", F.floor(F.log2("n") * 16).cast("int")))
+    # only the classes that hold the commonest words go to the driver, not so many words of every partition
+    left, least = size, 0
+    for r in sorted(counts.groupBy("class").agg(F.count("*").alias("words")).collect(), reverse=True):
+        left, least = left - r["words"], r["class"]
+        if left <= 0:
+            break
+    found = [r.word for r in counts.filter(F.col("class") >= least).orderBy(F.desc("n"), "word").limit(size).collect()]
+    release(counts)
+    return found
 
 
 def _class_bits(char: str) -> float:
