@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from quietwire.plans import driver_views
+from quietwire.plans import driver_views, route
 from quietwire.streaming import profiles
 
 SF = "/root/testdata/sf0.001"
@@ -23,3 +23,17 @@ def test_windowed_engagement(spark, tmp_path):
     batch = profiles.windowed_engagement(events)
     key = lambda rows: sorted((r.user_id, str(r.start), r.seen, r.opened, r.dismissed, r.affinity) for r in rows)
     assert key(spark.table("engagement").collect()) == key(batch.collect())
+
+
+def test_message_facts(spark, tmp_path):
+    v = driver_views.views(spark, SF)
+    messages = v["messages"]
+    messages.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(messages.schema).parquet(str(tmp_path / "in"))
+    shown = ("message_id", "combined", "n_urgency", "quiet", "mismatch", "is_member", "sender_admin", "rel_active", "is_stranger")
+    q = profiles.message_facts(stream, v).select(*shown).writeStream.outputMode("append").format("memory").queryName("facts").start()
+    q.processAllAvailable()
+    q.stop()
+    batch = route.facts(v).select(*shown)
+    key = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+    assert key(spark.table("facts").collect()) == key(batch.collect())
