@@ -140,10 +140,10 @@ def _rare_shingle_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> Data
                 yield pa.RecordBatch.from_arrays([*(part.column(k).take(index) for k in range(3)), pa.array(values)], ["node", "n", "grp", "shingle"])
 
     rows = crowd.join(sets, "node").select("node", "n", "grp", "shingles").mapInArrow(spread, "node binary, n long, grp binary, shingle long")
-    shared = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = stage(rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1"))
     # shingles of one set alone come first in the order; they are counted, not ranked
     common = rows.join(shared, "shingle").withColumns({"rank": F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")), "own": F.col("n") - F.count("*").over(Window.partitionBy("node"))})
-    # staged, so that it is worked out once and adaptive execution can split a shingle that very many sets have
+    # these are staged, so that they are worked out once and adaptive execution can split a shingle that very many sets have
     prefix = stage(common.withColumn("at", F.col("own") + F.col("rank")).filter(F.col("at") * 100 <= F.col("n") * (100 - percent) + 100).drop("df", "own", "rank"))
     # a shingle's largest group is only compared with the others, never with itself
     largest = stage(prefix.groupBy("shingle", "grp").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("grp", F.struct("k", "grp")).alias("main"), F.count("*").alias("groups")).filter("groups > 1"))
@@ -152,7 +152,7 @@ def _rare_shingle_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> Data
     enough = (rest * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
     met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.grp") != F.col("y.grp")) & enough)
     pairs = stage(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-    release(prefix, largest)
+    release(shared, prefix, largest)
     return pairs
 
 
