@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietwire.llm import bpe, chat, embeddings, licenses, linedup, minhash, mixing, quality, secrets, substring
+from quietwire.llm import bpe, chat, codes, embeddings, licenses, linedup, minhash, mixing, quality, secrets, spelling, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeated_windows(_table(spark, sf_dir, "documents"), window=50)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    lexicon = toxicity.learn(documents, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(documents, lexicon, ["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_matches", "score")
+    return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_words", "n_matches")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"), every=97)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = codes.compress(_table(spark, sf_dir, "embeddings"), ["vec_id", "label"])
+    entries = ",".join(map(str, codebooks.reshape(-1).tolist()))
+    digest = F.sha2(F.lit(entries).cast("binary"), 256).alias("codebooks_sha256")
+    return codes.with_group_error(coded, "label").select(F.col("row.vec_id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", F.col("group_error").alias("label_error"), digest)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
@@ -99,6 +117,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_mixing_rates": op9_mixing_rates,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_toxicity": op11_toxicity,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
@@ -177,12 +198,68 @@ FROM base LEFT JOIN more USING (doc_id)
 """
 
 
+def _op12_sql() -> str:
+    table = []
+    for n in range(256):  # the table of the usual reflected polynomial
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    low = spelling.RUNS.replace(r"\u00C0", "\u00c0").replace(r"\u00FF", "\u00ff")
+    return f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{low}')) AS run FROM documents) GROUP BY ALL),
+named AS (SELECT run, k, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS name FROM runs),
+hashed AS (
+  SELECT run, k, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(name, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [195, ord(c) - 64] END))),
+    lambda crc, b: xor(CAST({table} AS BIGINT[])[(xor(crc, b) & 255) + 1], crc >> 8))) AS h FROM named),
+words AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+skips AS (SELECT word, n, substr(word, 1, i) AS before, substr(word, i + 2) AS after FROM (SELECT *, unnest(range(length(word))) AS i FROM words)),
+shorter AS (SELECT DISTINCT s.word AS a, v.word AS b FROM skips s JOIN words v ON s.before || s.after = v.word),
+pairs AS (SELECT x.word AS a, y.word AS b FROM skips x JOIN skips y USING (before, after) WHERE x.word <> y.word UNION SELECT a, b FROM shorter UNION SELECT b, a FROM shorter),
+near AS (SELECT a AS word, count(*) AS n_near FROM pairs GROUP BY a),
+best AS (SELECT a AS word, b AS form, n AS form_n FROM (SELECT a, b, n, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM pairs JOIN words ON b = words.word) WHERE r = 1),
+forms AS (SELECT word, form, form_n FROM best JOIN words USING (word) WHERE form_n >= 2 * n),
+walk AS (SELECT word, word AS reached FROM words UNION ALL SELECT w.word, f.form FROM walk w JOIN forms f ON w.reached = f.word),
+ends AS (SELECT walk.word, reached AS root FROM walk LEFT JOIN forms ON reached = forms.word WHERE forms.word IS NULL)
+SELECT word, form, root, n, coalesce(n_near, 0) AS n_near, form_n FROM words LEFT JOIN near USING (word) LEFT JOIN forms USING (word) JOIN ends USING (word)
+"""
+
+
+def _op13_sql() -> str:
+    parts, entries = codes.PARTS, codes.ENTRIES
+    squares = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    rounds = ""
+    for r in range(codes.ROUNDS + 1):
+        rounds += f""",
+a{r} AS MATERIALIZED (SELECT vec_id, p, any_value(x) AS x, min([d, e]) AS de FROM (SELECT vec_id, p, e, x, {squares} AS d FROM parts JOIN c{r} USING (p)) GROUP BY vec_id, p)"""
+        if r < codes.ROUNDS:
+            rounds += f""",
+m{r} AS (SELECT p, e, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS c FROM (SELECT p, de[2] AS e, i, CAST(sum(x[i]) AS DOUBLE) AS s, count(*) AS n FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM a{r}) GROUP BY ALL) GROUP BY ALL),
+c{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (p, e))"""
+    last = codes.ROUNDS
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS x FROM (SELECT *, unnest(range({parts})) AS p FROM kept)),
+c0 AS MATERIALIZED (SELECT p, e, c FROM (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts) WHERE e < {entries}){rounds},
+coded AS (SELECT vec_id, string_agg(printf('%02x', de[2]), '' ORDER BY p) AS code, CAST(sum(de[1]) AS BIGINT) AS error FROM a{last} GROUP BY vec_id),
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{last})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), book
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL of the queries that it can express: op4 and op8 hash with a function that DuckDB lacks, op5, op7 and op9 are no SQL."""
+    """SQL of the queries that it can express: op4 and op8 hash with a function that DuckDB lacks, op5, op7, op9 and op11 are no SQL."""
     return {
         "op1_minhash_near_dedup": OP1_SQL,
         "op2_license_scan": _op2_sql(),
         "op3_chat_perspectives": OP3_SQL,
         "op6_embedding_near_dedup": OP6_SQL,
         "op10_substring_dedup": OP10_SQL,
+        "op12_spelling_variants": _op12_sql(),
+        "op13_vector_codes": _op13_sql(),
     }
