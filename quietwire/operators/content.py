@@ -17,7 +17,8 @@ CAPTION = ("marketplace", "promo", "payment", "event", "business_update")
 def with_media(messages: DataFrame, media: DataFrame) -> DataFrame:
     """The attached record's text and properties; modality; whether something attached could not be read."""
     m, x = messages.alias("m"), media.select("media_type", "media_id", "ok", "media_text", "layout", "has_qr", "duration_s", "wpm").alias("x")
-    joined = m.join(x, (F.col("m.media_type") == F.col("x.media_type")) & (F.col("m.media_id") == F.col("x.media_id")) & F.col("m.media_type").isin("image", "voice"), "left")
+    seen = F.col("m.media_seen") if "media_seen" in messages.columns else F.lit(True)  # what a variant leaves out is as if it were not there
+    joined = m.join(x, (F.col("m.media_type") == F.col("x.media_type")) & (F.col("m.media_id") == F.col("x.media_id")) & F.col("m.media_type").isin("image", "voice") & seen, "left")
     failed = F.when(F.col("m.media_type") == "", F.lit(False)).otherwise(~F.coalesce("x.ok", F.lit(False)))
     return joined.select(
         "m.*",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietwire.operators.scoring import look_up
@@ -109,3 +109,24 @@ def changed(left: DataFrame, right: DataFrame) -> DataFrame:
 def churn(left: DataFrame, right: DataFrame) -> DataFrame:
     """A17."""
     return changed(left, right).agg(F.count("*").alias("changed"))
+
+
+def ablation(runs: DataFrame, labels: DataFrame, whole: str) -> DataFrame:
+    """Q05: a row for each ``variant`` of ``runs`` (variant, message_id, decision, true_evidence), all in one pass: how right it is, and on how
+    many messages it decides otherwise than the variant ``whole``."""
+    own = Window.partitionBy("message_id")
+    joined = with_labels(runs.select("variant", "message_id", "action", "message_type", "evidence", "true_evidence"), labels.select("message_id", "true_action", "true_type"))
+    first = joined.withColumn("_whole", F.max(F.when(F.col("variant") == whole, F.struct("action", "message_type"))).over(own))
+    right_action, right_type = F.col("action") == F.col("true_action"), F.col("message_type") == F.col("true_type")
+    share = lambda c: F.round(F.avg(c.cast("int")), 4)
+    gold = F.sum(F.size(F.array_distinct("true_evidence")))
+    critical = ((F.col("true_action") == "notify") & (F.col("action") == "mute")) | ((F.col("true_action") == "mute") & (F.col("action") == "notify"))
+    return first.groupBy("variant").agg(
+        F.count("*").alias("n"),
+        share(right_action).alias("action_accuracy"),
+        share(right_type).alias("type_accuracy"),
+        share(right_action & right_type).alias("joint_accuracy"),
+        F.round(F.sum(F.size(F.array_intersect("true_evidence", "evidence"))) / F.greatest(gold, F.lit(1)), 4).alias("recall"),
+        F.count_if(critical).alias("critical_errors"),
+        F.count_if((F.col("action") != F.col("_whole.action")) | (F.col("message_type") != F.col("_whole.message_type"))).alias("changed"),
+    )

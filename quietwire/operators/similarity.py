@@ -2,24 +2,54 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietwire.config import DEFAULT, Settings
 from quietwire.functions import derive as d
 from quietwire.functions.text import tokenize
+from quietwire.operators import tiles
+from quietwire.operators.rationale import RULES
+from quietwire.sources.staging import stage
 
 
 #: Exemplars of intents, all together.
 MAX_EXEMPLARS = 1000
-
-
-def history_texts(history: DataFrame, media: DataFrame) -> DataFrame:
-    """Message text, with the text of what is attached."""
+# Weights of what a message and a history row have in common, in order, and of both being much forwarded.
+SHARED_PARTS = (("business_id", 0.62), ("sender_user_id", 0.58), ("group_id", 0.30), ("conversation_type", 0.12), ("media_type", 0.06))
+FORWARDED_PART = 0.08
+# Support by intent and outcome.
+SUPPORT = {
+    "suppress": {"negative": 1.0, "neutral": 0.45, "unknown": 0.3, "positive": 0.05},
+    "promote": {"positive": 1.0, "neutral": 0.45, "unknown": 0.3, "negative": 0.05},
+    "neutral": {"positive": 0.6, "negative": 0.6, "neutral": 0.5, "unknown": 0.35},
+}
+#: History rows that any rule cites, at most.
+MOST_CITED = max(rule.want for rule in RULES)
+_MARKS = ("message_opened", "message_replied", "notification_dismissed", "muted_after", "reported")
+
+
+def history_texts(history: DataFrame, media: DataFrame, readings: list[tuple[str, ...]] | None = None) -> DataFrame:
+    """Message text, with the text of what is attached.
+
+    ``readings`` are sets of kinds of attachment that are read; then there is a row for each of them, numbered by ``reading``.
+    """
     side = media.select(F.col("media_type").alias("_t"), F.col("media_id").alias("_m"), "media_text")
     joined = history.join(side, (history["media_type"] == side["_t"]) & (history["media_id"] == side["_m"]) & (history["media_id"] != ""), "left")
-    text = F.trim(F.concat_ws("\n", F.coalesce("message_text", F.lit("")), F.when(F.col("media_id") != "", F.coalesce("media_text", F.lit("")))), F.lit(" \n\t\r"))
-    return joined.select("message_id", "user_id", F.when(F.col("media_id") == "", F.coalesce("message_text", F.lit(""))).otherwise(text).alias("text"))
+    heard = F.col("media_text")
+    ids = ["message_id", "user_id"]
+    if readings is not None:
+        kinds = F.array(*[F.struct(F.lit(i).alias("reading"), _kinds(reading).alias("kinds")) for i, reading in enumerate(readings)])
+        joined = joined.select("*", F.inline(kinds))
+        heard, ids = F.when(F.array_contains("kinds", F.col("media_type")), heard), [*ids, "reading"]
+    text = F.trim(F.concat_ws("\n", F.coalesce("message_text", F.lit("")), F.when(F.col("media_id") != "", F.coalesce(heard, F.lit("")))), F.lit(" \n\t\r"))
+    return joined.select(*ids, F.when(F.col("media_id") == "", F.coalesce("message_text", F.lit(""))).otherwise(text).alias("text"))
+
+
+def _kinds(reading: tuple[str, ...]) -> Column:
+    return F.array(*map(F.lit, reading)).cast("array<string>")
 
 
 def token_rows(texts: DataFrame, id_col: str) -> DataFrame:
@@ -27,9 +57,9 @@ def token_rows(texts: DataFrame, id_col: str) -> DataFrame:
     return texts.select(id_col, "user_id", F.explode(tokenize(F.col("text"))).alias("token"))
 
 
-def idf(history_tokens: DataFrame, n_history: DataFrame) -> DataFrame:
+def idf(history_tokens: DataFrame, n_history: DataFrame, by: tuple[str, ...] = ("token",)) -> DataFrame:
     """ln(1 + n / (1 + df)); ``n_history`` is the one row with the number n of history messages."""
-    counts = history_tokens.groupBy("token").agg(F.count("*").alias("df"))
+    counts = history_tokens.groupBy(*by).agg(F.count("*").alias("df"))
     return counts.withColumn("idf", F.log(1 + F.greatest(n_history.scalar(), F.lit(1)) / (1 + F.col("df"))))
 
 
@@ -54,29 +84,19 @@ def cosine(a: Column, b: Column) -> Column:
 
 def structural_affinity(m, h) -> Column:
     """``m`` and ``h`` give the columns of the message and of the history row."""
-    same = lambda c: (m(c) != "") & (m(c) == h(c))
-    parts = [
-        (same("business_id"), 0.62),
-        (same("sender_user_id"), 0.58),
-        (same("group_id"), 0.30),
-        (m("conversation_type") == h("conversation_type"), 0.12),
-        (same("media_type"), 0.06),
-        ((m("forwarded_count") >= 3) & (h("forwarded_count") >= 3), 0.08),
-    ]
+    same = lambda c: (m(c) == h(c)) & ((m(c) != "") if c != "conversation_type" else F.lit(True))
+    parts = [(same(c), weight) for c, weight in SHARED_PARTS] + [((m("forwarded_count") >= 3) & (h("forwarded_count") >= 3), FORWARDED_PART)]
     return F.least(F.lit(1.0), sum((F.when(c, w).otherwise(0.0) for c, w in parts), F.lit(0.0)))
 
 
-_PAIR = ("conversation_type", "group_id", "business_id", "sender_user_id", "media_type", "forwarded_count")
-
-
 def candidate_pairs(messages: DataFrame, history: DataFrame, events: DataFrame, lexical: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """Every message with every history row of its user, similarity, structure and outcome.
 
     ``vectors`` (message_id, vector) gives embeddings where there are any; without one on either side the pair falls back to
     its lexical similarity. The pair join is on user_id, so a heavy user is a skewed key that adaptive execution splits.
     """
-    m = messages.select("message_id", "user_id", *_PAIR).alias("m")
-    h = history.select(F.col("message_id").alias("hist_id"), F.col("user_id").alias("h_user"), F.col("seq").alias("hist_seq"), *_PAIR).alias("h")
+    m = messages.select("message_id", "user_id", *tiles.PAIRED).alias("m")
+    h = history.select(F.col("message_id").alias("hist_id"), F.col("user_id").alias("h_user"), F.col("seq").alias("hist_seq"), *tiles.PAIRED).alias("h")
     pairs = m.join(h, (F.col("m.user_id") == F.col("h.h_user")) & (F.col("m.message_id") != F.col("h.hist_id")))
     structural = structural_affinity(lambda c: F.col(f"m.{c}"), lambda c: F.col(f"h.{c}"))
     pairs = pairs.select("m.message_id", "m.user_id", "h.hist_id", "h.hist_seq", structural.alias("structural")).join(lexical, ["message_id", "hist_id"], "left")
@@ -84,11 +104,65 @@ def candidate_pairs(messages: DataFrame, history: DataFrame, events: DataFrame,
     if vectors is not None:
         pairs = pairs.join(vectors.select("message_id", F.col("vector").alias("q_vec")), "message_id", "left").join(vectors.select(F.col("message_id").alias("hist_id"), F.col("vector").alias("h_vec")), "hist_id", "left")
         similarity = F.coalesce(cosine(F.col("q_vec"), F.col("h_vec")), similarity)
-    marks = ("message_opened", "message_replied", "notification_dismissed", "muted_after", "reported")
-    e = events.select(F.col("user_id").alias("_u"), F.col("message_id").alias("_m"), *marks, F.lit(True).alias("known"))
-    with_events = pairs.join(e, (pairs["user_id"] == e["_u"]) & (pairs["hist_id"] == e["_m"]), "left")
+    return _with_outcome(pairs, events).select("message_id", "user_id", "hist_id", "hist_seq", "structural", similarity.alias("semantic"), "outcome")
+
+
+def _with_outcome(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """``rows`` (user_id, hist_id, ...) with what the user did."""
+    e = events.select(F.col("user_id").alias("_u"), F.col("message_id").alias("_m"), *_MARKS, F.lit(True).alias("known"))
+    joined = rows.join(e, (rows["user_id"] == e["_u"]) & (rows["hist_id"] == e["_m"]), "left")
     flag = lambda c: F.coalesce(c, F.lit(False))
-    return with_events.select("message_id", "user_id", "hist_id", "hist_seq", "structural", similarity.alias("semantic"), d.outcome(flag("known"), *[flag(c) for c in marks]).alias("outcome"))
+    return joined.select(*rows.columns, d.outcome(flag("known"), *[flag(c) for c in _MARKS]).alias("outcome"))
+
+
+class Variant(NamedTuple):
+    """What a run reads: kinds of attachment, and whether vectors."""
+
+    name: str
+    media: tuple[str, ...] = ("image", "voice")
+    vectors: bool = True
+
+
+def _weighted(texts: DataFrame, weights: DataFrame, ids: list[str], how: str) -> DataFrame:
+    """(*ids, tokens: array of (token, w)) of the texts' topic words."""
+    rows = texts.select(*dict.fromkeys([*ids, "reading"]), F.explode(tokenize(F.col("text"))).alias("token")).join(weights, ["reading", "token"], how)
+    return rows.groupBy(*ids).agg(F.collect_list(F.struct("token", F.coalesce("idf", F.lit(1.0)).alias("w"))).alias("tokens"))
+
+
+def _size() -> Column:
+    return 200 + 24 * F.greatest(F.coalesce(F.size("tokens"), F.lit(0)), F.lit(0)) + tiles.vector_bytes(F.col("vector"))
+
+
+def best_pairs(messages: DataFrame, history: DataFrame, events: DataFrame, media: DataFrame, vectors: DataFrame | None = None, variants: tuple[Variant, ...] = (Variant("full"),), settings: Settings = DEFAULT) -> DataFrame:
+    """W01, W02 without all pairs: of every message's pairs with its recipient's history, those that ``similar_topk`` or ``evidence_topk`` can take.
+
+    ``messages`` have message_id, plain_id (as in ``vectors``), user_id, variant (a name of ``variants``), text and the columns of ``tiles.PAIRED``. Both sides
+    are prepared in linear time: weighted topic words, vector and outcome are joined to a row before it is paired, so no text or vector is sent once a
+    pair. The pairs themselves exist only inside a tile of bounded rows and bytes, which returns a number for each message that follows from k.
+    """
+    readings = list(dict.fromkeys(v.media for v in variants))
+    told = F.array(*[F.struct(F.lit(v.name).alias("variant"), F.lit(readings.index(v.media)).alias("reading"), F.lit(v.vectors).alias("use_vectors")) for v in variants])
+    variant_rows = messages.sparkSession.range(1).select(F.inline(told))
+    hist_texts = history_texts(history, media, readings)
+    hist_tokens = hist_texts.select("reading", F.explode(tokenize(F.col("text"))).alias("token"))
+    weights = stage(idf(hist_tokens, history.agg(F.count("*").alias("n")), ("reading", "token")).drop("df"))
+    own = vectors.select(F.col("message_id").alias("_id"), "vector") if vectors is not None else None
+
+    def with_vector(df: DataFrame, id_col: str) -> DataFrame:
+        if own is None:
+            return df.withColumn("vector", F.lit(None).cast("array<double>"))
+        return df.join(own, F.col(id_col) == own["_id"], "left").withColumn("vector", F.when(F.col("use_vectors"), F.col("vector"))).drop("_id")
+
+    key = F.concat_ws("/", "variant", "user_id").alias("pair_key")
+    asked = messages.join(F.broadcast(variant_rows), "variant")  # a row for each variant
+    words = _weighted(asked, weights, ["message_id"], "left")
+    left = with_vector(asked.join(words, "message_id", "left"), "plain_id").select("message_id", "plain_id", key, *tiles.PAIRED, "tokens", "vector")
+    heard = _weighted(hist_texts, weights, ["message_id", "reading"], "inner").withColumnRenamed("message_id", "hist_id")
+    rows = _with_outcome(history.select(F.col("message_id").alias("hist_id"), F.col("user_id"), F.col("seq").cast("long").alias("hist_seq"), *tiles.PAIRED), events)
+    spread = rows.select("*", F.inline(told)).join(heard, ["hist_id", "reading"], "left")
+    right = with_vector(spread, "hist_id").select("hist_id", key, "hist_seq", "outcome", *tiles.PAIRED, "tokens", "vector")
+    chosen = tiles.top_candidates(SHARED_PARTS, FORWARDED_PART, SUPPORT, MOST_CITED, settings)
+    return tiles.tiled(left, right, "pair_key", ("message_id", "hist_id"), (_size(), _size()), chosen, tiles.CANDIDATES)
 
 
 def similar_topk(pairs: DataFrame, k: int = DEFAULT.evidence.similar_k) -> DataFrame:
@@ -109,13 +183,7 @@ def repetition(similar: DataFrame) -> DataFrame:
 
 def behavioural_support(intent: Column, outcome: Column) -> Column:
     """E04."""
-    # Support by intent and outcome.
-    table = {
-        "suppress": {"negative": 1.0, "neutral": 0.45, "unknown": 0.3, "positive": 0.05},
-        "promote": {"positive": 1.0, "neutral": 0.45, "unknown": 0.3, "negative": 0.05},
-        "neutral": {"positive": 0.6, "negative": 0.6, "neutral": 0.5, "unknown": 0.35},
-    }
-    values = F.create_map(*[F.lit(x) for i, row in table.items() for o, v in row.items() for x in (f"{i}/{o}", v)])
+    values = F.create_map(*[F.lit(x) for i, row in SUPPORT.items() for o, v in row.items() for x in (f"{i}/{o}", v)])
     return F.element_at(values, F.concat_ws("/", intent, outcome))
 
 
@@ -127,7 +195,8 @@ def evidence_topk(pairs: DataFrame, wanted: DataFrame, settings: Settings = DEFA
     fitting = pairs.join(wanted, "message_id").filter(~((F.col("structural") < e.min_structural) & (semantic < e.min_semantic)))
     scored = fitting.withColumn("total", F.round(total, 4)).filter(F.col("total") >= e.min_total)
     rank = F.row_number().over(Window.partitionBy("message_id").orderBy(F.desc("total"), "hist_id"))
-    chosen = scored.withColumn("rank", rank).filter(F.col("rank") <= F.when(F.col("want") > 0, F.col("want")).otherwise(0))
+    # the constant bound drops rows before they are sent, the message's own bound what is left
+    chosen = scored.withColumn("rank", rank).filter((F.col("rank") <= MOST_CITED) & (F.col("rank") <= F.col("want")))
     rows = F.array_sort(F.collect_list(F.struct("rank", "hist_id", "total", "outcome")))
     return chosen.groupBy("message_id").agg(rows.alias("cited")).select("message_id", F.transform("cited", lambda x: x["hist_id"]).alias("evidence"), "cited")
 
@@ -135,17 +204,15 @@ def evidence_topk(pairs: DataFrame, wanted: DataFrame, settings: Settings = DEFA
 def intent_verdict(vectors: DataFrame, exemplars: DataFrame) -> DataFrame:
     """(message_id, intent, margin) from the best cosine with each intent's exemplars.
 
-    ``vectors`` is (message_id, vector), ``exemplars`` (intent, vector): a handful of rows, MAX_EXEMPLARS at most, which become one value that every
-    message is compared with where it stands, without a join or a shuffle. Vectors of other lengths are not compared.
+    ``vectors`` is (message_id, vector), ``exemplars`` (intent, vector): a handful of rows, MAX_EXEMPLARS at most, which become a matrix that every batch of
+    messages is multiplied with where it stands, without a join or a shuffle; the best of each intent is one pass over that product. Vectors of
+    other lengths are not compared, and vectors with null, infinite or undefined components count as missing.
     """
-    table = exemplars.agg(F.count("*").alias("n"), F.collect_list(F.struct("intent", F.col("vector").alias("example"))).alias("rows"))
-    checked = table.select(F.when(F.col("n") <= MAX_EXEMPLARS, F.col("rows")).otherwise(F.raise_error(F.lit(f"more than {MAX_EXEMPLARS} exemplars"))).alias("rows")).scalar()
-    each = vectors.withColumn("table", checked).withColumn("examples", F.filter("table", lambda x: F.size(x["example"]) == F.size("vector"))).filter(F.size("examples") > 0)
-    scored = F.transform("examples", lambda x: F.struct(F.round(cosine(F.col("vector"), x["example"]), 3).alias("score"), x["intent"].alias("intent")))
-    sorted_down = each.select("message_id", F.reverse(F.array_sort(scored)).alias("all"))
-    # the first of each intent is its best
-    first = F.filter("all", lambda x, i: F.array_position(F.transform("all", lambda y: y["intent"]), x["intent"]) == i + 1)
-    ranked = sorted_down.select("message_id", first.alias("r"))
-    gap = F.get("r", F.lit(0))["score"] - F.coalesce(F.get("r", F.lit(1))["score"], F.lit(0.0))
-    sure = (gap >= 0.12) & (F.get("r", F.lit(0))["score"] >= 0.35)
-    return ranked.select("message_id", F.when(sure, F.get("r", F.lit(0))["intent"]).otherwise("").alias("intent"), F.round(gap, 3).alias("margin"))
+    rows = exemplars.select(F.col("intent").cast("string").alias("intent"), F.col("vector").cast("array<double>").alias("vector")).limit(MAX_EXEMPLARS + 1).collect()
+    if len(rows) > MAX_EXEMPLARS:
+        raise ValueError(f"more than {MAX_EXEMPLARS} exemplars")
+    told = sorted(((r.intent, r.vector) for r in rows if r.intent is not None and r.vector), key=lambda x: x[0])
+    by_length = {n: [x for x in told if len(x[1]) == n] for n in {len(v) for _, v in told}}
+    id_type = dict(vectors.dtypes)["message_id"]
+    given = vectors.select("message_id", F.col("vector").cast("array<double>").alias("vector"))
+    return given.mapInArrow(tiles.best_intents(by_length), f"message_id {id_type}, intent string, margin double")

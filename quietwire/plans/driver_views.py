@@ -91,7 +91,7 @@ SELECT 'g_' || CAST(n_nationkey AS STRING) AS group_id, n_name AS group_name,
   CASE n_nationkey % 14 WHEN 0 THEN 'family' WHEN 1 THEN 'school_group' WHEN 2 THEN 'coworker' WHEN 3 THEN 'society' WHEN 4 THEN 'caregiving' WHEN 5 THEN 'safety'
     WHEN 6 THEN 'extended_family' WHEN 7 THEN 'investment_tips' WHEN 8 THEN 'marketplace' WHEN 9 THEN 'local_food' WHEN 10 THEN 'tech_community' WHEN 11 THEN 'book_club'
     WHEN 12 THEN 'alumni' ELSE 'college_faculty' END AS group_type
-FROM {nation} WHERE n_nationkey < 24""",
+FROM {nation}""",
     "group_members": """
 SELECT group_id, user_id, role, read_30d, replies_30d, dismissed_30d, muted FROM (
   SELECT 'g_' || CAST((c_custkey + 8 * k) % 25 AS STRING) AS group_id, 'u_' || CAST(c_custkey AS STRING) AS user_id,
@@ -120,12 +120,13 @@ SELECT 'image' AS media_type, 'img_' || CAST(p_partkey AS STRING) AS media_id, p
   CASE p_partkey % 5 WHEN 0 THEN 'Mega sale flat discount this weekend' WHEN 1 THEN 'Account statement page' WHEN 2 THEN 'Missing since Friday' WHEN 3 THEN 'Scan and pay' ELSE '' END AS media_text,
   CASE p_partkey % 5 WHEN 0 THEN 'promotional_poster' WHEN 1 THEN 'document' WHEN 2 THEN 'poster' ELSE 'unknown' END AS layout, p_partkey % 6 = 3 AS has_qr,
   CAST(0 AS DOUBLE) AS duration_s, CAST(0 AS DOUBLE) AS wpm
-FROM {part} WHERE p_partkey < 18
+FROM {part}
 UNION ALL
 SELECT 'voice' AS media_type, 'vn_' || CAST(p_partkey AS STRING) AS media_id, p_partkey % 4 <> 3 AS ok,
   CASE p_partkey % 4 WHEN 0 THEN 'please call now, it is urgent' WHEN 1 THEN 'special offer for you, book now' WHEN 2 THEN 'see you at home' ELSE '' END AS media_text,
   '' AS layout, false AS has_qr, CAST((p_partkey * 7) % 45 AS DOUBLE) AS duration_s, CAST(120 + p_partkey * 9 AS DOUBLE) AS wpm
-FROM {part} WHERE p_partkey < 13""",
+FROM {part}""",
+    "vectors": "SELECT m.message_id, e.embedding AS vector FROM {all_messages} m JOIN {embeddings} e ON e.vec_id = m.seq % 499 WHERE m.seq % 3 <> 0",
 }
 
 

@@ -2,26 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quietwire.config import DEFAULT, Settings
 from quietwire.functions.text import needs_fallback
-from quietwire.operators import content, decide, joins, profiles, safety, scoring, similarity
+from quietwire.operators import content, decide, joins, profiles, safety, scoring, similarity, tiles
+from quietwire.operators.similarity import Variant
 from quietwire.sources.staging import stage
 
 
-#: Kinds of attachment whose extracted text is read.
-MEDIA = ("image", "voice")
+FULL = Variant("full")
 
 
-def facts(t: dict[str, DataFrame], media: tuple[str, ...] = MEDIA, with_vectors: bool = True) -> DataFrame:
-    """Messages with their content and with what is known of sender, group, business and recipient.
+def varied(messages: DataFrame, variants: tuple[Variant, ...] = (FULL,)) -> DataFrame:
+    """Every message once a variant. With several, its id begins with the variant's name; ``plain_id`` is the one that it came with."""
+    told = F.array(*[F.struct(F.lit(v.name).alias("variant"), F.array(*map(F.lit, v.media)).cast("array<string>").alias("_kinds"), F.lit(v.vectors).alias("use_vectors")) for v in variants])
+    rows = messages.select("*", F.col("message_id").alias("plain_id"), F.inline(told)).withColumn("media_seen", F.array_contains("_kinds", F.col("media_type"))).drop("_kinds")
+    return rows if len(variants) == 1 else rows.withColumn("message_id", F.concat_ws("/", "variant", "plain_id"))
+
+
+def facts(t: dict[str, DataFrame], variants: tuple[Variant, ...] = (FULL,)) -> DataFrame:
+    """Messages with their content and with what is known of sender, group, business and recipient, once a variant.
 
     Where there are ``vectors`` (message_id, vector) and ``exemplars`` (intent, vector), a message whose words tell little takes the
     intent of the exemplars that it is nearest to.
     """
-    df = content.content_features(t["messages"], t["media"].filter(F.col("media_type").isin(*media)))
+    df = content.content_features(varied(t["messages"], variants), t["media"])
     df = joins.join_users(df, t["users"])
     df = joins.join_groups(df, t["groups"])
     df = joins.join_businesses(df, t["businesses"])
@@ -29,38 +36,48 @@ def facts(t: dict[str, DataFrame], media: tuple[str, ...] = MEDIA, with_vectors:
     df = joins.join_relationships(df, t["relationships"])
     df = joins.join_prior_contact(df, t["history"])
     df = joins.shares_group_type(df, t["group_members"], t["groups"])
-    vectors, exemplars = (t.get(name) if with_vectors else None for name in ("vectors", "exemplars"))
-    if vectors is None or exemplars is None:
+    vectors, exemplars = t.get("vectors"), t.get("exemplars")
+    if vectors is None or exemplars is None or not any(v.vectors for v in variants):
         return df
-    asked = vectors.join(df.filter(needs_fallback(F.col("combined"), F.col("lexicon_hit_count"))).select("message_id"), "message_id", "left_semi")
+    asked = df.filter(F.col("use_vectors") & needs_fallback(F.col("combined"), F.col("lexicon_hit_count"))).select("message_id", "plain_id")
+    asked = asked.join(vectors.select(F.col("message_id").alias("plain_id"), "vector"), "plain_id").drop("plain_id")
     near = similarity.intent_verdict(asked, exemplars).select("message_id", "intent", F.col("margin").alias("intent_margin"))
     return df.join(near, "message_id", "left").fillna({"intent": "", "intent_margin": 0.0})
 
 
-def pairs(t: dict[str, DataFrame], messages: DataFrame, with_vectors: bool = True) -> DataFrame:
-    """Every message with its recipient's history."""
-    texts = messages.select("message_id", "user_id", F.when(F.col("combined") != "", F.col("combined")).otherwise(F.coalesce("message_text", F.lit(""))).alias("text"))
-    lexical = similarity.lexical_similarity(texts, similarity.history_texts(t["history"], t["media"]))
-    return similarity.candidate_pairs(messages, t["history"], t["message_events"], lexical, t.get("vectors") if with_vectors else None)
+def _text() -> Column:
+    return F.when(F.col("combined") != "", F.col("combined")).otherwise(F.coalesce("message_text", F.lit(""))).alias("text")
+
+
+def pairs(t: dict[str, DataFrame], messages: DataFrame) -> DataFrame:
+    """Every message with its recipient's history: the pairs one by one, which ``best_pairs`` does without."""
+    lexical = similarity.lexical_similarity(messages.select("message_id", "user_id", _text()), similarity.history_texts(t["history"], t["media"]))
+    return similarity.candidate_pairs(messages, t["history"], t["message_events"], lexical, t.get("vectors"))
+
+
+def best_pairs(t: dict[str, DataFrame], messages: DataFrame, variants: tuple[Variant, ...] = (FULL,), settings: Settings = DEFAULT) -> DataFrame:
+    """Of the pairs of every message with its recipient's history, those that any later step can take."""
+    asked = messages.select("message_id", "plain_id", "variant", "user_id", _text(), *tiles.PAIRED)
+    return similarity.best_pairs(asked, t["history"], t["message_events"], t["media"], t.get("vectors"), variants, settings)
 
 
-def scored(t: dict[str, DataFrame], settings: Settings = DEFAULT, media: tuple[str, ...] = MEDIA, with_vectors: bool = True) -> tuple[DataFrame, DataFrame]:
+def scored(t: dict[str, DataFrame], settings: Settings = DEFAULT, variants: tuple[Variant, ...] = (FULL,)) -> tuple[DataFrame, DataFrame]:
     """(scored messages, pairs with their history), both staged, as the facts in between: each is read by several branches."""
-    known = stage(facts(t, media, with_vectors))
-    candidates = stage(pairs(t, known, with_vectors))
+    known = stage(facts(t, variants))
+    candidates = stage(best_pairs(t, known, variants, settings))
     repeated = similarity.repetition(similarity.similar_topk(candidates, settings.evidence.similar_k))
     profile = profiles.engagement_profile(t["message_events"], t["history"])
     tired = profiles.fatigue(profiles.notification_load(t["daily"]))
     return stage(scoring.score(safety.assess(known), profile, repeated, tired, settings)), candidates
 
 
-def route(t: dict[str, DataFrame], settings: Settings = DEFAULT, media: tuple[str, ...] = MEDIA, with_vectors: bool = True, verdicts: DataFrame | None = None) -> DataFrame:
-    """One repaired decision for each message.
+def route(t: dict[str, DataFrame], settings: Settings = DEFAULT, verdicts: DataFrame | None = None, variants: tuple[Variant, ...] = (FULL,)) -> DataFrame:
+    """One repaired decision for each message, and each of ``variants``, which are routed together: what they share is worked out once.
 
     ``verdicts`` (message_id, action, message_type) are second opinions on close decisions. They come before the evidence is looked up and before the
     repair, so reason, evidence and invariants are those of the action that is taken.
     """
-    messages, candidates = scored(t, settings, media, with_vectors)
+    messages, candidates = scored(t, settings, variants)
     chosen = stage(decide.explain_choice(decide.decide(messages, settings), settings))
     if verdicts is not None:
         chosen = stage(decide.reconcile_verdicts(chosen, verdicts, settings))

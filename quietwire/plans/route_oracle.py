@@ -187,10 +187,10 @@ q AS (SELECT message_id, user_id, token, coalesce(idf, 1.0) AS w FROM query_toke
 h AS (SELECT hist_id, user_id, token, idf AS w FROM hist_tokens JOIN idf USING (token)),
 lexical AS (SELECT message_id, hist_id, shared / sqrt(q_sum * h_sum) AS lexical FROM (SELECT q.message_id, h.hist_id, sum(q.w) AS shared FROM q JOIN h ON q.user_id = h.user_id AND q.token = h.token GROUP BY ALL)
   JOIN (SELECT message_id, sum(w) AS q_sum FROM q GROUP BY ALL) USING (message_id) JOIN (SELECT hist_id, sum(w) AS h_sum FROM h GROUP BY ALL) USING (hist_id)),
-pairs AS MATERIALIZED (SELECT m.message_id, m.user_id, p.message_id AS hist_id, p.seq AS hist_seq, coalesce(lexical, 0.0) AS semantic,
+pairs AS MATERIALIZED (SELECT m.message_id, m.user_id, p.message_id AS hist_id, p.seq AS hist_seq, coalesce(list_cosine_similarity(CAST(qv.vector AS DOUBLE[]), CAST(hv.vector AS DOUBLE[])), lexical, 0.0) AS semantic,
   least(1.0, {doubles(add(("m.business_id <> '' AND m.business_id = p.business_id", "0.62"), ("m.sender_user_id <> '' AND m.sender_user_id = p.sender_user_id", "0.58"), ("m.group_id <> '' AND m.group_id = p.group_id", "0.30"), ("m.conversation_type = p.conversation_type", "0.12"), ("m.media_type <> '' AND m.media_type = p.media_type", "0.06"), ("m.forwarded_count >= 3 AND p.forwarded_count >= 3", "0.08")))}) AS structural,
   CASE WHEN e.message_id IS NULL THEN 'unknown' WHEN notification_dismissed OR muted_after OR reported THEN 'negative' WHEN message_opened OR message_replied THEN 'positive' ELSE 'neutral' END AS outcome
-  FROM messages m JOIN history p ON m.user_id = p.user_id AND m.message_id <> p.message_id LEFT JOIN lexical l ON l.message_id = m.message_id AND l.hist_id = p.message_id LEFT JOIN message_events e ON e.user_id = m.user_id AND e.message_id = p.message_id),
+  FROM messages m JOIN history p ON m.user_id = p.user_id AND m.message_id <> p.message_id LEFT JOIN lexical l ON l.message_id = m.message_id AND l.hist_id = p.message_id LEFT JOIN vectors qv ON qv.message_id = m.message_id LEFT JOIN vectors hv ON hv.message_id = p.message_id LEFT JOIN message_events e ON e.user_id = m.user_id AND e.message_id = p.message_id),
 similar_rows AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY score DESC, hist_seq) AS rank FROM (SELECT *, round(0.65::DOUBLE * greatest(0, semantic) + 0.35::DOUBLE * structural, 4) AS score FROM pairs)) WHERE rank <= 40),
 repeated AS (SELECT message_id, rejected, engaged, CASE WHEN rejected + engaged > 0 THEN round(rejected / (rejected + engaged), 3) ELSE 0.0 END AS repetition FROM (
   SELECT message_id, count(*) FILTER (WHERE score >= 0.3 AND outcome = 'negative') AS rejected, count(*) FILTER (WHERE score >= 0.3 AND outcome = 'positive') AS engaged FROM similar_rows GROUP BY message_id))"""

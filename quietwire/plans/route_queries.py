@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quietwire.config import DEFAULT, MESSAGE_TYPES
-from quietwire.operators import checks, decide, evaluate, similarity
+from quietwire.operators import checks, decide, evaluate, similarity, tiles
+from quietwire.operators.similarity import Variant
 from quietwire.plans import route
 from quietwire.plans.registry import query
 from quietwire.plans.route_oracle import CONTENT_CTE, OPINION_CTES, ROUTE_CTES, SAFETY_CTES, SCORE_CTES, SIMILAR_CTE, names
@@ -20,10 +20,18 @@ _SIMILAR = f"{CONTENT_CTE}, {SIMILAR_CTE}"
 _round = lambda c, n=3: F.round(c, n).alias(c)
 
 
-def _pairs(v):
+def _content(v):
     from quietwire.operators.content import content_features
 
-    return route.pairs(v, content_features(v["messages"], v["media"]))
+    return content_features(route.varied(v["messages"]), v["media"])
+
+
+def _pairs(v):
+    return route.pairs(v, _content(v))
+
+
+def _best_pairs(v):
+    return route.best_pairs(v, _content(v))
 
 
 @query("e05_history_text", "SELECT message_id, text FROM hist_texts", _SIMILAR)
@@ -39,9 +47,7 @@ def a07(v):
 
 
 def _lexical(v):
-    from quietwire.operators.content import content_features
-
-    known = content_features(v["messages"], v["media"])
+    known = _content(v)
     texts = known.select("message_id", "user_id", F.when(F.col("combined") != "", F.col("combined")).otherwise(F.col("message_text")).alias("text"))
     return similarity.lexical_similarity(texts, similarity.history_texts(v["history"], v["media"]))
 
@@ -62,10 +68,9 @@ def e01(v):
     FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY a.vec_id""",
 )
 def e02(v):
-    e = v["embeddings"]
-    asked = e.filter("vec_id % 50 = 0").select("vec_id", "label", F.col("embedding").alias("q"))  # a stated query set, against all rows
-    pairs = asked.join(e.select(F.col("vec_id").alias("other"), "label", "embedding"), "label").filter("vec_id <> other")
-    return pairs.groupBy("vec_id").agg(F.count("*").alias("partners"), F.round(F.max(similarity.cosine(F.col("q"), F.col("embedding"))), 4).alias("nearest"))
+    rows = v["embeddings"].select(F.col("vec_id").alias("id"), F.col("label").alias("key"), F.col("embedding").alias("vector"))
+    asked = rows.filter("id % 50 = 0")  # a stated query set, against all rows
+    return tiles.nearest_by_key(asked, rows).select(F.col("id").alias("vec_id"), "partners", _round("nearest", 4))
 
 
 @query("e03_structural_affinity", "SELECT message_id, hist_id, round(structural, 4) AS structural FROM pairs", _SIMILAR)
@@ -87,12 +92,12 @@ def j09(v):
 
 @query("w01_similar_topk", "SELECT message_id, hist_id, rank, score FROM similar_rows", _SIMILAR)
 def w01(v):
-    return similarity.similar_topk(_pairs(v)).select("message_id", "hist_id", F.col("rank").cast("long").alias("rank"), "score")
+    return similarity.similar_topk(_best_pairs(v)).select("message_id", "hist_id", F.col("rank").cast("long").alias("rank"), "score")
 
 
 @query("a08_repetition_score", "SELECT message_id, rejected, engaged, repetition FROM repeated", _SIMILAR)
 def a08(v):
-    return similarity.repetition(similarity.similar_topk(_pairs(v))).select("message_id", "rejected", "engaged", "repetition")
+    return similarity.repetition(similarity.similar_topk(_best_pairs(v))).select("message_id", "rejected", "engaged", "repetition")
 
 
 def _assessed(v):
@@ -468,14 +473,12 @@ def q04(v):
     return sinks.explain(decisions, last).select("message_id", F.get_json_object("trace", "$.action").alias("action"), F.get_json_object("trace", "$.priority").cast("double").alias("priority"))
 
 
-#: Kinds of attachment that are read, and whether vectors are, by variant.
-_VARIANTS = {"full": (route.MEDIA, True), "no_vectors": (route.MEDIA, False), "voice_only": (("voice",), True), "image_only": (("image",), True), "no_media": ((), True)}
+_VARIANTS = (route.FULL, Variant("no_vectors", vectors=False), Variant("voice_only", ("voice",)), Variant("image_only", ("image",)), Variant("no_media", ()))
 
 
-def _variant_sql(name: str) -> str:
-    kinds = names(_VARIANTS[name][0] or ("none",))
-    return f"""SELECT * FROM (WITH media AS (SELECT * FROM all_media WHERE media_type IN {kinds}), {_JOINED}, {_GOLD_EVIDENCE}
-SELECT '{name}' AS variant, joined.message_id, action, message_type, true_action, true_type, evidence, coalesce(g, []) AS g FROM joined LEFT JOIN gold_evidence USING (message_id))"""
+def _variant_sql(variant: Variant) -> str:
+    return f"""SELECT * FROM (WITH media AS (SELECT * FROM all_media WHERE media_type IN {names(variant.media or ("none",))}), vectors AS (SELECT * FROM all_vectors WHERE {str(variant.vectors).lower()}), {_JOINED}, {_GOLD_EVIDENCE}
+SELECT '{variant.name}' AS variant, joined.message_id, action, message_type, true_action, true_type, evidence, coalesce(g, []) AS g FROM joined LEFT JOIN gold_evidence USING (message_id))"""
 
 
 @query(
@@ -484,21 +487,11 @@ SELECT '{name}' AS variant, joined.message_id, action, message_type, true_action
     round(sum(len(list_intersect(g, evidence))) / greatest(sum(len(g)), 1), 4) AS recall, count(*) FILTER (WHERE (true_action = 'notify' AND action = 'mute') OR (true_action = 'mute' AND action = 'notify')) AS critical_errors,
     count(*) FILTER (WHERE action <> full_action OR message_type <> full_type) AS changed
     FROM (SELECT *, first_value(action) OVER w AS full_action, first_value(message_type) OVER w AS full_type FROM runs WINDOW w AS (PARTITION BY message_id ORDER BY variant <> 'full')) GROUP BY variant""",
-    "all_media AS (SELECT * FROM media), runs AS (" + " UNION ALL ".join(map(_variant_sql, _VARIANTS)) + ")",
+    "all_media AS (SELECT * FROM media), all_vectors AS (SELECT * FROM vectors), runs AS (" + " UNION ALL ".join(map(_variant_sql, _VARIANTS)) + ")",
 )
 def q05(v):
-    told = lambda media, vectors: stage(route.route(v, media=media, with_vectors=vectors).select("message_id", "action", "message_type", "reason", "confidence", "evidence"))
-    runs = {name: told(media, vectors) for name, (media, vectors) in _VARIANTS.items() if vectors or v.get("vectors") is not None}
-    runs = {name: runs.get(name, runs["full"]) for name in _VARIANTS}  # without vectors, leaving them out changes nothing
-
-    def measured(name: str, run: DataFrame) -> DataFrame:
-        joined = evaluate.with_labels(run, _gold(v))
-        errors = evaluate.critical_errors(joined).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-        recall = evaluate.evidence_recall(_with_gold_evidence(v, run)).select("recall")
-        accuracy = evaluate.accuracy(joined).select("n", "action_accuracy", "type_accuracy", "joint_accuracy")
-        return accuracy.select(F.lit(name).alias("variant"), "*", recall.scalar().alias("recall"), errors.scalar().alias("critical_errors"), evaluate.churn(runs["full"], run).scalar().alias("changed"))
-
-    return reduce(DataFrame.unionByName, [measured(name, run) for name, run in runs.items()])
+    runs = route.route(v, variants=_VARIANTS).select("variant", F.col("plain_id").alias("message_id"), "action", "message_type", "evidence")
+    return evaluate.ablation(_with_gold_evidence(v, stage(runs)), _gold(v), _VARIANTS[0].name)
 
 
 _FLOORS = (0.36, 0.38, 0.42, 0.46, 0.50)
