@@ -19,8 +19,11 @@ def escaped(text: Column) -> Column:
 
 
 def _name(role: Column) -> Column:
-    """A name inside a mark, unable to close it either."""
-    return F.replace(escaped(role), F.lit("|>"), F.lit("|\\>"))
+    """A name inside a mark, unable to open or close one: a backslash is doubled, then one goes between "<" and "|", between "|" and ">", and after
+    a "<" at the end. Single backslashes are those put in, so different names stay different."""
+    doubled = F.replace(role, F.lit("\\"), F.lit("\\\\"))
+    apart = F.replace(F.replace(doubled, F.lit("<|"), F.lit("<\\|")), F.lit("|>"), F.lit("|\\>"))
+    return F.concat(apart, F.when(role.endswith("<"), "\\").otherwise(""))
 
 
 def _header(speaker: Column, role: Column) -> Column:

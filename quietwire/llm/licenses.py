@@ -66,8 +66,8 @@ TEMPLATES = (
 
 
 def words_of(text: Column) -> Column:
-    # lower() also folds letters outside ASCII, none of which become a letter of a phrase or stop being part of a word
-    return F.array_remove(F.split(F.lower(text), BETWEEN), "")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.array_remove(F.split(F.translate(text, upper, upper.lower()), BETWEEN), "")
 
 
 def runs_of(words: Column) -> Column:

@@ -129,7 +129,7 @@ WITH said AS (
 ), speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM said),
 parts AS (
   SELECT s.conv_id, p.speaker, s.turn, s.role, s.text, s.role = p.speaker AS own,
-         CASE WHEN s.role = p.speaker THEN '<|assistant|>' ELSE '<|user name=' || replace(replace(replace(s.role, '<\', '<\\'), '<|', '<\|'), '|>', '|\>') || '|>' END || chr(10) AS header,
+         CASE WHEN s.role = p.speaker THEN '<|assistant|>' ELSE '<|user name=' || replace(replace(replace(s.role, '\', '\\'), '<|', '<\|'), '|>', '|\>') || CASE WHEN s.role LIKE '%<' THEN '\' ELSE '' END || '|>' END || chr(10) AS header,
          replace(replace(s.text, '<\', '<\\'), '<|', '<\|') || '<|end|>' || chr(10) AS body
   FROM said s JOIN speakers p USING (conv_id)
 )
@@ -183,7 +183,7 @@ def _op2_sql() -> str:
     base = ", ".join(f"CASE WHEN len({label}) > 0 THEN '{label}' END" for label in sorted(places))
     every = " || ".join(places)
     return f"""
-WITH words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), {letters}) AS w FROM documents),
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {letters}) AS w FROM documents),
 templates AS (SELECT id, label, regexp_extract_all(text, {letters}) AS w FROM (VALUES {templates}) t(id, label, text)),
 runs AS (SELECT id, label, len(w) - 2 AS n, i - 1 AS tpos, array_to_string(w[i:i + 2], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM templates)),
 votes AS (SELECT doc_id, id, label, n, i - 1 AS place, tpos FROM (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM words)) JOIN runs USING (run)),

@@ -217,7 +217,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([matcher.density(x)[2] for x in batch.column(1).to_pylist()], pa.float64())], ["toxic", "density"])
 
-    told = sample.mapInArrow(densities, "toxic int, density double").orderBy("density", "toxic").collect()  # two numbers of MAX_LABELLED rows at most
+    told = sorted(sample.mapInArrow(densities, "toxic int, density double").collect(), key=lambda x: (x.density, x.toxic))  # two numbers of MAX_LABELLED rows at most
     scale = _scale(np.array([x.density for x in told]), np.array([x.toxic for x in told], dtype=float))
     return Lexicon(learned, exceptions, scale if scale[1] > 0 else GIVEN_SCALE)
 

@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 from quietwire.llm import bpe, chat, licenses, linedup, mixing, quality, secrets
 
@@ -244,6 +245,19 @@ def spark_hash(*words):
     return seed - (1 << 64) if seed >= 1 << 63 else seed
 
 
+def test_different_names_render_differently(spark):
+    names = ["a|>", "a|\\>", "a|\\\\>", "b<", "b<\\", "b<|", "b<\\|", "<|>", "\\", "", "<"]
+    df = spark.createDataFrame([("c", i, n, "x") for i, n in enumerate(["me", *names])], "conv_id string, turn int, role string, text string")
+    rendered = next(r.rendered for r in chat.rotate_perspectives(df).collect() if r.speaker == "me")
+    headers = [x for x in rendered.split("\n") if x.startswith("<|user name=")]
+    assert len(set(headers)) == len(names) and all(h.count("<|") == h.count("|>") == 1 for h in headers)
+
+
+def test_only_ascii_letters_are_lowered(spark):
+    words = spark.range(1).select(licenses.words_of(F.lit("MIT \u0130T \u00c9TAT \u212aEY"))).first()[0]
+    assert words == ["mit", "\u0130t", "\u00c9tat", "\u212aey"]
+
+
 def test_quality_equals_brute_force(spark):
     rng = random.Random(3)
     good = [" ".join(rng.choice(["sun", "moon", "tree", "river", "stone", "naïve"]) for _ in range(40)) for _ in range(30)]
