@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quietwire.config import ACTIONS, MESSAGE_TYPES
 from quietwire.sources.sinks import output_rows
+from quietwire.sources.staging import stage
 
 
 def _found(df: DataFrame, condition: Column, check: str) -> DataFrame:
@@ -56,6 +57,24 @@ def readiness(decisions: DataFrame, messages: DataFrame, media: DataFrame, accur
     return reduce(DataFrame.unionByName, rows)
 
 
-def differences(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Q07: rows that two runs don't have in common, with repetitions."""
-    return left.exceptAll(right).unionByName(right.exceptAll(left))
+#: Groups of rows whose fingerprints two runs are compared by.
+BUCKETS = 4096
+
+
+def fingerprints(df: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, rows, fingerprint) of the rows by a hash of ``key``: sums that no order or dealing of rows changes."""
+    hashed = df.select(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket"), *[F.xxhash64(F.lit(i), *df.columns).cast("decimal(38,0)").alias(f"h{i}") for i in (0, 1)])
+    return hashed.groupBy("bucket").agg(F.count("*").alias("rows"), F.struct(F.sum("h0"), F.sum("h1")).alias("fingerprint"))
+
+
+def differences(left: DataFrame, right: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
+    """Q07: rows that two runs don't have in common, with repetitions.
+
+    What is compared first is a fingerprint of each of ``buckets`` groups, summed where the rows stand; rows are only sent and compared one by one in
+    groups whose fingerprints differ, none if the runs agree.
+    """
+    one, other = fingerprints(left, key, buckets), fingerprints(right, key, buckets)
+    unlike = one.join(other, "bucket", "full").filter(~one["rows"].eqNullSafe(other["rows"]) | ~one["fingerprint"].eqNullSafe(other["fingerprint"])).select("bucket")
+    unlike = F.broadcast(stage(unlike))  # of ``buckets`` rows at most
+    some = [df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).join(unlike, "bucket", "left_semi").drop("bucket") for df in (left, right)]
+    return some[0].exceptAll(some[1]).unionByName(some[1].exceptAll(some[0]))

@@ -141,11 +141,23 @@ def repair(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return df.drop("_before", *[f"_{name}" for name in struck])
 
 
+# Fixed value: the reason of a message that could not be analysed.
+DEFERRED = "The message could not be fully analysed, so it is deferred rather than dropped."
+#: What a decision is made of; a row that lacks any of it is not decided on.
+NEEDED = ("scam", "spam", "injection", "risk", "urgency", "actionability", "trust", "relationship", "importance", "repetition", "fatigue", "priority", "action", "message_type", "confidence")
+
+
 def with_fallback(decisions: DataFrame) -> DataFrame:
-    """A row whose scores could not be computed is put off to the digest as unknown, without repair."""
-    broken = F.col("priority").isNull() | F.col("risk").isNull()
-    fixed = {"action": F.lit("digest"), "message_type": F.lit("unknown"), "confidence": F.lit(0.80), "rationale": F.lit("digest_fallback"), "reason": F.lit(BY_KEY["digest_fallback"].text), "evidence": F.array().cast("array<string>"), "violations": F.array().cast("array<string>")}
-    return decisions.withColumns({c: F.when(broken, v).otherwise(F.col(c)) for c, v in fixed.items()})
+    """A row that could not be analysed is put off to the digest as unknown, without repair; ``errors`` names what could not be worked out.
+
+    Casts and look-ups give null where a value is bad and nulls run through every score, so a bad row shows in the scores that need what it lacks,
+    and no row stops the others.
+    """
+    there = [c for c in NEEDED if c in decisions.columns]
+    lacking = F.array_compact(F.array(*[F.when(F.col(c).isNull(), c) for c in there]))
+    fixed = {"action": F.lit("digest"), "message_type": F.lit("unknown"), "confidence": F.lit(0.80), "rationale": F.lit("digest_fallback"), "reason": F.lit(DEFERRED), "evidence": F.array().cast("array<string>"), "violations": F.array().cast("array<string>")}
+    broken = F.size("errors") > 0
+    return decisions.withColumn("errors", lacking).withColumns({c: F.when(broken, v).otherwise(F.col(c)) for c, v in fixed.items()})
 
 
 def parse_verdict(raw: Column) -> Column:

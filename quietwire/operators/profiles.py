@@ -17,8 +17,8 @@ def events_with_history(events: DataFrame, history: DataFrame) -> DataFrame:
     return events.join(topics, "message_id", "left")
 
 
-def engagement_profile(events: DataFrame, history: DataFrame) -> DataFrame:
-    """(user_id, grain, key, counts, affinity) by user, and by user with sender, group, business and topic.
+def engagement_counts(events: DataFrame, history: DataFrame) -> DataFrame:
+    """(user_id, grain, key, counts) by user, and by user with sender, group, business and topic.
 
     Every event is turned into one row for each grain it counts in before the only shuffle, where it is first summed up.
     """
@@ -29,8 +29,22 @@ def engagement_profile(events: DataFrame, history: DataFrame) -> DataFrame:
     fast = (F.col("reaction_minutes") >= 0) & (F.col("reaction_minutes") <= 5)
     flags = {"opened": "message_opened", "replied": "message_replied", "dismissed": "notification_dismissed", "muted": "muted_after", "reported": "reported"}
     sums = [F.count_if(F.col(c)).alias(k) for k, c in flags.items()]
-    stats = rows.groupBy("user_id", F.col("g.grain").alias("grain"), F.col("g.key").alias("key")).agg(F.count("*").alias("seen"), *sums, F.count_if(fast).alias("fast"))
-    return stats.withColumn("affinity", d.affinity(*[F.col(c) for c in ("seen", "opened", "replied", "fast", "dismissed", "muted", "reported")]))
+    return rows.groupBy("user_id", F.col("g.grain").alias("grain"), F.col("g.key").alias("key")).agg(F.count("*").alias("seen"), *sums, F.count_if(fast).alias("fast"))
+
+
+def add_counts(counts: DataFrame) -> DataFrame:
+    """Counts of several sets of events, put together, as those of all events."""
+    return counts.groupBy("user_id", "grain", "key").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
+def engagement_profile(events: DataFrame, history: DataFrame) -> DataFrame:
+    """The counts of ``engagement_counts``, and affinity."""
+    return with_affinity(engagement_counts(events, history))
+
+
+def with_affinity(counts: DataFrame) -> DataFrame:
+    """A03."""
+    return counts.withColumn("affinity", d.affinity(*[F.col(c) for c in ("seen", "opened", "replied", "fast", "dismissed", "muted", "reported")]))
 
 
 def join_stats(df: DataFrame, profile: DataFrame, grain: str, key: str) -> DataFrame:

@@ -249,10 +249,11 @@ def d07(v):
     return route.route(v).select("message_id", "action", "message_type", "rationale", F.array_join("violations", "|").alias("violations"))
 
 
-@query("d08_safe_fallback", "SELECT message_id, CASE WHEN seq % 40 = 0 THEN 'digest' ELSE action END AS action, CASE WHEN seq % 40 = 0 THEN 'unknown' ELSE message_type END AS message_type, CASE WHEN seq % 40 = 0 THEN 0.8 ELSE confidence END AS confidence FROM decisions", ROUTE_CTES)
+@query("d08_safe_fallback", """SELECT message_id, CASE WHEN seq % 40 = 0 THEN 'digest' ELSE action END AS action, CASE WHEN seq % 40 = 0 THEN 'unknown' ELSE message_type END AS message_type, CASE WHEN seq % 40 = 0 THEN 0.8 ELSE confidence END AS confidence,
+CASE WHEN seq % 40 = 0 THEN 'The message could not be fully analysed, so it is deferred rather than dropped.' ELSE reason END AS reason, CASE WHEN seq % 40 = 0 THEN 'priority' ELSE '' END AS errors FROM decisions""", ROUTE_CTES)
 def d08(v):
     broken = route.route(v).withColumn("priority", F.when(F.col("seq") % 40 != 0, F.col("priority")))
-    return decide.with_fallback(broken).select("message_id", "action", "message_type", "confidence")
+    return decide.with_fallback(broken).select("message_id", "action", "message_type", "confidence", "reason", F.array_join("errors", ",").alias("errors"))
 
 
 _DECISION = "SELECT message_id, action, message_type, reason, confidence, CASE WHEN len(evidence) > 0 THEN array_to_string(evidence, ';') ELSE 'none' END AS evidence FROM decisions"
@@ -521,7 +522,7 @@ def decide_at(floor: float):
 @query("q07_determinism_check", "SELECT message_id, action FROM decisions WHERE false", ROUTE_CTES)
 def q07(v):
     """Two runs of their own, the second on the same rows dealt otherwise over another number of partitions."""
-    tables = ("messages", "history", "message_events", "users", "groups", "group_members", "businesses", "relationships", "daily", "media")
+    tables = ("messages", "history", "message_events", "users", "groups", "group_members", "businesses", "relationships", "daily", "media", "vectors")
     dealt = {name: stage(v[name].repartition(13, F.xxhash64(F.lit("dealt"), *v[name].columns))) for name in tables}
     run = lambda t: route.route(t).select("message_id", "action", "message_type", "rationale", "confidence", F.array_join("evidence", ";").alias("evidence"))
-    return checks.differences(run(v), run(dealt)).select("message_id", "action")
+    return checks.differences(stage(run(v)), stage(run(dealt)), "message_id").select("message_id", "action")

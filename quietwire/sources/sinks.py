@@ -15,7 +15,7 @@ def output_rows(decisions: DataFrame) -> DataFrame:
 
 def trace_rows(decisions: DataFrame) -> DataFrame:
     """One JSON object for each decision."""
-    shown = ("message_id", "action", "message_type", "rationale", "confidence", "urgency", "actionability", "trust", "relationship", "importance", "repetition", "fatigue", "priority", "scam", "spam", "injection", "risk", "threats", "signals", "drivers", "evidence", "violations")
+    shown = ("message_id", "action", "message_type", "rationale", "confidence", "urgency", "actionability", "trust", "relationship", "importance", "repetition", "fatigue", "priority", "scam", "spam", "injection", "risk", "threats", "signals", "drivers", "evidence", "violations", "errors")
     return decisions.select("message_id", F.to_json(F.struct(*[c for c in shown if c in decisions.columns])).alias("trace"))
 
 

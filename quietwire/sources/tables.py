@@ -1,11 +1,13 @@
 """Typed tables of the domain from CSV or Parquet.
 
-Every column is read as text and cast leniently, since a bad cell must not lose a row. Files keep their order in ``seq``,
-which decides between rows with equal keys and between ties.
+Every column is read as text and cast leniently, since a bad cell must not lose a row. Rows keep their order in ``seq``, over all
+files of a table; it decides between rows with equal keys and between ties.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,15 +48,34 @@ TABLES: dict[str, tuple[dict, tuple[str, ...], bool]] = {
 }
 
 
+#: Files of one table whose order is looked up in a broadcast table of their names.
+MAX_FILES = 100_000
+_FILE_BITS = 40
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header, quoted line ends and possibly a byte order mark, or Parquet; all columns as text, and seq."""
+    """CSV files with headers, quoted line ends and possibly byte order marks, or Parquet files; all columns as text, and seq.
+
+    ``seq`` follows the files by name and the rows of each file as they stand there, however the read is split: the file's place among the names
+    above a row number that rises within the file. A row of Parquet has its index; a CSV file with quoted line ends is read by one task, in order.
+    """
     if path.endswith(".csv"):
         raw = spark.read.options(header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8").csv(path)
-        raw = raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
+        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # its place in the task that has all of its file
     else:
         raw = spark.read.parquet(path)
-        raw = raw.select(*[F.col(c).cast("string").alias(c) for c in raw.columns])
-    return raw.withColumn("seq", F.monotonically_increasing_id())
+        row = F.col("_metadata.row_index")
+    cells = [F.col(f"`{c}`").cast("string").alias(c.lstrip("\ufeff")) for c in raw.columns]
+    names = sorted(raw.inputFiles())
+    if len(names) > MAX_FILES:
+        raise ValueError(f"more than {MAX_FILES} files in {path}")
+    numbered = raw.select(*cells, F.regexp_replace("_metadata.file_path", "^([a-z0-9]+):/+", "$1:/").alias("_file"), row.alias("_row"))
+    if len(names) <= 1:
+        return numbered.withColumn("seq", F.col("_row")).drop("_file", "_row")
+    places = spark.createDataFrame([(i, re.sub("^([a-z0-9]+):/+", r"\1:/", name)) for i, name in enumerate(names)], "_place long, _file string")
+    placed = numbered.join(F.broadcast(places), "_file", "left")  # a row for each file, MAX_FILES at most
+    placed = placed.withColumn("_place", F.coalesce("_place", F.raise_error(F.concat(F.lit("a file that was not listed: "), F.col("_file"))).cast("long")))
+    return placed.select(*[c for c in numbered.columns if c not in ("_file", "_row")], (F.shiftleft("_place", _FILE_BITS) + F.col("_row")).alias("seq"))
 
 
 def typed(raw: DataFrame, name: str) -> DataFrame:

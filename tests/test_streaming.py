@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from quietwire.operators import profiles as batch_profiles
 from quietwire.plans import driver_views, route
 from quietwire.streaming import profiles
 
@@ -37,3 +38,29 @@ def test_message_facts(spark, tmp_path):
     batch = route.facts(v).select(*shown)
     key = lambda rows: sorted(tuple(map(str, r)) for r in rows)
     assert key(spark.table("facts").collect()) == key(batch.collect())
+
+
+def test_profile_table_in_any_batches(spark, tmp_path):
+    v = driver_views.views(spark, SF)
+    events, history = v["message_events"], v["history"]
+    key = lambda df: sorted(tuple(r) for r in df.select("user_id", "grain", "key", "seen", "opened", "replied", "dismissed", "muted", "reported", "fast", "affinity").collect())
+    whole = key(batch_profiles.engagement_profile(events, history))
+    for k in range(4):
+        events.filter(F.crc32("message_id") % 4 == k).coalesce(1).write.parquet(str(tmp_path / "in" / f"f{k}"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    table = profiles.ProfileTable(spark, str(tmp_path / "profile"))
+    assert table.profile().count() == 0
+    q = table.follow(stream, lambda: history).option("checkpointLocation", str(tmp_path / "checkpoint")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert key(table.profile()) == whole
+    table.add(events.filter(F.crc32("message_id") % 4 == 0), history, 1000)
+    table.add(events.filter(F.crc32("message_id") % 4 == 1), history, 1000)  # run again, a batch replaces what it wrote
+    more = key(table.profile())
+    assert more != whole
+    table.compact()
+    assert key(table.profile()) == more and len(table._folders("batch-")) == 0 and len(table._folders("base-")) == 1
+    table.add(events, history, 1000)  # a batch that is in the base already adds nothing
+    assert key(table.profile()) == more
+    table.compact()
+    assert key(table.profile()) == more
