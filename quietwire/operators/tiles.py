@@ -12,6 +12,7 @@ from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,13 +56,25 @@ def tiled(left: DataFrame, right: DataFrame, key: str, ids: tuple[str, str], siz
     return groups[0].cogroup(groups[1]).applyInArrow(function, schema)
 
 
-def _codes(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers for the texts of two columns, equal for equal ones and in their order; a null is like no text."""
-    values = np.array(["\0null" if x is None else x for column in (left, right) for x in column.to_pylist()], dtype=object)
-    _, codes = np.unique(values, return_inverse=True)
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    column = column.combine_chunks()
+    return column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def _codes(left: pa.ChunkedArray | pa.Array, right: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers for the values of two columns, equal for equal ones; a null is a value of its own."""
+    both = pa.concat_arrays([x if isinstance(x, pa.Array) else _whole(x) for x in (left, right)])
+    codes = both.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
     return codes[: len(left)], codes[len(left) :]
 
 
+def _ranks(column: pa.ChunkedArray) -> np.ndarray:
+    """Place of each text in code-point order, nulls last."""
+    ranks = np.empty(len(column), dtype=np.int64)
+    ranks[pc.sort_indices(column).to_numpy(zero_copy_only=False)] = np.arange(len(column))
+    return ranks
+
+
 class KeyPairs:
     """All pairs (i, j) of left and right rows with one key, as flat arrays; those of a left row stand together."""
 
@@ -88,8 +101,7 @@ class KeyPairs:
 
 def vectors_of(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By length: (rows, their vectors), of rows with a vector without null, infinite or undefined components."""
-    column = column.combine_chunks()
-    column = column if isinstance(column, pa.Array) else column.chunk(0) if column.num_chunks else pa.array([], column.type)
+    column = _whole(column)
     lengths = np.diff(np.asarray(column.offsets)) if len(column) else np.empty(0, np.int64)
     valid = column.is_valid().to_numpy(zero_copy_only=False)
     found = {}
@@ -133,15 +145,12 @@ def pair_cosines(pairs: KeyPairs, left: pa.ChunkedArray, right: pa.ChunkedArray)
     return out
 
 
-def _weights(column: pa.ChunkedArray) -> tuple[np.ndarray, list[str], np.ndarray]:
+def _weights(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(row, token, weight) of a column of arrays of (token, w)."""
-    rows, tokens, weights = [], [], []
-    for i, cell in enumerate(column.to_pylist()):
-        for x in cell or ():
-            rows.append(i)
-            tokens.append(x["token"])
-            weights.append(x["w"])
-    return np.array(rows, dtype=np.int64), tokens, np.array(weights, dtype=np.float64)
+    cells = _whole(column)
+    items = cells.flatten()
+    rows = pc.list_parent_indices(cells).to_numpy(zero_copy_only=False).astype(np.int64)
+    return rows, items.field("token"), items.field("w").to_numpy(zero_copy_only=False).astype(np.float64)
 
 
 #: Common tokens of pairs that one step adds up.
@@ -156,13 +165,13 @@ def pair_lexical(pairs: KeyPairs, left: pa.ChunkedArray, right: pa.ChunkedArray)
     if not len(i) or not len(j):
         return shared
     sums = np.bincount(i, w, minlength=len(pairs.count)), np.bincount(j, v, minlength=len(pairs.place))
-    _, codes = np.unique(np.array(own + other, dtype=object), return_inverse=True)
+    own, other = _codes(own, other)
     # a token of a left row meets the rows of its key that have it too: runs of the right rows in order of token and key
     width = len(pairs.place) + 1
-    theirs = codes[len(own) :] * width + pairs.place[j]
+    theirs = other * width + pairs.place[j]
     order = np.argsort(theirs, kind="stable")
     theirs = theirs[order]
-    mine = codes[: len(own)] * width + pairs.begin[i]
+    mine = own * width + pairs.begin[i]
     low, high = np.searchsorted(theirs, mine), np.searchsorted(theirs, mine + pairs.count[i])
     met = high - low
     ends = np.cumsum(met)
@@ -232,11 +241,11 @@ def top_candidates(parts: tuple[tuple[str, float], ...], forwarded: float, suppo
         kept = [first_of(pairs, apart, rounded(0.65 * np.maximum(0.0, close) + 0.35 * alike), seq, e.similar_k)]
         bounded = np.minimum(1.0, np.maximum(0.0, close))
         fitting = apart[~((alike[apart] < e.min_structural) & (bounded[apart] < e.min_semantic))]
-        outcomes = right["outcome"].to_pylist()
+        names, outcomes = _ranks(right["hist_id"])[pairs.j], right["outcome"].to_pylist()
         for by_outcome in support.values():
             behaviour = np.array([by_outcome[x] for x in outcomes], dtype=np.float64)[pairs.j]
             total = rounded(e.semantic * bounded + e.structural * alike + e.behavioural * behaviour)
-            kept.append(first_of(pairs, fitting[total[fitting] >= round(e.min_total * 10000)], total, other[pairs.j], want))
+            kept.append(first_of(pairs, fitting[total[fitting] >= round(e.min_total * 10000)], total, names, want))
         at = np.unique(np.concatenate(kept))
         i, j = pa.array(pairs.i[at]), pa.array(pairs.j[at])
         columns = [left["message_id"].take(i), right["hist_id"].take(j), right["hist_seq"].take(j), pa.array(alike[at], pa.float64()), pa.array(close[at], pa.float64()), right["outcome"].take(j)]
