@@ -141,7 +141,8 @@ def assess(df: DataFrame) -> DataFrame:
         ("multilingual_fraud_similarity", parts["semantic_fraud"][0]), *[(k, c) for k, (c, _) in link.items()],
         ("brand_impersonation", parts["brand_impersonation"][0]), ("first_contact_sender", cold), ("router_prompt_injection", injected),
     ]
-    shown = {"safety_advisory": (F.col("advisory"), F.lit(1.0))} | parts | {"brand_impersonation": (F.col("impersonation") >= 0.4, F.col("impersonation")), "cold_sender": (cold, F.lit(0.12)), "injection": (injected, injection)}
+    told_parts = {k: part for k, part in parts.items() if k != "brand_impersonation"}
+    shown = {"safety_advisory": (F.col("advisory"), F.lit(1.0))} | told_parts | {"impersonation": (F.col("impersonation") >= 0.4, F.col("impersonation")), "cold_sender": (cold, F.lit(0.12)), "injection": (injected, injection)}
     signals = F.map_filter(F.create_map(*[x for k, (c, v) in shown.items() for x in (F.lit(k), F.when(c, F.round(v, 3)))]), lambda _, v: v.isNotNull())
     df = df.withColumns({"scam": scam, "injection": injection, "threats": F.array_compact(F.array(*[F.when(c, k) for k, c in threats])), "signals": signals})
     df = df.withColumn("risk", F.greatest("scam", "injection", "impersonation"))

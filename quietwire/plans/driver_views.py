@@ -126,6 +126,9 @@ SELECT 'voice' AS media_type, 'vn_' || CAST(p_partkey AS STRING) AS media_id, p_
   CASE p_partkey % 4 WHEN 0 THEN 'please call now, it is urgent' WHEN 1 THEN 'special offer for you, book now' WHEN 2 THEN 'see you at home' ELSE '' END AS media_text,
   '' AS layout, false AS has_qr, CAST((p_partkey * 7) % 45 AS DOUBLE) AS duration_s, CAST(120 + p_partkey * 9 AS DOUBLE) AS wpm
 FROM {part}""",
+    "said": """
+SELECT message_id, message_text FROM {all_messages} UNION ALL SELECT 'document_' || CAST(doc_id AS STRING), coalesce(text, '') FROM {documents}
+UNION ALL SELECT 'turn_' || CAST(conv_id AS STRING) || '_' || CAST(turn AS STRING), coalesce(text, '') FROM {conversations}""",
     "vectors": "SELECT m.message_id, e.embedding AS vector FROM {all_messages} m JOIN {embeddings} e ON e.vec_id = m.seq % 499 WHERE m.seq % 3 <> 0",
 }
 

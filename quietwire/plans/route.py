@@ -9,7 +9,7 @@ from quietwire.config import DEFAULT, Settings
 from quietwire.functions.text import needs_fallback
 from quietwire.operators import content, decide, joins, profiles, safety, scoring, similarity, tiles
 from quietwire.operators.similarity import Variant
-from quietwire.sources.staging import stage
+from quietwire.sources.staging import release, stage, stage_alone
 
 
 FULL = Variant("full")
@@ -64,11 +64,13 @@ def best_pairs(t: dict[str, DataFrame], messages: DataFrame, variants: tuple[Var
 def scored(t: dict[str, DataFrame], settings: Settings = DEFAULT, variants: tuple[Variant, ...] = (FULL,)) -> tuple[DataFrame, DataFrame]:
     """(scored messages, pairs with their history), both staged, as the facts in between: each is read by several branches."""
     known = stage(facts(t, variants))
-    candidates = stage(best_pairs(t, known, variants, settings))
+    candidates = stage_alone(lambda: best_pairs(t, known, variants, settings))
     repeated = similarity.repetition(similarity.similar_topk(candidates, settings.evidence.similar_k))
     profile = profiles.engagement_profile(t["message_events"], t["history"])
     tired = profiles.fatigue(profiles.notification_load(t["daily"]))
-    return stage(scoring.score(safety.assess(known), profile, repeated, tired, settings)), candidates
+    messages = stage(scoring.score(safety.assess(known), profile, repeated, tired, settings))
+    release(known)
+    return messages, candidates
 
 
 def route(t: dict[str, DataFrame], settings: Settings = DEFAULT, verdicts: DataFrame | None = None, variants: tuple[Variant, ...] = (FULL,)) -> DataFrame:
@@ -79,8 +81,10 @@ def route(t: dict[str, DataFrame], settings: Settings = DEFAULT, verdicts: DataF
     """
     messages, candidates = scored(t, settings, variants)
     chosen = stage(decide.explain_choice(decide.decide(messages, settings), settings))
+    release(messages)
     if verdicts is not None:
-        chosen = stage(decide.reconcile_verdicts(chosen, verdicts, settings))
+        first, chosen = chosen, stage(decide.reconcile_verdicts(chosen, verdicts, settings))
+        release(first)
     wanted = chosen.select("message_id", F.col("intent_sought").alias("intent"), "want")
     evidence = similarity.evidence_topk(candidates, wanted, settings)
     return decide.with_fallback(decide.repair(chosen.join(evidence, "message_id", "left"), settings))

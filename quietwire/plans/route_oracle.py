@@ -132,6 +132,14 @@ _THREATS = [
     ("advance_fee_pattern", f"{_DEMANDED} AND {_WINDFALL}"), ("payment_demand", _DEMANDED), ("transliterated_fraud_language", "n_translit_risk > 0"), ("refund_bait", "n_refund_bait > 0"), ("prize_bait", "n_prize > 0"),
     ("investment_fraud", "n_investment > 0"), *[(k, c) for k, (c, _) in _LINK.items()], ("brand_impersonation", "impersonation >= 0.4"), ("first_contact_sender", "scam_base > 0 AND is_cold"), ("router_prompt_injection", "n_injection > 0"),
 ]
+_SIGNALS = [
+    ("safety_advisory", "advisory", "1.0"), ("credential", "n_credential > 0 AND NOT advisory", "CASE WHEN n_credential = 1 THEN 0.62 ELSE 0.74 END"), ("account_threat", "n_account_threat > 0 AND NOT advisory", "0.34 + 0.08 * least(2, n_account_threat - 1)"),
+    ("fake_support", f"n_impersonation > 0 AND NOT advisory AND {_PRESSED}", "0.14"), ("payment_demand", _DEMANDED, f"0.34 + CASE WHEN {_PRESSED} THEN 0.14 ELSE 0.0 END + CASE WHEN {_WINDFALL} THEN 0.30 ELSE 0.0 END"),
+    ("translit_risk", "n_translit_risk > 0", "0.34 + 0.12 * least(2, n_translit_risk - 1)"), ("refund_bait", "n_refund_bait > 0", f"0.20 + CASE WHEN {some('credential', 'payment_demand')} THEN 0.30 ELSE 0.0 END"), ("prize", "n_prize > 0", "0.62"),
+    ("investment", "n_investment > 0", "0.58 + CASE WHEN n_investment > 1 THEN 0.12 ELSE 0.0 END"), ("link_risk", "link_risk > 0", "link_risk"), ("impersonation", "impersonation >= 0.4", "impersonation"), ("cold_sender", "scam_base > 0 AND is_cold", "0.12"), ("injection", "n_injection > 0", "injection"),
+]
+#: What each part adds, over ``safety``, as text in order of the parts' names.
+SIGNALS = "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{k}=' || printf('%.3f', round({doubles(v)}, 3)) END" for k, c, v in _SIGNALS) + "], lambda x: x IS NOT NULL)), '|')"
 SAFETY_CTE = f"""
 imposed AS (SELECT *, {doubles(f"round(least(1.0, (CASE WHEN mismatch AND biz_verified AND account_age_days > 730 AND NOT lookalike THEN least({_UNDER}, 0.12) ELSE {_UNDER} END) + CASE WHEN has_biz AND NOT biz_verified AND biz_reports >= 5 THEN 0.10 ELSE 0.0 END + CASE WHEN len(list_filter(domains, lambda x: regexp_matches(x, '@BAIT@'))) > 0 AND ({_PRESSED} OR n_payment_demand > 0 OR demands_amount) THEN 0.45 ELSE 0.0 END + CASE WHEN @BRANDS@ AND @HOSTLIKE@ AND NOT has_biz THEN 0.45 WHEN @HOSTLIKE@ AND {_PRESSED} THEN 0.30 ELSE 0.0 END + CASE WHEN @SALUTATION@ AND {_PRESSED} THEN 0.10 ELSE 0.0 END), 3)").replace('@BAIT@', BAIT).replace('@BRANDS@', _BRANDS).replace('@HOSTLIKE@', _HOSTLIKE).replace('@SALUTATION@', matches('combined', SALUTATION))} AS impersonation,
   {doubles(f"least(0.5, {add(*_LINK.values())})")} AS link_risk, {doubles(f"round(least(1.0, {_SPAM}), 3)")} AS spam FROM known),

@@ -12,9 +12,9 @@ from quietwire.operators import checks, decide, evaluate, similarity, tiles
 from quietwire.operators.similarity import Variant
 from quietwire.plans import route
 from quietwire.plans.registry import query
-from quietwire.plans.route_oracle import CONTENT_CTE, OPINION_CTES, ROUTE_CTES, SAFETY_CTES, SCORE_CTES, SIMILAR_CTE, names
+from quietwire.plans.route_oracle import CONTENT_CTE, OPINION_CTES, ROUTE_CTES, SAFETY_CTES, SCORE_CTES, SIGNALS, SIMILAR_CTE, names
 from quietwire.sources import sinks
-from quietwire.sources.staging import stage
+from quietwire.sources.staging import stage, stage_alone
 
 _SIMILAR = f"{CONTENT_CTE}, {SIMILAR_CTE}"
 _round = lambda c, n=3: F.round(c, n).alias(c)
@@ -138,9 +138,10 @@ def f06(v):
     return _assessed(v).select("message_id", "risk", "is_scam", "is_spam")
 
 
-@query("f07_threats", "SELECT message_id, array_to_string(threats, '|') AS threats FROM safety", SAFETY_CTES)
+@query("f07_threats", f"SELECT message_id, array_to_string(threats, '|') AS threats, {SIGNALS} AS signals FROM safety", SAFETY_CTES)
 def f07(v):
-    return _assessed(v).select("message_id", F.array_join("threats", "|").alias("threats"))
+    told = F.array_sort(F.transform(F.map_entries("signals"), lambda x: F.concat(x["key"], F.format_string("=%.3f", x["value"]))))
+    return _assessed(v).select("message_id", F.array_join("threats", "|").alias("threats"), F.array_join(told, "|").alias("signals"))
 
 
 def _scored(v):
@@ -462,7 +463,7 @@ def q01(v):
     _JOINED,
 )
 def q03(v):
-    decisions = stage(route.route(v))
+    decisions = stage_alone(lambda: route.route(v))
     joined = evaluate.with_labels(decisions, _gold(v))
     return checks.readiness(decisions, v["messages"], v["media"], evaluate.accuracy(joined), evaluate.critical_errors(joined))
 
@@ -491,8 +492,8 @@ SELECT '{variant.name}' AS variant, joined.message_id, action, message_type, tru
     "all_media AS (SELECT * FROM media), all_vectors AS (SELECT * FROM vectors), runs AS (" + " UNION ALL ".join(map(_variant_sql, _VARIANTS)) + ")",
 )
 def q05(v):
-    runs = route.route(v, variants=_VARIANTS).select("variant", F.col("plain_id").alias("message_id"), "action", "message_type", "evidence")
-    return evaluate.ablation(_with_gold_evidence(v, stage(runs)), _gold(v), _VARIANTS[0].name)
+    runs = stage_alone(lambda: route.route(v, variants=_VARIANTS).select("variant", F.col("plain_id").alias("message_id"), "action", "message_type", "evidence"))
+    return evaluate.ablation(_with_gold_evidence(v, runs), _gold(v), _VARIANTS[0].name)
 
 
 _FLOORS = (0.36, 0.38, 0.42, 0.46, 0.50)
@@ -525,4 +526,4 @@ def q07(v):
     tables = ("messages", "history", "message_events", "users", "groups", "group_members", "businesses", "relationships", "daily", "media", "vectors")
     dealt = {name: stage(v[name].repartition(13, F.xxhash64(F.lit("dealt"), *v[name].columns))) for name in tables}
     run = lambda t: route.route(t).select("message_id", "action", "message_type", "rationale", "confidence", F.array_join("evidence", ";").alias("evidence"))
-    return checks.differences(stage(run(v)), stage(run(dealt)), "message_id").select("message_id", "action")
+    return checks.differences(stage_alone(lambda: run(v)), stage_alone(lambda: run(dealt)), "message_id").select("message_id", "action")

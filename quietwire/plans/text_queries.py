@@ -81,24 +81,24 @@ def c11(v):
 
 @query("c12_time_pressure_hits")
 def c12(v):
-    return v["all_messages"].select("message_id", F.array_join(t.time_pressure_hits(F.col("message_text")), "|").alias("hits"))
+    return v["said"].select("message_id", F.array_join(t.time_pressure_hits(F.col("message_text")), "|").alias("hits"))
 
 
-@query("c13_request_flags", f"SELECT message_id, {matches('message_text', t.DIRECT_REQUEST)} AS direct_request, contains(message_text, '?') AS question, {matches('message_text', t.OPT_OUT)} AS opt_out FROM all_messages")
+@query("c13_request_flags", f"SELECT message_id, {matches('message_text', t.DIRECT_REQUEST)} AS direct_request, contains(message_text, '?') AS question, {matches('message_text', t.OPT_OUT)} AS opt_out FROM said")
 def c13(v):
     x = F.col("message_text")
-    return v["all_messages"].select("message_id", t.has(x, t.DIRECT_REQUEST).alias("direct_request"), x.contains("?").alias("question"), t.has(x, t.OPT_OUT).alias("opt_out"))
+    return v["said"].select("message_id", t.has(x, t.DIRECT_REQUEST).alias("direct_request"), x.contains("?").alias("question"), t.has(x, t.OPT_OUT).alias("opt_out"))
 
 
-@query("c14_payment_phrases", f"SELECT message_id, {matches('message_text', t.PAY_AMOUNT)} AS demands_amount, {matches('message_text', t.QR_PAYMENT)} AS qr_payment FROM all_messages")
+@query("c14_payment_phrases", f"SELECT message_id, {matches('message_text', t.PAY_AMOUNT)} AS demands_amount, {matches('message_text', t.QR_PAYMENT)} AS qr_payment FROM said")
 def c14(v):
     x = F.col("message_text")
-    return v["all_messages"].select("message_id", t.has(x, t.PAY_AMOUNT).alias("demands_amount"), t.has(x, t.QR_PAYMENT).alias("qr_payment"))
+    return v["said"].select("message_id", t.has(x, t.PAY_AMOUNT).alias("demands_amount"), t.has(x, t.QR_PAYMENT).alias("qr_payment"))
 
 
 @query("c15_active_credential_demand")
 def c15(v):
-    return v["all_messages"].select("message_id", t.active_credential_demand(F.col("message_text")).alias("active_demand"))
+    return v["said"].select("message_id", t.active_credential_demand(F.col("message_text")).alias("active_demand"))
 
 
 @query("c16_is_safety_advisory", "SELECT message_id, advisory FROM content", CONTENT_CTE)
@@ -191,10 +191,10 @@ def c26(v):
 @query(
     "c27_scene_tag_select",
     """SELECT vec_id, array_to_string(list(k ORDER BY s DESC, k DESC), '|') AS tags FROM (SELECT vec_id, k, s, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, k DESC) AS r, exp(100 * (s - max(s) OVER (PARTITION BY vec_id))) / sum(exp(100 * (s - m))) OVER (PARTITION BY vec_id) AS p
-    FROM (SELECT vec_id, k, s, max(s) OVER (PARTITION BY vec_id) AS m FROM (SELECT vec_id, 't' || CAST(i AS VARCHAR) AS k, CAST(embedding[i] AS DOUBLE) AS s FROM embeddings, range(1, 11) g(i)))) WHERE r <= 2 AND p >= 0.12 GROUP BY vec_id""",
+    FROM (SELECT vec_id, k, s, max(s) OVER (PARTITION BY vec_id) AS m FROM (SELECT vec_id, 't' || CAST(i AS VARCHAR) AS k, CAST(embedding[i] AS DOUBLE) AS s FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)))) WHERE r <= 2 AND p >= 0.12 GROUP BY vec_id""",
 )
 def c27(v):
-    cells = F.map_from_arrays(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.concat(F.lit("t"), i.cast("string"))), F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")))
+    cells = F.map_from_arrays(F.transform(F.sequence(F.lit(1), F.size("embedding")), lambda i: F.concat(F.lit("t"), i.cast("string"))), F.transform("embedding", lambda x: x.cast("double")))
     return v["embeddings"].select("vec_id", F.array_join(md.scene_tags(cells), "|").alias("tags"))
 
 

@@ -15,7 +15,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +63,17 @@ def staged_tables() -> Iterator[list[str]]:
         _collecting[:] = [x for x in _collecting if x is not tables]
 
 
+def stage_alone(make: Callable[[], DataFrame]) -> DataFrame:
+    """Stage what ``make`` returns, and delete the tables that were staged on the way to it: the result reads none of them."""
+    with staged_tables() as tables:
+        df = make()
+        on_the_way = list(tables)
+        staged = stage(df)
+    for path in on_the_way:
+        delete(df.sparkSession, path)
+    return staged
+
+
 def release(*tables: DataFrame) -> None:
     """Delete staged tables that no later plan reads."""
     for df in tables:
