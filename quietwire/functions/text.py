@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from quietwire.functions.lexicons import INJECTION_PATTERNS, LEXICONS, STOP_WORDS, SUSPICIOUS_TLDS, URL_SHORTENERS
 
 # Patterns of entities and phrases.
-INVISIBLE = r"[​-‏‪-‮⁦-⁩]"
+INVISIBLE = r"[\u200b-\u200f\u202a-\u202e\u2066-\u2069]"
 URL = r"\b((?:https?://)?(?:[a-z0-9][a-z0-9\-]{0,62}\.)+[a-z]{2,24}(?:/[^\s]*)?)\b"
 AMOUNT = r"(?:rs\.?|inr|₹|\$)\s?[\d,]+(?:\.\d{1,2})?"
 PHONE = r"\b(?:\+?\d{1,3}[\s-]?)?\d{10}\b"
@@ -62,7 +62,7 @@ DIGITS_AS_LETTERS = r"(?<=[A-Za-z])[013457@$]+(?=[A-Za-z])|\b[013457@$]+(?=[A-Za
 LEET_FROM, LEET_TO = "013457@$", "oieastas"
 
 #: Around spans to be rewritten; private-use characters that no text has after they are removed.
-_OPEN, _CLOSE = "", ""
+_OPEN, _CLOSE = "\ue000", "\ue001"
 
 
 def unicode_pattern(pattern: str) -> str:

@@ -1,6 +1,9 @@
 """Column functions on literal texts."""
 
+import os
 import random
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +12,9 @@ from quietwire.functions import derive as d
 from quietwire.functions import text as t
 from quietwire.functions.lexicons import LEXICONS
 from quietwire.operators.decide import parse_verdict
+from quietwire.plans import driver_views
+
+SF = "/root/testdata/sf0.001"
 
 
 def one(spark, column, **values):
@@ -120,3 +126,51 @@ def test_lexicons_by_runs_equal_patterns(spark):
     rows = df.select("low", *[t.lexicon_hits(F.col("places"), F.col("low"), n).alias(n) for n in names], *[t.term_hits(F.col("low"), LEXICONS[n]).alias(f"plain_{n}") for n in names]).collect()
     assert sum(len(r[n]) for r in rows for n in names) > 300
     assert all(r[n] == r[f"plain_{n}"] for r in rows for n in names)
+
+
+# the queries that no SQL expresses, against plain Python over all that is said and written
+
+ODD = [
+    "", " \t x  y\u200b\u202ez\u3000 ", "\uff33\uff48are your \uff2fTP now\ufb01", "O T P  and p i n 0f acc0unt p4$$word 13 x1", "S H A R E the C V V", "we will never ask you to share your otp. Send the pin to me", "please don't, but tell me your password; never",
+    "call in 20 minutes or by 5 pm, not now that it rains, NOW", "Next Monday tonight TODAY today within the next 3 hrs 12:30pm", "\u00e9n\u00e9rgie  \u0130STANBUL \u00df na\u00efve", "share otp share pin", "a b c d e\nf g h",
+]
+
+
+def said(spark):
+    if os.path.isdir(SF):
+        return driver_views.views(spark, SF)["said"].select(F.col("message_text").alias("text")).union(spark.createDataFrame([(x,) for x in ODD], "text string"))
+    return spark.createDataFrame([(x,) for x in ODD], "text string")
+
+
+def plain_kept(text):
+    return re.sub(t.INVISIBLE, "", unicodedata.normalize("NFKC", text)).strip()
+
+
+def plain_read(text):
+    joined = re.sub(t.LETTERS_APART, lambda m: m[0].replace(" ", ""), text.lower())
+    return re.sub(t.DIGITS_AS_LETTERS, lambda m: m[0].translate(str.maketrans(t.LEET_FROM, t.LEET_TO)), joined)
+
+
+def plain_demand(text):
+    for clause in re.split(t.CLAUSE_END, text):
+        for m in re.finditer(t.CREDENTIAL_DEMAND, clause, re.I):
+            if not re.search(t.NEGATION, clause[max(0, m.start() - 30) : m.start()], re.I):
+                return True
+    return False
+
+
+@pytest.mark.parametrize(
+    ("column", "plain"),
+    [
+        (t.normalize_text, lambda x: re.sub(r"[ \t]+", " ", re.sub(t.INVISIBLE, "", unicodedata.normalize("NFKC", x))).strip()),
+        (t.normalize_keep_spacing, plain_kept),
+        (t.deobfuscate, plain_read),
+        (lambda c: F.array_join(t.time_pressure_hits(c), "|"), lambda x: "|".join(sorted({m[0].lower() for m in re.finditer(t.TIME_PRESSURE, x, re.I)})[:8])),
+        (t.active_credential_demand, plain_demand),
+    ],
+    ids=["c01", "c02", "c03", "c12", "c15"],
+)
+def test_texts_equal_plain_python(spark, column, plain):
+    rows = said(spark).select("text", column(F.col("text")).alias("got")).collect()
+    assert len(rows) >= len(ODD)
+    assert [r for r in rows if r.got != plain(r.text)] == []
