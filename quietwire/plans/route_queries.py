@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quietwire.config import DEFAULT, MESSAGE_TYPES
