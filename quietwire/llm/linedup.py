@@ -8,8 +8,10 @@ the rest become fields, and if enough is constant, the lines that agree on all o
 A template is dropped where it recurs across documents. Copies of a document bring all their lines along with their
 surroundings; furniture stands among different lines each time. Exact copies count as one text. A template recurs if it is
 found in MIN_DOCUMENTS texts with as many different surroundings, however many copies hold it: the leading tokens of the nearest lines before and after it
-that are not themselves in as many texts, or, for texts that consist of such lines in good part and so may be copies, the rarest of
-those lines. Copies are left whole for deduplication by document.
+that are not themselves in as many texts, or, for texts that are copies, the rarest of those lines. A text is a copy if such lines make up
+half of it and less than a fifth is its own: lines whose first and last tokens are those of no line of the other texts with
+its rarest line. An edited line keeps one end or the other, so near copies have little of their own; texts that share nothing but a notice, however long beside
+the rest, have all of the rest. Copies are left whole for deduplication by document.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ DEPTH = 3
 MIN_TOKENS = 4
 SHORT_FACTOR = 2
 MIN_DOCUMENTS = 10
-#: Share of a text's tokens in recurring lines from which it may be a copy.
+#: Share of a text's tokens in recurring lines from which it may be a copy, and share of its own from which it is none: near duplicates have 0.8 in common.
 COPIED = 0.5
+OWN = 0.2
 #: Share of a leaf's lines that agree on a constant position, and share of positions after DEPTH that are constant.
 AGREEMENT = 0.8
 CONSTANT = 0.6
@@ -45,7 +48,7 @@ def _normal(text: Column) -> Column:
 
 
 def _parsed(texts: DataFrame, with_line: bool = False) -> DataFrame:
-    """(doc_id, text_hash, width, line_no, n_tokens, lead, leaf, template) of every line of (doc_id, text), and the line; width is the text's number of tokens."""
+    """(doc_id, text_hash, width, line_no, n_tokens, lead, tail, leaf, template) of every line of (doc_id, text), and the line; width is the text's number of tokens."""
     lines = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split(_normal(F.col("text")), "\n").alias("lines"), F.split("text", "\n").alias("given"))
 
     def place(line: Column, given: Column) -> Column:
@@ -53,13 +56,13 @@ def _parsed(texts: DataFrame, with_line: bool = False) -> DataFrame:
         only_fields = F.startswith(line, F.lit("<*>")) & (F.trim(F.replace(line, F.lit("<*>"), F.lit(""))) == "")
         line = F.when(only_fields, F.trim(F.regexp_replace(given, SPACES, " "))).otherwise(line)
         n = F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
-        return F.struct(n.alias("n_tokens"), F.xxhash64(F.substring_index(line, " ", DEPTH)).alias("lead"), F.xxhash64(line).alias("template"), *([line.alias("line")] if with_line else []))
+        return F.struct(n.alias("n_tokens"), F.xxhash64(F.substring_index(line, " ", DEPTH)).alias("lead"), F.xxhash64(F.substring_index(line, " ", -DEPTH)).alias("tail"), F.xxhash64(line).alias("template"), *([line.alias("line")] if with_line else []))
 
     placed = lines.select("doc_id", "text_hash", F.zip_with("lines", "given", place).alias("places"))
 
     def row(x: Column, i: Column) -> Column:
         own = [x["line"].alias("line")] if with_line else []
-        return F.struct(i.alias("line_no"), x["n_tokens"].alias("n_tokens"), x["lead"].alias("lead"), F.xxhash64(x["n_tokens"], x["lead"]).alias("leaf"), x["template"].alias("template"), *own)
+        return F.struct(i.alias("line_no"), x["n_tokens"].alias("n_tokens"), x["lead"].alias("lead"), x["tail"].alias("tail"), F.xxhash64(x["n_tokens"], x["lead"]).alias("leaf"), x["template"].alias("template"), *own)
 
     width = F.aggregate("places", F.lit(0), lambda n, x: n + x["n_tokens"]).alias("width")
     return placed.select("doc_id", "text_hash", width, F.explode(F.filter(F.transform("places", row), lambda x: x["n_tokens"] > 0)).alias("x")).select("doc_id", "text_hash", "width", "x.*")
@@ -80,11 +83,24 @@ def _in_context(lines: DataFrame, templates: DataFrame, leaves: DataFrame) -> Da
     return sides.filter(many).withColumn("context", F.xxhash64("before", F.lit(0), "after")).drop("before", "after", "often")
 
 
-def _sources(found: DataFrame) -> DataFrame:
-    """(text_hash, source) of texts that may be copies: the rarest of their lines whose templates are in many texts."""
+def _candidates(found: DataFrame) -> DataFrame:
+    """(text_hash, source, width, n) of texts that may be copies: the rarest of their lines whose templates are in many texts, and the tokens of those lines."""
     lines = found.filter("documents is not null").groupBy("text_hash", "line_no").agg(F.first("n_tokens").alias("n_tokens"), F.first("width").alias("width"), F.first("template").alias("template"), F.first("documents").alias("documents"))
     texts = lines.groupBy("text_hash").agg(F.sum("n_tokens").alias("n"), F.first("width").alias("width"), F.min(F.struct("documents", "template"))["template"].alias("source"))
-    return texts.filter(F.col("n") >= F.col("width") * COPIED).select("text_hash", "source")
+    return texts.filter(F.col("n") >= F.col("width") * COPIED).select("text_hash", "source", "width", "n")
+
+
+def _sources(lines: DataFrame, templates: DataFrame, found: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(text_hash, source) of the candidates that have too little of their own to be anything but copies."""
+    ends = F.explode(F.array(F.xxhash64(F.lit(0), "lead"), F.xxhash64(F.lit(1), "tail"))).alias("end")
+    rest = lines.join(candidates.filter("n < width").select("text_hash", "source"), "text_hash").join(templates, "template", "left_anti")
+    rest = stage(rest.select("source", "text_hash", "line_no", "n_tokens", ends).distinct())
+    whole = found.filter("documents is not null").join(candidates.select("text_hash", "source"), "text_hash").select("source", "lead", "tail").distinct().select("source", ends)
+    seen = rest.select("source", "end", "text_hash").distinct().select("source", "end", F.lit(1).alias("texts")).unionByName(whole.withColumn("texts", F.lit(2)))
+    shared = seen.groupBy("source", "end").agg(F.sum("texts").alias("texts")).filter("texts > 1")
+    by_line = rest.join(shared, ["source", "end"], "left").groupBy("text_hash", "line_no").agg(F.first("n_tokens").alias("n_tokens"), F.max("texts").alias("texts"))
+    own = by_line.filter("texts is null").groupBy("text_hash").agg(F.sum("n_tokens").alias("own"))
+    return candidates.join(own, "text_hash", "left").filter(F.coalesce("own", F.lit(0)) < F.col("width") * OWN).select("text_hash", "source")
 
 
 def _recurring(lines: DataFrame, key: str, sources: DataFrame, min_documents: int) -> DataFrame:
@@ -136,7 +152,7 @@ def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str =
     templates = stage(_in_texts(keyed, "template", min_documents))
     often = stage(_in_texts(keyed.filter(F.col("n_tokens") >= 2 * DEPTH), "leaf", min_documents).select("leaf"))
     found = stage(_in_context(keyed, templates, often))
-    sources = stage(_sources(found))
+    sources = stage(_sources(keyed, templates, found, stage(_candidates(found))))
     whole = stage(_recurring(found.filter("documents is not null"), "template", sources, min_documents))
     dropped = found.join(whole, "template", "left_semi").select("doc_id", "text_hash", "line_no")
     rest = found.join(whole, "template", "left_anti").filter(F.col("n_tokens") >= 2 * DEPTH)
