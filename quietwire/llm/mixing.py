@@ -6,6 +6,10 @@ rates whose totals come closest to the targets in least squares, starting from r
 document's rate depends on the others only through the totals, one number for each domain, so that is all that an
 iteration gathers; a document's rate follows from its posterior and the steps so far. The momentum starts anew where it
 points uphill. The descent ends when a step moves no domain's share by more than TOLERANCE; ``Fit`` says whether it did, and what is left.
+
+Most steps need no job of their own. One job sums tokens and posteriors in at most CELLS cells of like posteriors, and the first steps
+are worked out on these sums. Every document then takes the same steps, its exact totals are gathered, and the descent goes on from there
+over all documents, a job a step for all targets together, until it ends by the rule above.
 """
 
 from __future__ import annotations
@@ -29,12 +33,14 @@ from quietwire.llm.scratch import release, stage
 MAX_LABELLED = 20_000
 #: Hash buckets of the classifier's word features.
 FEATURES = 1 << 14
-#: Iterations at most; ``Fit.converged`` is false where they did not do.
+#: Iterations at most, on the cells and then over all documents; ``Fit.converged`` is false where they did not do.
 ITERATIONS = 200
 #: Largest change of a domain's share of all tokens in the last step.
 TOLERANCE = 1e-5
 #: Iterations after which the state of the descent is written down.
 WRITTEN = 10
+#: Cells of posteriors on which the first steps are worked out.
+CELLS = 4096
 
 
 def label_domain() -> Column:
@@ -116,79 +122,120 @@ def rates_after(posteriors: np.ndarray, steps: list[tuple[np.ndarray, float]], r
     return rates, points
 
 
-def fit_rates(stats: DataFrame, weights: list[float], keep_domain: int) -> Fit:
-    """Fit rates to ``stats`` (n_tokens, posterior).
+class _Descent:
+    """One target's descent: the steps so far and the domains' totals, as shares of all tokens, that they lead to."""
+
+    def __init__(self, targets: np.ndarray, totals: np.ndarray):
+        self.targets, self.at_rates, self.at_points = targets, totals, totals
+        self.steps: list[tuple[np.ndarray, float]] = []
+        self.pace, self.converged = 1.0, False
+
+    def proposed(self) -> tuple[np.ndarray, float]:
+        self.following = (1 + math.sqrt(1 + 4 * self.pace * self.pace)) / 2
+        return self.at_points - self.targets, (self.pace - 1) / self.following
+
+    def take(self, step: tuple[np.ndarray, float], rates: np.ndarray, points: np.ndarray, tolerance: float) -> None:
+        """Take a proposed step that leads to these totals, without its momentum if that would point uphill."""
+        if step[0] @ (rates - self.at_rates) > 0:
+            self.following, step, points = 1.0, (step[0], 0.0), rates
+        self.converged = bool(np.abs(rates - self.at_rates).max() < tolerance)
+        self.steps.append(step)
+        self.pace, self.at_rates, self.at_points = self.following, rates, points
+
+    def on_cells(self, weights: np.ndarray, posteriors: np.ndarray) -> None:
+        """The first steps, for a few weighted posteriors. The last one has no momentum, so that points are rates."""
+        state = (None, None)
+        while len(self.steps) < ITERATIONS and not self.converged:
+            step = self.proposed()
+            self.take(step, *((np.stack(rates_after(posteriors, [step], *state)) * weights) @ posteriors), TOLERANCE / 10)
+            state = rates_after(posteriors, self.steps[-1:], *state)
+        self.steps[-1] = (self.steps[-1][0], 0.0)
+        self.pace, self.converged = 1.0, False
 
-    Targets are ``weights`` times a total at which the domain ``keep_domain`` keeps the tokens that it has.
-    """
-    k = len(weights)
-    sums = stats.agg(*[F.sum(F.col("n_tokens") * F.get("posterior", F.lit(i))).alias(f"a{i}") for i in range(k)]).first()
-    totals = np.array([x or 0.0 for x in sums])
-    everything = totals.sum()
-    if not everything:
-        return Fit([], True, 0.0)
-    share = np.array(weights) / sum(weights)
-    targets = share * (totals[keep_domain] / share[keep_domain] if share[keep_domain] else everything) / everything
-    state = stats.select("n_tokens", "posterior")
 
-    def advance(steps: list[tuple[np.ndarray, float]]):
-        """Of a batch of the state: token counts, posteriors, and rates and points after further steps."""
+def _cells(stats: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, mean posterior) of cells of documents whose posteriors are alike: at most CELLS and those at the rim, whatever the number of documents."""
+    fineness = max(r for r in range(1, CELLS) if r == 1 or math.comb(r + k - 1, k - 1) <= CELLS)
+    shares = [F.get("posterior", F.lit(i)) for i in range(k)]
+    cell = [F.floor(x * fineness).alias(f"c{i}") for i, x in enumerate(shares[:-1])]
+    sums = stats.groupBy(*cell).agg(F.sum("n_tokens").alias("n"), *[F.sum(F.col("n_tokens") * x).alias(f"a{i}") for i, x in enumerate(shares)]).filter("n > 0")
+    rows = np.array(sums.orderBy(*[f"c{i}" for i in range(k - 1)]).select("n", *[f"a{i}" for i in range(k)]).collect(), dtype=float).reshape(-1, k + 1)
+    return rows[:, 0], rows[:, 1:] / rows[:, :1]
 
-        def at(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+
+def fit_rates(stats: DataFrame, targets: list[list[float]], keep_domain: int) -> list[Fit]:
+    """Fit rates to ``stats`` (n_tokens, posterior) for each target, all in the same passes.
+
+    A target's weights are taken times a total at which the domain ``keep_domain`` keeps the tokens that it has.
+    """
+    k = len(targets[0])
+    tokens, means = _cells(stats, k)
+    everything = tokens.sum()
+    if not everything:
+        return [Fit([], True, 0.0) for _ in targets]
+    weight = tokens / everything
+    totals = weight @ means
+    shares = [np.array(x) / sum(x) for x in targets]
+    descents = [_Descent(x * (totals[keep_domain] / x[keep_domain] if x[keep_domain] else 1.0), totals) for x in shares]
+    for descent in descents:
+        descent.on_cells(weight, means)
+
+    def advance(steps: list[list[tuple[np.ndarray, float]]]):
+        """Of a batch of the state: token counts, posteriors, and each target's (rates, points) after further steps."""
+
+        def at(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
             posteriors = np.asarray(batch.column(1).flatten()).reshape(-1, k)
-            known = (np.asarray(batch.column(2)), np.asarray(batch.column(3))) if batch.num_columns == 4 else ()
-            return np.asarray(batch.column(0), dtype=float), posteriors, *rates_after(posteriors, steps, *known)
+            known = [np.asarray(x) for x in batch.columns[2:]]
+            return np.asarray(batch.column(0), dtype=float), posteriors, [rates_after(posteriors, x, *known[2 * i : 2 * i + 2]) for i, x in enumerate(steps)]
 
         return at
 
-    def gathered(state: DataFrame, steps: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
-        """The domains' totals at the rates and at the points, as shares of all tokens."""
+    def gathered(state: DataFrame, steps: list[list[tuple[np.ndarray, float]]]) -> np.ndarray:
+        """Each target's totals by domain at the rates and at the points, as shares of all tokens."""
         at = advance(steps)
+        names = [f"a{i}" for i in range(len(steps) * 2 * k)]
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((2, k))
+            total = np.zeros((len(steps), 2, k))
             for batch in batches:
-                n, posteriors, rates, points = at(batch)
-                total += (np.stack([rates, points]) * n) @ posteriors
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total.ravel()], [f"a{i}" for i in range(2 * k)])
+                n, posteriors, states = at(batch)
+                total += (np.array(states) * n) @ posteriors
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total.ravel()], names)
 
-        schema = ", ".join(f"a{i} double" for i in range(2 * k))
-        row = state.mapInArrow(part, schema).agg(*[F.sum(f"a{i}").alias(f"a{i}") for i in range(2 * k)]).first()
-        return tuple(np.array(row, dtype=float).reshape(2, k) / everything)
+        row = state.mapInArrow(part, ", ".join(f"{x} double" for x in names)).agg(*[F.sum(x).alias(x) for x in names]).first()
+        return np.array(row, dtype=float).reshape(len(steps), 2, k) / everything
 
-    def written(state: DataFrame, steps: list[tuple[np.ndarray, float]]) -> DataFrame:
+    def written(state: DataFrame, steps: list[list[tuple[np.ndarray, float]]]) -> DataFrame:
         at = advance(steps)
+        names = [f"{x}{i}" for i in range(len(steps)) for x in ("rate", "point")]
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                _, _, rates, points = at(batch)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rates), pa.array(points)], ["n_tokens", "posterior", "rate", "point"])
-
-        return stage(state.select("*").mapInArrow(rows, "n_tokens long, posterior array<double>, rate double, point double"))
-
-    steps: list[tuple[np.ndarray, float]] = []
-    since: list[tuple[np.ndarray, float]] = []
-    pace, converged = 1.0, False
-    at_rates = at_points = totals / everything
-    while len(steps) < ITERATIONS and not converged:
-        residual = at_points - targets
+                columns = [pa.array(x) for pair in at(batch)[2] for x in pair]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["n_tokens", "posterior", *names])
+
+        return stage(state.select("*").mapInArrow(rows, ", ".join(["n_tokens long, posterior array<double>", *(f"{x} double" for x in names)])))
+
+    state = written(stats.select("n_tokens", "posterior"), [x.steps for x in descents])
+    since: list[list[tuple[np.ndarray, float]]] = [[] for _ in descents]
+    for descent, (rates, points) in zip(descents, gathered(state, since), strict=True):
+        descent.at_rates, descent.at_points = rates, points
+    for iteration in range(1, ITERATIONS + 1):
+        if all(x.converged for x in descents):
+            break
         # with the momentum of this step left out first, the totals say whether it would point uphill
-        following_pace = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
-        step = residual, (pace - 1) / following_pace
-        new_rates, new_points = gathered(state, [*since, step])
-        if residual @ (new_rates - at_rates) > 0:
-            following_pace, step, new_points = 1.0, (residual, 0.0), new_rates
-        converged = bool(np.abs(new_rates - at_rates).max() < TOLERANCE)
-        steps.append(step)
-        since.append(step)
-        pace, at_rates, at_points = following_pace, new_rates, new_points
-        if len(since) == WRITTEN:
+        steps = [None if x.converged else x.proposed() for x in descents]
+        reached = gathered(state, [past + [step] * (step is not None) for past, step in zip(since, steps, strict=True)])
+        for descent, step, past, (rates, points) in zip(descents, steps, since, reached, strict=True):
+            if step is not None:
+                descent.take(step, rates, points, TOLERANCE)
+                past.append(descent.steps[-1])
+        if iteration % WRITTEN == 0:
             before, state = state, written(state, since)
-            since = []
-            if hasattr(before, "_quietwire_path"):
-                release(before)
-    reached = at_rates / at_rates.sum() if at_rates.sum() else at_rates
-    return Fit(steps, converged, float(np.abs(reached - share).max()))
+            since = [[] for _ in descents]
+            release(before)
+    release(state)
+    return [Fit(x.steps, x.converged, float(np.abs((x.at_rates / x.at_rates.sum() if x.at_rates.sum() else x.at_rates) - share).max())) for x, share in zip(descents, shares, strict=True)]
 
 
 def score_documents(df: DataFrame, labels: DataFrame, domains: list[str], keep: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,7 +281,7 @@ def mixing_rates(df: DataFrame, labels: DataFrame, weights: dict[str, float] | N
     weights = weights or TARGETS
     domains = list(weights)
     scored = score_documents(df, labels, domains, [id_col], id_col, text_col)
-    fit = fit_rates(scored, list(weights.values()), domains.index(keep_domain))
+    fit = fit_rates(scored, [list(weights.values())], domains.index(keep_domain))[0]
     out = with_rates(scored, {"rate": fit}).select(F.col("row")[id_col].alias("doc_id"), "n_tokens", "posterior", likeliest(domains).alias("domain"), "rate")
     return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id"))).withColumns({"gap": F.lit(fit.gap), "converged": F.lit(fit.converged)})
 
@@ -248,5 +295,5 @@ def filter_mixed(df: DataFrame, labels: DataFrame, weights: dict[str, float] | N
     """The rows of ``df``, unchanged, whose rate is at least ``min_rate``: a mix that takes each document once or not at all."""
     weights = weights or TARGETS
     scored = score_documents(df, labels, list(weights), df.columns, id_col, text_col)
-    fit = fit_rates(scored, list(weights.values()), list(weights).index(keep_domain))
+    fit = fit_rates(scored, [list(weights.values())], list(weights).index(keep_domain))[0]
     return with_rates(scored, {"rate": fit}).filter(F.col("rate") >= min_rate).select("row.*")

@@ -73,7 +73,7 @@ def op9_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").select("doc_id", mixing.label_domain().alias("domain"))
     domains = list(mixing.TARGETS)
     scored = mixing.score_documents(_table(spark, sf_dir, "documents"), labels, domains, ["doc_id"])
-    only_clean, blend = (mixing.fit_rates(scored, [weights[d] for d in domains], domains.index("clean")) for weights in (mixing.TARGETS, mixing.BLEND))
+    only_clean, blend = mixing.fit_rates(scored, [[weights[d] for d in domains] for weights in (mixing.TARGETS, mixing.BLEND)], domains.index("clean"))
     rates = mixing.with_rates(scored, {"rate": only_clean, "blend_rate": blend})
     shares = [F.round(F.get("posterior", F.lit(i)), 6).alias(f"p_{domain}") for i, domain in enumerate(domains)]
     doc_id = F.col("row.doc_id")
