@@ -1,7 +1,7 @@
 """Quality rules in DataFrame expressions: counts per document, and a hashed n-gram likelihood ratio.
 
 Words and word pairs are hashed into a fixed number of buckets. Two multinomials over the buckets are counted, one from
-a bounded sample of trusted labelled documents, one from all documents. A document's score is the mean, over its
+all trusted labelled documents, one from all documents. A document's score is the mean, over its
 n-grams, of log p(trusted) - log p(corpus); documents under a fixed threshold are rejected. The only thing that
 leaves the executors is one weight for each bucket.
 """
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 #: Hash buckets for words, and as many for pairs.
 BUCKETS = 8192
-#: At most so many labelled documents make the trusted multinomial; which ones is decided by a hash of their ids.
-MAX_TRUSTED = 20_000
 #: Mean log-likelihood ratio under which a document is rejected.
 THRESHOLD = -0.1
 #: Added to each bucket's count.
@@ -37,9 +35,10 @@ def ngram_buckets(words: Column) -> Column:
 def likelihood_ratio_weights(df: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row with ``weights``, an array of log p(trusted) - log p(corpus) by bucket."""
     trusted_ids = trusted.select(F.col(id_col).alias("doc_id")).filter("doc_id is not null").distinct()
-    chosen = trusted_ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRUSTED).withColumn("is_trusted", F.lit(1))
-    words = df.select(F.col(id_col).alias("doc_id"), words_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("words"))
-    marked = words.join(F.broadcast(chosen), "doc_id", "left")  # of MAX_TRUSTED rows at most
+    texts = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # the ids grow with the labels: they meet the texts by a shuffle at every size, never whole in each task
+    met = texts.join(trusted_ids.withColumn("is_trusted", F.lit(1)).hint("merge"), "doc_id", "left")
+    marked = met.select("is_trusted", words_of(F.col("text")).alias("words"))
     grams = marked.select(F.coalesce("is_trusted", F.lit(0)).alias("is_trusted"), F.explode(ngram_buckets(F.col("words"))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("corpus"), F.sum("is_trusted").alias("trusted"))
     every = df.sparkSession.range(2 * BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0)

@@ -258,6 +258,12 @@ def test_only_ascii_letters_are_lowered(spark):
     assert words == ["mit", "\u0130t", "\u00c9tat", "\u212aey"]
 
 
+def test_quality_trusts_all_trusted_documents(spark):
+    df = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
+    weights = quality.likelihood_ratio_weights(df, df.select("doc_id"), "doc_id", "text").first().weights
+    assert len(weights) == 2 * quality.BUCKETS and set(weights) == {0.0}  # where all are trusted, both sides are the same
+
+
 def test_quality_equals_brute_force(spark):
     rng = random.Random(3)
     good = [" ".join(rng.choice(["sun", "moon", "tree", "river", "stone", "naïve"]) for _ in range(40)) for _ in range(30)]
