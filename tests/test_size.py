@@ -69,3 +69,35 @@ def test_near_pairs_give_the_same_repetition(spark):
     assert near.count() < every.count()
     told = [sorted(map(tuple, similarity.repetition(similarity.similar_topk(x)).collect()), key=str) for x in (every, near)]
     assert told[0] == told[1]
+
+
+def test_scores_without_history_make_no_pairs(spark, monkeypatch):
+    from quietwire.plans.all_queries import QUERIES
+
+    def refused(*args, **kwargs):
+        raise AssertionError("pairs are not asked for")
+
+    monkeypatch.setattr(route, "best_pairs", refused)
+    n = driver_views.views(spark, SF)["messages"].count()
+    for name in ("g01_urgency", "g02_actionability", "g06_relationship_score", "g07_topic_importance", "d02_warrants_interruption"):
+        assert QUERIES[name](spark, SF).count() == n, name
+
+
+def test_last_history_of_a_key_needs_no_pairs(plain_joins):
+    from quietwire.plans.route_queries import _gold_evidence
+
+    v = driver_views.views(plain_joins, SF)
+    found = _gold_evidence(v)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and " OR " not in plan  # each key is a join of its own, met with one row
+    m, h = v["messages"].alias("m"), v["history"].alias("h")
+    same = lambda c: (F.col(f"m.{c}") != "") & (F.col(f"m.{c}") == F.col(f"h.{c}"))
+    met = m.join(h, (F.col("m.user_id") == F.col("h.user_id")) & (same("business_id") | same("sender_user_id")))
+    wanted = {r.message_id: [r.g] for r in met.groupBy("m.message_id").agg(F.max_by("h.message_id", "h.seq").alias("g")).collect()}
+    assert wanted and {r.message_id: r.true_evidence for r in found.collect()} == wanted
+
+
+def test_texts_are_found_without_the_joins_of_the_facts(plain_joins):
+    v = driver_views.views(plain_joins, SF)
+    plan = route.facts(v)._jdf.queryExecution().executedPlan().toString()
+    assert sum("lineitem.parquet" in line and "FileScan" in line for line in plan.splitlines()) == 1
