@@ -83,6 +83,17 @@ def test_scores_without_history_make_no_pairs(spark, monkeypatch):
         assert QUERIES[name](spark, SF).count() == n, name
 
 
+def test_partners_are_counted_without_pairs(spark, monkeypatch):
+    from quietwire.plans.all_queries import QUERIES
+
+    v = driver_views.views(spark, SF)
+    told = content.content_features(v["messages"], v["media"]).select("message_id", "user_id", F.when(F.col("combined") != "", F.col("combined")).otherwise(F.col("message_text")).alias("text"))
+    pairs = similarity.lexical_similarity(told, similarity.history_texts(v["history"], v["media"]))
+    wanted = sorted(map(tuple, pairs.groupBy("message_id").count().collect()))
+    monkeypatch.setattr(similarity, "lexical_similarity", None)
+    assert wanted and sorted(map(tuple, QUERIES["j17_token_index_join"](spark, SF).collect())) == wanted
+
+
 def test_last_history_of_a_key_needs_no_pairs(plain_joins):
     from quietwire.plans.route_queries import _gold_evidence
 
