@@ -112,3 +112,16 @@ def test_texts_are_found_without_the_joins_of_the_facts(plain_joins):
     v = driver_views.views(plain_joins, SF)
     plan = route.facts(v)._jdf.queryExecution().executedPlan().toString()
     assert sum("lineitem.parquet" in line and "FileScan" in line for line in plan.splitlines()) == 1
+
+
+def test_relationships_of_others_are_left_out_before_they_are_counted(spark):
+    v = driver_views.views(spark, SF)
+    facts = route.facts(v)
+    lines = facts._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    counted = next(i for i, line in enumerate(lines) if "Aggregate [o_custkey" in line)
+    read = next(i for i, line in enumerate(lines) if i > counted and "Relation [o_orderkey" in line)
+    assert any("LeftSemi" in line and "o_custkey" in line for line in lines[counted:read])
+    columns = ["message_id", "has_rel", "rel_active", "opted_out", "rel_ignored", "why"]
+    every = joins.join_relationships(v["messages"], v["relationships"]).select(columns)
+    found = sorted(map(tuple, facts.select(columns).collect()))
+    assert any(row[1] for row in found) and found == sorted(map(tuple, every.collect()))
