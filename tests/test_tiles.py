@@ -32,6 +32,29 @@ def test_every_pair_is_in_one_tile(spark):
     assert tiles.tiled(left.limit(0), right, "key", ("id", "id"), (F.lit(10), F.lit(10)), listed, "a string, b string, rows int").count() == 0
 
 
+def test_small_keys_fill_a_tile_by_their_pairs(spark):
+    rows = spark.createDataFrame([(f"x{i}", f"k{i // 3}") for i in range(600)], "id string, key string")
+
+    def listed(a, b):
+        pairs = tiles.KeyPairs(a["key"], b["key"])
+        return pa.table([pa.array([len(pairs)], pa.int64())], names=["pairs"])
+
+    found = [r.pairs for r in tiles.tiled(rows, rows, "key", ("id", "id"), (F.lit(10), F.lit(10)), listed, "pairs long", tile_rows=12).collect()]
+    assert sum(found) == 200 * 9 and max(found) <= 12 * 12  # no more pairs than a tile of one key has
+    assert len(found) < 100  # a group for each key would be 200
+
+
+def test_first_pairs_are_the_same_however_far_apart_the_numbers_are():
+    rng = np.random.default_rng(3)
+    pairs = tiles.KeyPairs(pa.array(rng.choice(["a", "b"], size=20).tolist()), pa.array(rng.choice(["a", "b", "c"], size=30).tolist()))
+    at = np.flatnonzero(rng.random(len(pairs)) < 0.8)
+    score, tie = rng.integers(-3, 4, size=len(pairs)), rng.permutation(len(pairs))
+    expected = [p for i in range(20) for p in sorted((p for p in at.tolist() if pairs.i[p] == i), key=lambda p: (-score[p], tie[p]))[:4]]
+    for far in (1, 1 << 30):
+        assert tiles.first_of(pairs, at, score * far, tie * far, 4).tolist() == expected
+    assert len(tiles.first_of(pairs, at[:0], score, tie, 4)) == 0
+
+
 def test_scores_of_pairs_equal_plain_ones():
     rng = np.random.default_rng(2)
     words = [f"w{i}" for i in range(12)]
