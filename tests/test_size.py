@@ -83,6 +83,16 @@ def test_scores_without_history_make_no_pairs(spark, monkeypatch):
         assert QUERIES[name](spark, SF).count() == n, name
 
 
+def test_routing_stages_no_column_that_nobody_reads(spark, monkeypatch):
+    from quietwire.plans.all_queries import QUERIES
+
+    staged, whole = [], route.stage
+    monkeypatch.setattr(route, "stage", lambda df: staged.append(df.columns) or whole(df))
+    rows = QUERIES["d06_select_rationale"](spark, SF)
+    assert staged[-1] == ["message_id", "rationale"] and max(map(len, staged)) < 70
+    assert rows.count() == driver_views.views(spark, SF)["messages"].count() and not any("signals" in columns for columns in staged)
+
+
 def test_partners_are_counted_without_pairs(spark, monkeypatch):
     from quietwire.plans.all_queries import QUERIES
 
