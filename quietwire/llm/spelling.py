@@ -83,6 +83,12 @@ def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SPLITS, strict=True)], schema=_SPLITS)
 
 
+def _sorted(side: DataFrame) -> DataFrame:
+    """``side`` of a join, to be sorted and merged: its rows are as many as words or nodes, but its size is judged by a staged file's compressed
+    one, and before its rows are dealt, so that it would be broadcast through the driver."""
+    return side.hint("merge")
+
+
 def _shallow(key: Column) -> Column:
     return F.octet_length(key) <= SHALLOW
 
@@ -93,7 +99,7 @@ def _numbered(rows: DataFrame, key: str, nodes: DataFrame, ending: bool, name: s
     dealt = F.when(_shallow(F.col("key")), F.sequence(F.lit(0), F.lit(DEALT - 1))).otherwise(F.array(F.lit(0)))
     there = there.select(F.col("key").alias("_key"), "node", F.explode(dealt).alias("_dealt"))
     own = F.when(_shallow(F.col(key)), F.pmod(F.col("id"), F.lit(DEALT)).cast("int")).otherwise(0)
-    joined = rows.join(there, (F.col(key) == F.col("_key")) & (own == F.col("_dealt")))
+    joined = rows.join(_sorted(there), (F.col(key) == F.col("_key")) & (own == F.col("_dealt")))
     return joined.drop(key, "_key", "_dealt").withColumnRenamed("node", name)
 
 
@@ -123,7 +129,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     at = stage(forms.select("id", F.col("form").alias("root")))
     while True:
         ahead = at.select(F.col("id").alias("_at"), F.col("root").alias("_next"))
-        further = stage(at.join(ahead, at["root"] == ahead["_at"], "left").select("id", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("moved")))
+        further = stage(at.join(_sorted(ahead), at["root"] == ahead["_at"], "left").select("id", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("moved")))
         release(at)
         at = further
         if not at.agg(F.coalesce(F.bool_or("moved"), F.lit(False))).first()[0]:
@@ -152,11 +158,11 @@ def group_variants(words: DataFrame, factor: int = 2) -> DataFrame:
     pairs = begun.select("id", "n", "first", "before", F.inline(ways)).filter("rest is not null")
     near = stage(_near(_numbered(pairs, "rest", nodes, True, "after")))
     release(nodes)
-    counted = known.join(near, "id", "left").select("id", "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(-F.col("best.less") >= factor * F.col("n"), F.col("best")).alias("best"))
+    counted = known.join(_sorted(near), "id", "left").select("id", "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(-F.col("best.less") >= factor * F.col("n"), F.col("best")).alias("best"))
     counted = counted.select("id", "word", "n", "n_near", F.col("best.id").alias("form_id"), (-F.col("best.less")).cast("long").alias("form_n"))
     roots = _roots(counted.filter("form_id is not null").select("id", F.col("form_id").alias("form")))
-    named = lambda key, name: known.select(F.col("id").alias(key), F.col("word").alias(name))
-    out = counted.join(roots.select("id", F.col("root").alias("root_id")), "id", "left").join(named("form_id", "form"), "form_id", "left").join(named("root_id", "root"), "root_id", "left")
+    named = lambda key, name: _sorted(known.select(F.col("id").alias(key), F.col("word").alias(name)))
+    out = counted.join(_sorted(roots.select("id", F.col("root").alias("root_id"))), "id", "left").join(named("form_id", "form"), "form_id", "left").join(named("root_id", "root"), "root_id", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
